@@ -266,7 +266,7 @@ def encoder(path: str) -> Encoder:
 
 # -- packs: texts kept once in the shared folder -----------------------------
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 META = "doc_id long, uid long, pack string, row int, n_bytes long, h1 long, h2 long"
 
 

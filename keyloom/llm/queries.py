@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import licenses, mixing, sharding, sstable
+from keyloom.llm import licenses, mixing, sharding, sstable, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sstable": lambda spark, d: sstable.sstable_digest(documents(spark, d), word_tokenizer()),
         "op5_license_scan": lambda spark, d: licenses.license_digest(documents(spark, d)),
         "op6_mix": lambda spark, d: mixing.mix_digest(documents(spark, d)),
+        "op7_suffix_dedup": lambda spark, d: suffix.repeat_digest(documents(spark, d)),
         "op9_shard": lambda spark, d: sharding.shard_digest(documents(spark, d)),
     }
 
