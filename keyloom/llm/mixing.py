@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import common as C
 
 #: Rows of a source in one range of its keys, and the most sources whose plan is broadcast (about 100 bytes each).
-RANGE_ROWS, BROADCAST_SOURCES = 20_000, 50_000
+RANGE_ROWS, BROADCAST_SOURCES = 2_000, 50_000
 KEY_BITS = 52
 
 
