@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bloomlm, licenses, mixing, quality, sharding, sstable, suffix
+from keyloom.llm import bloomlm, imatch, licenses, mixing, quality, sharding, sstable, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": lambda spark, d: licenses.license_digest(documents(spark, d)),
         "op6_mix": lambda spark, d: mixing.mix_digest(documents(spark, d)),
         "op7_suffix_dedup": lambda spark, d: suffix.repeat_digest(documents(spark, d)),
+        "op8_imatch": lambda spark, d: imatch.fingerprint_pairs(documents(spark, d)),
         "op9_shard": lambda spark, d: sharding.shard_digest(documents(spark, d)),
         "op10_bloom_lm": lambda spark, d: bloomlm.score_lm(documents(spark, d)),
     }
