@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bloomlm, imatch, licenses, mixing, packing, quality, sharding, sstable, suffix
+from keyloom.llm import bloomlm, imatch, jaccard, licenses, mixing, packing, quality, sharding, sstable, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda spark, d: quality.score_quality(documents(spark, d)),
         "op2_vector_packing": lambda spark, d: packing.pack_digest(documents(spark, d), word_tokenizer()),
+        "op3_jaccard_join": lambda spark, d: jaccard.jaccard_digest(documents(spark, d)),
         "op4_sstable": lambda spark, d: sstable.sstable_digest(documents(spark, d), word_tokenizer()),
         "op5_license_scan": lambda spark, d: licenses.license_digest(documents(spark, d)),
         "op6_mix": lambda spark, d: mixing.mix_digest(documents(spark, d)),
