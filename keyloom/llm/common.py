@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -273,7 +273,7 @@ META = "doc_id long, uid long, pack string, row int, n_bytes long, h1 long, h2 l
 def write_packs(docs: DataFrame, where: str) -> DataFrame:
     """Stores every text in compressed files of about PACK_BYTES under where, and returns a materialized row (META) for each document.
 
-    uid is unique and orders rows of equal doc_id. A retried task writes new files under new names; the rows of the
+    h1 is what text_hash() gives. uid is unique and orders rows of equal doc_id. A retried task writes new files under new names; the rows of the
     attempt that counts name its files.
     """
 
@@ -300,7 +300,7 @@ def write_packs(docs: DataFrame, where: str) -> DataFrame:
             n = len(raw)
             meta = pa.record_batch({
                 "doc_id": ids.cast(pa.int64()), "uid": pa.array((part << 36) + np.arange(seen, seen + n)), "pack": pa.array([name] * n), "row": pa.array(np.arange(n, dtype=np.int32)),
-                "n_bytes": pa.array([len(x) for x in raw], pa.int64()), "h1": pa.array(np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64)), "h2": pa.array(np.array([xxhash.xxh3_64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64)),
+                "n_bytes": pa.array([len(x) for x in raw], pa.int64()), "h1": pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64)), "h2": pa.array(np.array([xxhash.xxh3_64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64)),
             })
             held, size, seen = [], 0, seen + n
             return meta
@@ -325,6 +325,15 @@ def read_pack(where: str, name: str, rows: np.ndarray | None = None) -> Iterator
             yield 64 * k, file.get_batch(k).column("text")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def row_key() -> list[Column]:
+    """What tells rows apart: identifier (null: the smallest) and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), text_hash().alias("_h")]
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for each node of edges (a, b), component its least reachable node: alternating large-star and
     small-star steps, each written to the shared folder, until no edge changes."""

@@ -59,7 +59,7 @@ def may_link(n1, n2, p1, p2, num: int, den: int) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, uid (unique), n_shingles and component_id of each document.
+    """doc_id, uid (unique), text_hash, n_shingles, component_id and is_first (one of each component) of each document.
 
     Sets link if den * |intersection| >= num * |union|; component_id is the smallest doc_id that links lead to. Words are
     maximal runs of other than ASCII white space, A-Z lower-cased; fewer words than n make one shingle; a text
@@ -83,11 +83,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 sets.append(s)
         h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
         h, c = h[c >= LOCAL], c[c >= LOCAL]
-        first = pa.table({"kind": pa.array(np.zeros(len(rows), np.int32)), "doc_id": t.column("doc_id"), "uid": t.column("uid"), "pack": t.column("pack"), "row": t.column("row"), "n": pa.array(sizes[rows]), "s1": pa.array(s1[rows]), "s2": pa.array(s2[rows])})
-        more = pa.table({"kind": pa.array(np.ones(len(h), np.int32)), "doc_id": pa.nulls(len(h), pa.int64()), "uid": pa.nulls(len(h), pa.int64()), "pack": pa.nulls(len(h), pa.string()), "row": pa.nulls(len(h), pa.int32()), "n": pa.array(c), "s1": pa.array(h.view(np.int64)), "s2": pa.nulls(len(h), pa.int64())})
+        first = pa.table({"kind": pa.array(np.zeros(len(rows), np.int32)), "doc_id": t.column("doc_id"), "uid": t.column("uid"), "pack": t.column("pack"), "row": t.column("row"), "n": pa.array(sizes[rows]), "s1": pa.array(s1[rows]), "s2": pa.array(s2[rows]), "text_hash": t.column("h1")})
+        more = pa.table({"kind": pa.array(np.ones(len(h), np.int32)), "doc_id": pa.nulls(len(h), pa.int64()), "uid": pa.nulls(len(h), pa.int64()), "pack": pa.nulls(len(h), pa.string()), "row": pa.nulls(len(h), pa.int32()), "n": pa.array(c), "s1": pa.array(h.view(np.int64)), "s2": pa.nulls(len(h), pa.int64()), "text_hash": pa.nulls(len(h), pa.int64())})
         return pa.concat_tables([first, more])
 
-    signed = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(sign, "kind int, doc_id long, uid long, pack string, row int, n long, s1 long, s2 long"), "signed")
+    signed = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(sign, "kind int, doc_id long, uid long, pack string, row int, n long, s1 long, s2 long, text_hash long"), "signed")
     sets, total = signed.where("kind = 0").drop("kind"), signed.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     least = max(2 * LOCAL, -(-total // HOT))  # at most total / least shingles are as frequent: HOT
     hot = signed.where("kind = 1").groupBy(F.col("s1").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= least).toArrow()
@@ -244,9 +244,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner.where("linked").select("a", "b")))
 
     whole = sets.join(reps.select(*same, F.col("uid").alias("rep")), same, "left")
-    whole = C.materialize(whole.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "uid").alias("component")), "joined")
+    whole = C.materialize(whole.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "uid", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "uid").alias("component")), "joined")
     least_id = whole.groupBy("component").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "uid")).alias("m"))
-    return whole.join(least_id, "component").select("doc_id", "uid", "n_shingles", F.when(F.col("least") != -(1 << 63), F.col("least")).alias("component_id"), (F.col("m.uid") == F.col("uid")).alias("is_first"))
+    return whole.join(least_id, "component").select("doc_id", "uid", "text_hash", "n_shingles", F.when(F.col("least") != -(1 << 63), F.col("least")).alias("component_id"), (F.col("m.uid") == F.col("uid")).alias("is_first"))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
     meta = meta.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     same = ["h1", "h2", "n_bytes"]
     first = meta.groupBy(*same).agg(F.min(F.struct("doc_id", "uid")).alias("first"))
-    meta = C.materialize(meta.join(first, same).select("doc_id", "uid", "pack", "row", "n_bytes", (F.col("first.uid") != F.col("uid")).alias("copy_of_earlier")), "copies")
+    meta = C.materialize(meta.join(first, same).select("doc_id", "uid", "pack", "row", "n_bytes", "h1", (F.col("first.uid") != F.col("uid")).alias("copy_of_earlier")), "copies")
     texts = meta.where(f"not copy_of_earlier and n_bytes >= {length}").select("doc_id", "uid", "pack", "row", "n_bytes")
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1, total * 16 / (length - SEED)) / RANGE_BYTES + 1))))
@@ -315,7 +315,7 @@ def _slices(n: np.ndarray) -> Iterator[slice]:
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """For each document of docs: doc_id, uid, n_bytes, kept (the bytes that stay) and spans (start, end of removed runs).
+    """For each document of docs: doc_id, uid, text_hash, n_bytes, kept (the bytes that stay) and spans (start, end of removed runs).
 
     A byte goes if a string of length bytes that covers it also starts earlier: in a document of smaller doc_id (a null one is
     smallest; of equal ones the earlier read), or earlier in the same. Exact copies of earlier texts are told by their
@@ -332,13 +332,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.lexsort((b, a, r))
         r, a, b = r[order], a[order], b[order] + length
         bounds = np.searchsorted(r, np.arange(int(rows.max()) + 2))
-        about = {x: (d, u, c) for x, d, u, c in zip(rows.tolist(), *(t.column(c).to_pylist() for c in ("doc_id", "uid", "copy_of_earlier")), strict=True)}
-        out: dict[str, list] = {c: [] for c in ("doc_id", "uid", "n_bytes", "kept", "starts", "ends")}
+        about = {x: more for x, *more in zip(rows.tolist(), *(t.column(c).to_pylist() for c in ("doc_id", "uid", "h1", "copy_of_earlier")), strict=True)}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "uid", "text_hash", "n_bytes", "kept", "starts", "ends")}
         for first, texts in C.read_pack(where, pack, rows):
             for k, s in enumerate(texts.to_pylist()):
                 if first + k not in about:
                     continue
-                raw, (doc, uid, copy) = s.encode(), about[first + k]
+                raw, (doc, uid, h, copy) = s.encode(), about[first + k]
                 if copy and len(raw) >= length:
                     starts, ends = [0], [len(raw)]
                 else:
@@ -347,11 +347,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     new = np.flatnonzero(np.append(True, x[1:] > top[:-1])) if len(x) else np.zeros(0, np.int64)
                     starts, ends = x[new].tolist(), top[np.append(new[1:] - 1, len(x) - 1)].tolist() if len(x) else []
                 keep = b"".join(raw[p:q] for p, q in zip([0, *ends], [*starts, len(raw)], strict=True))
-                for c, v in zip(out, (None if doc == -(1 << 63) else doc, uid, len(raw), keep, starts, ends), strict=True):
+                for c, v in zip(out, (None if doc == -(1 << 63) else doc, uid, h, len(raw), keep, starts, ends), strict=True):
                     out[c].append(v)
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
 
-    schema = "doc_id long, uid long, n_bytes long, kept binary, starts array<long>, ends array<long>"
+    schema = "doc_id long, uid long, text_hash long, n_bytes long, kept binary, starts array<long>, ends array<long>"
     return C.wide(meta, "pack").groupBy("pack").cogroup(C.wide(spans, "pack").groupBy("pack")).applyInArrow(cut, schema)
 
 
