@@ -99,12 +99,12 @@ class Scope:
 class Database:
     """Entries by key type and value type: each an index of its own, with a mutation log."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.rows, self.tables, self.seq = spark, {}, {}, 0
+    def __init__(self, spark: SparkSession, parent: Database | None = None) -> None:
+        self.spark, self.parent = spark, parent
+        self.rows, self.tables, self.seq = {}, {}, itertools.count(1) if parent is None else parent.seq
 
     def add(self, key_type: Type, value_type: Type, key: tuple, mutator: str, value: object) -> None:
-        self.seq += 1
-        self.rows.setdefault((key_type, value_type), []).append((self.seq, key, mutator, value))
+        self.rows.setdefault((key_type, value_type), []).append((next(self.seq), key, mutator, value))
 
     def attach(self, key_type: Type, value_type: Type, df: DataFrame) -> None:
         """A table of entries with columns k0, k1, ... and v."""
@@ -115,8 +115,11 @@ class Database:
         ks = [f"k{i}" for i in range(n)]
         names = ", ".join(f"{k} {T.to_spark(m)}" for k, (m, _) in zip(ks, key_type.args, strict=True))
         kind = T.to_spark(value_type)
-        rows = self.rows.get((key_type, value_type), [])
-        table = self.tables.get((key_type, value_type))
+        rows, table, at = [], None, self
+        while at is not None:  # a branch sees its ancestors' entries
+            rows += at.rows.get((key_type, value_type), [])
+            table = table if table is not None else at.tables.get((key_type, value_type))
+            at = at.parent
         if not rows and table is not None:
             return table
         data = [("global", s, str(s), *key, None if m == "tombstone" else m, v, m == "tombstone") for s, key, m, v in rows]
@@ -142,6 +145,7 @@ class Lowering:
         self.user, self.session = user, session
         self.depth = 0
         self.effects: list[tuple] = []
+        self.predicates: list[Val] = []
 
     # -- helpers -----------------------------------------------------------
 
@@ -460,6 +464,8 @@ class Lowering:
 
     def _if_else(self, scope, yes, pred, no):
         p = self.eval(pred, scope)
+        if isinstance(p, Val):
+            self.predicates.append(p)
         if isinstance(p, Val) and p.const is not _NONE:
             return self.eval(yes if p.const else no, scope)
 
@@ -781,7 +787,9 @@ class Lowering:
         for s in statements:
             if s[0] == "if":
                 for pred, block in s[1]:
-                    if self.fetch(self.scalar(pred, scope)):
+                    p = self.scalar(pred, scope)
+                    self.predicates.append(p)
+                    if self.fetch(p):
                         self.run(block, scope)
                         break
                 else:
@@ -842,6 +850,18 @@ class Lowering:
     def key_of(self, key: Val) -> tuple:
         return key.const if key.const is not _NONE else tuple(self.fetch(key))
 
+    def seen(self) -> list[bool | None]:
+        """What the conditions came to that are about one value; those inside maps are none of a transaction's."""
+        from pyspark.errors import PySparkException
+
+        out = []
+        for p in self.predicates:
+            try:
+                out.append(self.fetch(p))
+            except PySparkException:
+                out.append(None)
+        return out
+
     def fetch(self, v: Val) -> object:
         """One value, to the driver."""
         return v.const if v.const is not _NONE and not isinstance(v.const, tuple) else self.spark.range(1).select(v.col.alias("v")).first()[0]
@@ -935,7 +955,7 @@ class Program:
                 if inner:
                     then = Program(self.spark, self.source, Database(self.spark), self.imports)
                     then.db.rows = {k: list(v) for k, v in program.db.rows.items()}
-                    then.db.seq = program.db.seq
+                    then.db.seq, then.db.tables = program.db.seq, program.db.tables
                     then.apply(low)
                     run(then, inner, name + ".")
 

@@ -113,18 +113,21 @@ def resolve(values: DataFrame, key: Sequence[str], changes: DataFrame, mutator:
 
 
 def compact(log: DataFrame, key: Sequence[str], whole: bool = True) -> DataFrame:
-    """A log that reads as this one, with fewer rows. Of a whole history each key becomes one assignment. Of part of one, runs of a
-    mutator are folded but keep it, so that what lies below still adds to them."""
+    """A log that reads as this one, now and after any later rows, with fewer rows: each run of a mutator becomes one row of it. Of
+    a whole history what no read reaches goes too: all below a key's newest run, but for an assignment right below it."""
     kind = log.schema["op"].dataType
-    last = log.groupBy(*key).agg(F.max("seq").alias("seq"))
-    if whole:
-        return fold(log, key, "op").join(last, list(key)).select(F.lit("global").alias("pov_id"), "seq", F.lit(None).cast("string").alias("update_id"), *key, F.lit(ASSIGN).alias("mutator"), "op", F.lit(False).alias("tombstone"))
     m = F.when(F.col("tombstone"), "tombstone").otherwise(F.col("mutator"))
     w = W.partitionBy(*key).orderBy("seq")
+    once = W.partitionBy(*key, "update_id").orderBy(F.col("seq").desc())
+    log = log.withColumn("_dup", F.when(F.col("update_id").isNull(), 1).otherwise(F.row_number().over(once))).where("_dup = 1").drop("_dup")
     rows = log.withColumn("_m", m).withColumn("_new", F.when(F.lag("_m").over(w).eqNullSafe(F.col("_m")), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     used = [x for x in DEFERRED if _fits(x, kind)]
     wide = rows.withColumns({f"_op_{x}": F.when(F.col("_m") == x, F.col("op")) for x in used})
     g = wide.groupBy(*key, "_run").agg(F.max("seq").alias("last_seq"), F.first("_m").alias("_m"), F.max("pov_id").alias("pov_id"), F.max_by("op", "seq").alias("_last"), *[folded(x, kind, f"_op_{x}").alias(f"_f_{x}") for x in used])
+    if whole:
+        top = W.partitionBy(*key).orderBy(F.col("_run").desc())
+        g = g.withColumn("_n", F.row_number().over(top)).withColumn("_above", F.lag("_m").over(top))
+        g = g.where(((F.col("_n") == 1) & (F.col("_m") != "tombstone")) | ((F.col("_n") == 2) & (F.col("_m") == ASSIGN) & F.col("_above").isin(*DEFERRED)))
     out = F.col("_last")
     for x in used:
         out = F.when(F.col("_m") == x, F.col(f"_f_{x}")).otherwise(out)
