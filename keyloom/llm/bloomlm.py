@@ -24,7 +24,8 @@ FILTER_BYTES, REGIONS, HEAD_WORDS = 64 << 20, 1024, 1 << 20
 LAMBDA, LEAST_COUNT = 0.25, 2
 END_WORD = b""
 #: Distinct words or pairs a Python worker gathers before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 19
+SLAB_BYTES = 3 << 20
 EVEN = np.uint64(C.MASK - 1)
 
 
@@ -70,7 +71,7 @@ class LogFrequencyFilter:
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, C.Words, np.ndarray, np.ndarray]]:
     """(doc_ids, words, hash of each token with the end after each text, where each text's tokens begin)."""
-    for b in C.slabs(batches):
+    for b in C.slabs(batches, size=SLAB_BYTES):
         w = C.Words(b.column("text"), lower=True)
         h = w.hashes()[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
         end = np.uint64(C.xxhash.xxh64_intdigest(END_WORD))
@@ -97,9 +98,11 @@ def score_lm(docs: DataFrame) -> DataFrame:
         def flush(k: int) -> Iterator[pa.RecordBatch]:
             h = np.concatenate([x for x, _ in held[k]])
             n = np.concatenate([y for _, y in held[k]])
-            u, inv = np.unique(h, return_inverse=True)
-            c = np.bincount(inv, n, len(u)).astype(np.int64)
             held[k], size[k] = [], 0
+            order = np.argsort(h)
+            h = h[order]
+            s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            u, c = h[s], np.add.reduceat(n[order], s)
             for at in range(0, len(u), 1 << 16):
                 x = u[at : at + (1 << 16)]
                 yield pa.record_batch({"h": pa.array(x.view(np.int64)), "c": pa.array(c[at : at + (1 << 16)])})
@@ -111,7 +114,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
             pairs = np.flatnonzero(train & inner)
             for k, x in enumerate((h[train] & EVEN, C.mix(h[pairs - 1], h[pairs]) | np.uint64(1))):
                 u, n = np.unique(x, return_counts=True)
-                held[k].append((u, n))
+                held[k].append((u, n.astype(np.int64)))
                 size[k] += len(u)
                 if size[k] > HELD:
                     yield from flush(k)
