@@ -23,7 +23,7 @@ from keyloom.llm import common as C
 
 LENGTH, SEED = 100, 32
 #: Bytes refined at once in a Python worker (arrays of eight bytes a position), and of shared identifiers in a hash range.
-PIECE, RANGE_BYTES = 1 << 20, 2 << 20
+PIECE, RANGE_BYTES = 1 << 19, 1 << 19
 #: Packs whose shared windows one task compares; more are compared in rounds.
 FAN_IN = 256
 
@@ -189,17 +189,22 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         found = [minima(buf, row, length) for buf, row, _ in pieces(where, pack, rows, length)]
         u, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         near = np.union1d(over, u[n > 1])  # those in several places of this pack alone are shared too
-        got: list[list[np.ndarray]] = [[], [], [], []]
+        got: list[list[np.ndarray]] = [[], [], []]
+        by_rank = rows[order]
         for buf, row, at in pieces(where, pack, rows, length):
             low, full = windows(buf, length)
             new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
             ok = np.flatnonzero(np.repeat(member(low[new], near), np.diff(np.append(new, len(low)))) & (row >= 0))
-            for x, y in zip(got, (low[ok], full[ok], row[ok], at[ok]), strict=True):
+            for x, y in zip(got, (low[ok], full[ok], rank[row[ok]] << 36 | at[ok]), strict=True):
                 x.append(y)
         if not sum(map(len, got[0])):
             return OUT.empty_table()
-        low, full, row, at = (np.concatenate(x) for x in got)
-        again = _again(low, full, rank[row] << 36 | at)
+        low, full, place = (np.concatenate(x) for x in got)
+        got.clear()
+        again = _again(low, full, place)
+        del full
+        row, at = by_rank[place >> 36].astype(np.int64), place & ((1 << 36) - 1)
+        del place
         parts, packs, blobs = [-1], [pack], [_spans(row[again], at[again])]
         send = np.flatnonzero(~again & member(low, over))
         low, row, at = low[send], row[send], at[send]
