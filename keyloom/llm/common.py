@@ -20,7 +20,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Documents handled at once in a Python worker; bounds its memory together with SLAB_BYTES.
 SLAB_ROWS, SLAB_BYTES = 4000, 6 << 20
 #: For token caches, which gain from large slabs.
-TOKEN_ROWS, TOKEN_BYTES = 10_000, 16 << 20
+TOKEN_ROWS, TOKEN_BYTES = 10_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -182,7 +182,7 @@ class Encoder:
     tokenizer's own description; another tokenizer encodes whole texts.
     """
 
-    LIMIT = 600_000
+    LIMIT, PARTS = 500_000, 200_000
 
     def __init__(self, path: str) -> None:
         import json
@@ -216,7 +216,7 @@ class Encoder:
         """Ids of one run of lower-case letters up to U+00FF, which normalization and splitting leave as it is."""
         ids = self.parts.get(w)
         if ids is None:
-            if len(self.parts) >= self.LIMIT:
+            if len(self.parts) >= self.PARTS:
                 self.parts.clear()
             ids = self.parts[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LEVEL))], np.uint32).tobytes()
         return ids
@@ -245,13 +245,16 @@ class Encoder:
                 ids = cache[w] = self._ids(w.decode()) if w else b""
             got.append(ids)
         got.append(np.array([END], np.uint32).tobytes())
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
         flat = np.frombuffer(b"".join(got), np.uint32)
-        codes = np.insert(words.codes, words.offsets[1:], len(got) - 1)  # the end id after each text
+        codes = np.insert(words.codes.astype(np.int32), words.offsets[1:], len(got) - 1)  # the end id after each text
         bounds = words.offsets + np.arange(len(words.offsets))
-        ids = flat[ranges(starts[codes], sizes[codes])]
-        return np.concatenate([[0], np.cumsum(sizes[codes])])[bounds].astype(np.int64), ids
+        n = sizes[codes]
+        ends = np.cumsum(n, dtype=np.int64)
+        shift = (starts[codes] - (ends - n)).astype(np.int32)
+        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat(shift, n)]
+        return np.concatenate([[0], ends])[bounds], ids
 
 
 _encoders: dict[str, Encoder] = {}
@@ -266,7 +269,7 @@ def encoder(path: str) -> Encoder:
 
 # -- packs: texts kept once in the shared folder -----------------------------
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 META = "doc_id long, uid long, pack string, row int, n_bytes long, h1 long, h2 long"
 
 
@@ -336,17 +339,14 @@ def row_key() -> list[Column]:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for each node of edges (a, b), component its least reachable node: alternating large-star and
-    small-star steps, each written to the shared folder, until no edge changes."""
+    small-star steps, each written to the shared folder, until only stars are left."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    was = None
     while True:
+        if e.groupBy("a").count().where("count > 1").isEmpty() and e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():  # only stars
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small_m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_m.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = materialize(small, name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == was:
-            return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(e.select("b", "b").distinct()).distinct()
-        was = now
