@@ -14,14 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
 from keyloom.llm.suffix import _arrays, _blob, _by, member
 
 #: Shingles seen in LOCAL sets of one pack are counted; those of the largest counts, HOT at most, are put last in prefixes.
-LOCAL, HOT = 4, 1 << 21
+LOCAL, HOT = 4, 1 << 23
 #: Bytes of postings in a range of hashes, and pairs of one list enumerated at once.
 RANGE_BYTES, PAIRS = 4 << 20, 1 << 20
 
@@ -52,10 +52,39 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-num * n // den) + 1
 
 
+def need(n1, n2, num: int, den: int):
+    """The smallest intersection of linked sets of these sizes; for numbers, arrays or columns."""
+    x = num * (n1 + n2)
+    return F.ceil(x / (num + den)) if isinstance(x, Column) else -(-x // (num + den))
+
+
 def may_link(n1, n2, p1, p2, num: int, den: int) -> np.ndarray:
-    """Whether sets of these sizes that share a shingle at these positions, and none before, can link: the size and position filters."""
-    need = -(-num * (n1 + n2) // (num + den))
-    return (np.minimum(n1, n2) * den >= num * np.maximum(n1, n2)) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
+    """Whether sets of these sizes that share a shingle at these positions can link, if they share all before it that they can: the size
+    and position filters."""
+    return (np.minimum(n1, n2) * den >= num * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= need(n1, n2, num, den))
+
+
+def shared_least(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, num: int, den: int) -> Column:
+    """The fewest shingles that the prefixes of linked sets of sizes in these ranges share: of the intersection, what lies
+    past one of the prefixes is at most the rest of that set."""
+    rest = F.ceil(num * F.greatest(hi_a, hi_b) / den) - 1
+    return F.greatest(need(lo_a, lo_b, num, den) - rest, F.lit(1))
+
+
+def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct pairs (the first two columns) with what belongs to them, and how often each came."""
+    order = np.lexsort((columns[1], columns[0]))
+    a, b = columns[0][order], columns[1][order]
+    s = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    return [c[order][s] for c in columns], np.diff(np.append(s, len(a)))
+
+
+PAIR = "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, c long"
+
+
+def pair_table(columns: list[np.ndarray], c: np.ndarray) -> pa.Table:
+    names = ("a", "b", "lo_a", "hi_a", "lo_b", "hi_b")
+    return pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in zip(names, columns, strict=True)}, "c": pa.array(c.astype(np.int64))})
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -142,15 +171,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     shared = C.materialize(C.wide(posted, "part").groupBy("part").applyInArrow(lists, "h long, uid long, n long, pos long, part long"), "lists")
 
     def stars(t: pa.Table) -> pa.Table:
-        """Each list's sets with its set of the smallest uid."""
+        """Each list's sets with the one in whose order the shingle comes first: it has the fewest shingles of its own, as the
+        text from which others were edited has."""
         h, uid, size, pos = (t.column(c).to_numpy() for c in ("h", "uid", "n", "pos"))
-        order = np.lexsort((uid, h))
+        order = np.lexsort((uid, pos, h))
         h, uid, size, pos = h[order], uid[order], size[order], pos[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         c = np.repeat(first, np.diff(np.append(first, len(h))))
         ok = (np.arange(len(h)) != c) & may_link(size, size[c], pos, pos[c], num, den)
-        pairs = np.unique(np.stack([uid[c][ok], uid[ok]], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        n1, n2 = size[c][ok], size[ok]
+        return pair_table(*counted(uid[c][ok], uid[ok], n1, n1, n2, n2))
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes share as many shingles as a link takes, over all lists."""
+        sizes = ["lo_a", "hi_a", "lo_b", "hi_b"]
+        p = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), *[F.first(x).alias(x) for x in sizes])
+        return p.where(F.col("c") >= shared_least(*map(F.col, sizes), num, den)).select("a", "b")
 
     at = reps.select("uid", "pack", "row")
 
@@ -193,39 +229,44 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         union = F.col("n_a") + F.col("n_b") - F.col("inter")
         return C.materialize(done.select("a", "b", (1 - F.col("inter") / union).alias("d"), (den * F.col("inter") >= num * union).alias("linked")), name)
 
-    stars_ = verify(C.wide(shared, "part").groupBy("part").applyInArrow(stars, "a long, b long").distinct(), "stars")
+    stars_ = verify(enough(C.wide(shared, "part").groupBy("part").applyInArrow(stars, PAIR)), "stars")
     links = stars_.where("linked").select("a", "b")
     group = C.materialize(C.components(links), "groups")
     centre = stars_.where("linked").groupBy(F.col("b").alias("uid")).agg(F.min(F.struct("d", "a")).alias("c"))
-    about = C.materialize(group.withColumnRenamed("node", "uid").join(centre, "uid", "left").select("uid", "component", F.coalesce("c.a", "uid").alias("centre"), F.coalesce("c.d", F.lit(0.0)).alias("radius")), "centres")
-    known = shared.join(about, "uid", "left").select("h", "part", "n", "pos", "uid", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"))
+    about = group.withColumnRenamed("node", "uid").join(centre, "uid", "left").join(reps.select("uid", "n"), "uid").select("uid", "n", "component", F.coalesce("c.a", "uid").alias("centre"), F.coalesce("c.d", F.lit(0.0)).alias("radius"))
+    about = C.materialize(about, "members")
+    spread = about.groupBy("centre").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    about = C.materialize(about.drop("n").join(spread, "centre"), "centres")
+    known = shared.join(about, "uid", "left").select("h", "part", "n", "pos", "uid", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
 
     def across(t: pa.Table) -> pa.Table:
-        """Pairs of centres of different groups with members in one list; of single sets, those that can link."""
-        h, uid, comp, ctr, size, pos = (t.column(c).to_numpy() for c in ("h", "uid", "component", "centre", "n", "pos"))
+        """Pairs of centres of different groups with members in one list, and in how many: of single sets, those that can link."""
+        h, comp, ctr, size, pos, lo, hi = (t.column(c).to_numpy() for c in ("h", "component", "centre", "n", "pos", "lo", "hi"))
         order = np.lexsort((ctr, h))
-        h, uid, comp, ctr, size, pos = (x[order] for x in (h, uid, comp, ctr, size, pos))
-        new = np.append(True, (h[1:] != h[:-1]) | (ctr[1:] != ctr[:-1]))  # a list's members behind one centre count once
-        f = np.flatnonzero(new)
-        alone = (np.diff(np.append(f, len(h))) == 1) & (uid[f] == ctr[f])
-        h, comp, ctr, size, pos = h[f], comp[f], ctr[f], size[f], pos[f]
+        h, comp, ctr, size, pos, lo, hi = (x[order] for x in (h, comp, ctr, size, pos, lo, hi))
+        f = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctr[1:] != ctr[:-1])))  # a list's members behind one centre count once
+        h, comp, ctr, size, pos, lo, hi = (x[f] for x in (h, comp, ctr, size, pos, lo, hi))
+        alone = lo == hi
         s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         left = np.repeat(np.append(s[1:], len(h)), np.diff(np.append(s, len(h)))) - np.arange(len(h)) - 1  # partners that follow
-        out = [np.zeros((0, 2), np.int64)]
         ends = np.cumsum(left)
-        for k in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
-            lo, hi = np.searchsorted(ends, k, "right"), np.searchsorted(ends, min(k + PAIRS, int(ends[-1])), "left") + 1
-            m = left[lo:hi]
-            x = np.repeat(np.arange(lo, hi), m)
+        out, total = [], int(ends[-1]) if len(ends) else 0
+        at = 0
+        while at < len(h):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            m = left[at:to]
+            x = np.repeat(np.arange(at, to), m)
             y = x + 1 + C.ranges(np.zeros(len(m), np.int64), m)
-            both = alone[x] & alone[y]
-            ok = (comp[x] != comp[y]) & (~both | may_link(size[x], size[y], pos[x], pos[y], num, den))
-            p = np.stack([np.minimum(ctr[x], ctr[y])[ok], np.maximum(ctr[x], ctr[y])[ok]], 1)
-            out.append(np.unique(p, axis=0))
-        p = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
-
-    pairs = C.wide(known, "part").groupBy("part").applyInArrow(across, "a long, b long").distinct().join(stars_.select("a", "b"), ["a", "b"], "left_anti")
+            sizes = np.minimum(hi[x], hi[y]) * den >= num * np.maximum(lo[x], lo[y])
+            ok = (comp[x] != comp[y]) & sizes & (~(alone[x] & alone[y]) | may_link(size[x], size[y], pos[x], pos[y], num, den))
+            x, y = x[ok], y[ok]
+            a, b = np.where(ctr[x] < ctr[y], x, y), np.where(ctr[x] < ctr[y], y, x)
+            out.append((ctr[a], ctr[b], lo[a], hi[a], lo[b], hi[b]))
+            at = to
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if total else [np.zeros(0, np.int64)] * 6
+        return pair_table(*counted(*columns))
+
+    pairs = enough(C.wide(known, "part").groupBy("part").applyInArrow(across, PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
     centres_ = verify(pairs, "between")
     group = C.materialize(C.components(links.union(centres_.where("linked").select("a", "b"))), "groups")
     # Members behind centres that don't link: only those that the triangle inequality leaves open, of groups not yet joined.
@@ -240,8 +281,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     open_ = open_.where((F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0)) > 0) & (F.col("d") <= slack + F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0))) & (F.coalesce("ga", "a") != F.coalesce("gb", "b"))).select("a", "b", "d")
     rest = open_.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b"))
     rest = rest.where(F.col("d") <= slack + F.coalesce("rx", F.lit(0.0)) + F.coalesce("ry", F.lit(0.0))).where("x <> a or y <> b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    inner = verify(rest, "inner")
-    group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner.where("linked").select("a", "b")))
+    rest = C.materialize(rest, "open")
+    if not rest.isEmpty():
+        inner = verify(rest, "inner")
+        group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner.where("linked").select("a", "b")))
 
     whole = sets.join(reps.select(*same, F.col("uid").alias("rep")), same, "left")
     whole = C.materialize(whole.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "uid", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "uid").alias("component")), "joined")
