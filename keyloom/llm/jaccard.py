@@ -190,26 +190,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     at = reps.select("uid", "pack", "row")
 
+    def shipper(t: pa.Table) -> pa.Table:
+        """The sets of some rows of a pack, once for each pack that they are sent to."""
+        to: dict[int, list[str]] = {}
+        uid = {}
+        for a, row, pack in zip(*(t.column(c).to_pylist() for c in ("a", "row_a", "pack_b")), strict=True):
+            to.setdefault(row, []).append(pack)
+            uid[row] = a
+        out: dict[str, list] = {"a": [], "pack_b": [], "set": []}
+        for row, s in pack_sets(where, t.column("pack_a")[0].as_py(), np.array(list(to), np.int64), n):
+            for pack in to[row]:
+                out["a"].append(uid[row])
+                out["pack_b"].append(pack)
+                out["set"].append(s.tobytes())
+        return pa.table(out, schema=pa.schema([("a", pa.int64()), ("pack_b", pa.string()), ("set", pa.binary())]))
+
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """a, b and their sets' distance, linked: a's set travels once to each pack that holds one of its partners."""
         p = pairs.join(at.select(F.col("uid").alias("a"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a")), "a").join(at.select(F.col("uid").alias("b"), F.col("pack").alias("pack_b"), F.col("row").alias("row_b")), "b")
         p = C.materialize(p, f"{name}-pairs")
 
-        def ship(t: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-            to: dict[int, list[str]] = {}
-            uid = {}
-            for a, row, pack in zip(*(t.column(c).to_pylist() for c in ("a", "row_a", "pack_b")), strict=True):
-                to.setdefault(row, []).append(pack)
-                uid[row] = a
-            out: dict[str, list] = {"a": [], "pack_b": [], "set": []}
-            for row, s in pack_sets(where, t.column("pack_a")[0].as_py(), np.array(list(to), np.int64), n):
-                for pack in to[row]:
-                    out["a"].append(uid[row])
-                    out["pack_b"].append(pack)
-                    out["set"].append(s.tobytes())
-            return pa.table(out, schema=pa.schema([("a", pa.int64()), ("pack_b", pa.string()), ("set", pa.binary())]))
-
-        shipped = C.wide(p.select("a", "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(ship, "a long, pack_b string, set binary")
+        shipped = C.wide(p.select("a", "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
 
         def compare(key, t: pa.Table, sets_: pa.Table) -> pa.Table:
             index = {a: k for k, a in enumerate(sets_.column("a").to_pylist())}
@@ -269,22 +270,57 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     pairs = enough(C.wide(known, "part").groupBy("part").applyInArrow(across, PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
     centres_ = verify(pairs, "between")
     group = C.materialize(C.components(links.union(centres_.where("linked").select("a", "b"))), "groups")
-    # Members behind centres that don't link: only those that the triangle inequality leaves open, of groups not yet joined.
-    behind = about.select("uid", "centre", "radius")
-    of = lambda c, p: behind.select(F.col("uid").alias(f"{p}"), F.col("centre").alias(c), F.col("radius").alias(f"r{p}"))
-    label = lambda c, p: group.select(F.col("node").alias(c), F.col("component").alias(f"g{p}"))
-    reach = behind.groupBy("centre").agg(F.max("radius").alias("reach"))
-    open_ = centres_.union(stars_).where("not linked")
+    # Members behind centres that don't link: only those that the triangle inequality leaves open, of groups not yet joined. The
+    # members of the smaller group travel to the packs that hold members of the larger, and are compared there until one links.
+    size = about.groupBy("centre").agg(F.max("radius").alias("reach"), F.count("*").alias("members"))
+    open_ = centres_.union(stars_).where("not linked").select("a", "b", "d")
     for c in ("a", "b"):
-        open_ = open_.join(reach.select(F.col("centre").alias(c), F.col("reach").alias(f"reach_{c}")), c, "left").join(label(c, c), c, "left")
+        open_ = open_.join(size.select(F.col("centre").alias(c), F.col("reach").alias(f"reach_{c}"), F.col("members").alias(f"members_{c}")), c, "left").join(group.select(F.col("node").alias(c), F.col("component").alias(f"g{c}")), c, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
     slack = 1 - num / den + 1e-9
-    open_ = open_.where((F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0)) > 0) & (F.col("d") <= slack + F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0))) & (F.coalesce("ga", "a") != F.coalesce("gb", "b"))).select("a", "b", "d")
-    rest = open_.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b"))
-    rest = rest.where(F.col("d") <= slack + F.coalesce("rx", F.lit(0.0)) + F.coalesce("ry", F.lit(0.0))).where("x <> a or y <> b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = C.materialize(rest, "open")
-    if not rest.isEmpty():
-        inner = verify(rest, "inner")
-        group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner.where("linked").select("a", "b")))
+    open_ = open_.where((zero("members_a") + zero("members_b") > 0) & (F.col("d") <= slack + zero("reach_a") + zero("reach_b")) & (F.coalesce("ga", "a") != F.coalesce("gb", "b")))
+    swap = zero("members_b") > zero("members_a")
+    open_ = open_.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("big"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("small"), "d", F.when(swap, zero("reach_b")).otherwise(zero("reach_a")).alias("reach"))
+    open_ = C.materialize(open_, "open")
+    if not open_.isEmpty():
+        behind = about.where("uid <> centre").select("centre", "uid", "radius")
+        behind = behind.union(open_.select(F.explode(F.array("big", "small")).alias("centre")).distinct().select("centre", F.col("centre").alias("uid"), F.lit(0.0).alias("radius")))
+        behind = C.materialize(behind.join(at, "uid"), "behind")
+        asked = open_.join(behind.select(F.col("centre").alias("small"), F.col("uid").alias("y"), F.col("radius").alias("ry"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a")), "small").where(F.col("d") <= slack + F.col("reach") + F.col("ry"))
+        packs = behind.join(open_.select(F.col("big").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("big"), "pack").distinct()
+        asked = C.materialize(asked.join(packs, "big").select("y", "pack_a", "row_a", F.col("pack").alias("pack_b"), "big", "small", (F.col("d") - F.col("ry") - slack).alias("least")), "asked")
+        sent = C.wide(asked.select(F.col("y").alias("a"), "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
+        sent = asked.select("pack_b", "y", "big", "small", "least", F.lit(None).cast("binary").alias("set")).union(sent.select("pack_b", F.col("a").alias("y"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), "set"))
+
+        def answer(key, t: pa.Table, members: pa.Table) -> pa.Table:
+            """Links (y, x) of the sets y that were sent and members x in this pack: of each group one for a y is enough."""
+            sets_, asks, links_ = {}, {}, []
+            for y, big, small, least_, s in zip(*(t.column(c).to_pylist() for c in ("y", "big", "small", "least", "set")), strict=True):
+                if s is not None:
+                    sets_[y] = np.frombuffer(s, np.uint64)
+                else:
+                    asks.setdefault(big, []).append((y, small, least_))
+            found: set[tuple[int, int]] = set()
+            own: dict[int, list[tuple[int, int, float]]] = {}
+            for row, big, uid, radius in zip(*(members.column(c).to_pylist() for c in ("row", "centre", "uid", "radius")), strict=True):
+                if big in asks:
+                    own.setdefault(row, []).append((big, uid, radius))
+            for row, s in pack_sets(where, key[0].as_py(), np.array(list(own), np.int64), n) if own else ():
+                for big, uid, radius in own[row]:
+                    for y, small, least_ in asks[big]:
+                        if radius < least_ or (y == small and uid == big) or (big, y) in found:
+                            continue
+                        o = sets_[y]
+                        if min(len(o), len(s)) * den < num * max(len(o), len(s)):
+                            continue
+                        inter = int(member(o, s).sum())
+                        if den * inter >= num * (len(o) + len(s) - inter):
+                            found.add((big, y))
+                            links_.append((y, uid))
+            return pa.table({"a": pa.array([x for x, _ in links_], pa.int64()), "b": pa.array([x for _, x in links_], pa.int64())})
+
+        inner = C.materialize(C.wide(sent, "pack_b").groupBy("pack_b").cogroup(C.wide(behind, "pack").groupBy("pack")).applyInArrow(answer, "a long, b long"), "inner")
+        group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner))
 
     whole = sets.join(reps.select(*same, F.col("uid").alias("rep")), same, "left")
     whole = C.materialize(whole.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "uid", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "uid").alias("component")), "joined")
