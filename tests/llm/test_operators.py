@@ -384,3 +384,21 @@ def test_log_frequency_filter():
     got = f.counts(h)
     assert (got >= bloomlm.BASE ** (q - 1) - 1e-6).all() and (got > c * 1.0001).mean() < 0.02
     assert (f.counts(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.02
+
+
+# -- registered queries against their SQL ------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op5_license_scan", "op6_mix"])
+def test_sql(spark, name):
+    import duckdb
+
+    from keyloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    r = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in r.description]
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*names)
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(r.fetchall(), key=key)
