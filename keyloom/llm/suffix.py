@@ -24,6 +24,8 @@ from keyloom.llm import common as C
 LENGTH, SEED = 100, 32
 #: Bytes refined at once in a Python worker (arrays of eight bytes a position), and of shared identifiers in a hash range.
 PIECE, RANGE_BYTES = 1 << 19, 1 << 19
+#: Windows sorted at once; a range of identifiers that has more is gone through in passes, each for some of the full-length buckets.
+WINDOWS = 1 << 20
 #: Packs whose shared windows one task compares; more are compared in rounds.
 FAN_IN = 256
 
@@ -201,7 +203,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
             return OUT.empty_table()
         low, full, place = (np.concatenate(x) for x in got)
         got.clear()
-        again = _again(low, full, place)
+        again = _again(C.mix(full, low), place)
         del full
         row, at = by_rank[place >> 36].astype(np.int64), place & ((1 << 36) - 1)
         del place
@@ -225,40 +227,45 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         """Of the windows of a range of identifiers, those whose bytes also start earlier in another of these packs (part -1);
         the others go on to the next round."""
         part, packs = t.column("part")[0].as_py(), t.column("pack").to_pylist()
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-        stretches, held = [], 0
-        for no, blob in enumerate(t.column("blob").to_pylist()):
-            low, r, doc, uid, a, b, text = _arrays(blob, "<u8", "<i8", "<i8", "<i8", "<i8", "<i8", "u1")
-            ends = np.cumsum(b - a)
-            for k in _slices(b - a):
-                n = (b - a)[k]
-                start = int(ends[k.start] - n[0])
-                full = windows(text[start : ends[k.stop - 1]], length)[1]
-                m = n - length + 1
-                here = C.ranges(np.cumsum(n) - n, m)
-                for x, y in zip(cols, (np.repeat(low[k], m), full[here], np.repeat(doc[k], m), np.repeat(uid[k], m), C.ranges(a[k], m), np.repeat(r[k], m), np.full(len(here), no), held + start + here), strict=True):
-                    x.append(y)
-            stretches.append(text)
-            held += len(text)
-        low, full, doc, uid, at, row, no, src = (np.concatenate(x) for x in cols)
-        again = _again(low, full, _rank(doc, uid) << 36 | at)
-        parts, out_packs, blobs = [], [], []
-        for x, m in _by(no[again]):
-            m = np.flatnonzero(again)[m]
-            parts.append(-1)
-            out_packs.append(packs[x])
-            blobs.append(_spans(row[m], at[m]))
-        if not last:
-            text = np.concatenate(stretches)
-            for x, m in _by(no[~again]):
-                m = np.flatnonzero(~again)[m]
-                s, e = _runs(low[m], uid[m], row[m], at[m])
-                f, g = m[s], m[e - 1]
-                sizes = src[g] + length - src[f]
+        blobs = [_arrays(x, "<u8", "<i8", "<i8", "<i8", "<i8", "<i8", "u1") for x in t.column("blob").to_pylist()]
+        rank = _rank(*(np.concatenate([x[c] for x in blobs]) for c in (2, 3)))
+        counts = [x[5] - x[4] - length + 1 for x in blobs]
+        contexts, starts = (np.concatenate([[0], np.cumsum(x)]) for x in ([len(m) for m in counts], [int(m.sum()) for m in counts]))
+        again = np.zeros(int(starts[-1]), bool)
+        passes = -(-len(again) // WINDOWS)
+        for q in range(passes):
+            got: list[list[np.ndarray]] = [[], [], []]
+            for no, (low, _, _, _, a, b, text) in enumerate(blobs):
+                ends, done = np.cumsum(b - a), int(starts[no])
+                for k in _slices(b - a):
+                    n, m = (b - a)[k], counts[no][k]
+                    full = windows(text[int(ends[k.start] - n[0]) : ends[k.stop - 1]], length)[1]
+                    bucket = C.mix(full[C.ranges(np.cumsum(n) - n, m)], np.repeat(low[k], m))
+                    own = np.flatnonzero(bucket % np.uint64(passes) == q) if passes > 1 else np.arange(len(bucket))
+                    place = (np.repeat(rank[contexts[no] + k.start : contexts[no] + k.stop], m) << 36 | C.ranges(a[k], m))[own]
+                    for x, y in zip(got, (bucket[own], place, done + own), strict=True):
+                        x.append(y)
+                    done += len(bucket)
+            bucket, place, index = (np.concatenate(x) for x in got)
+            got.clear()
+            again[index[_again(bucket, place)]] = True
+        parts, out_packs, out = [], [], []
+        for no, (low, r, doc, uid, a, b, text) in enumerate(blobs):
+            m, flag = counts[no], again[starts[no] : starts[no + 1]]
+            context, at = np.repeat(np.arange(len(m)), m), C.ranges(a, m)
+            if flag.any():
+                parts.append(-1)
+                out_packs.append(packs[no])
+                out.append(_spans(r[context[flag]], at[flag]))
+            if not last and not flag.all():
+                context, at = context[~flag], at[~flag]
+                s, e = _runs(context, at)
+                c, f, g = context[s], at[s], at[e - 1] + length
+                src = (np.cumsum(b - a) - (b - a))[c] + f - a[c]
                 parts.append(part)
-                out_packs.append(packs[x])
-                blobs.append(_blob(low[f], row[f], doc[f], uid[f], at[f], at[g] + length, text[C.ranges(src[f], sizes)]))
-        return pa.table({"part": pa.array(parts, pa.int64()), "pack": pa.array(out_packs, pa.string()), "blob": pa.array(blobs, pa.binary())}, schema=OUT)
+                out_packs.append(packs[no])
+                out.append(_blob(low[c], r[c], doc[c], uid[c], f, g, text[C.ranges(src, g - f)]))
+        return pa.table({"part": pa.array(parts, pa.int64()), "pack": pa.array(out_packs, pa.string()), "blob": pa.array(out, pa.binary())}, schema=OUT)
 
     spans, groups = cand.where("part < 0"), texts.select("pack").distinct().count()
     left = cand.where("part >= 0")
@@ -272,12 +279,11 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
             return meta, spans.select("pack", "blob")
 
 
-def _again(low: np.ndarray, full: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _again(bucket: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which windows have the bucket of an earlier one: sorting by place, then, stable, by the bucket."""
-    bucket = C.mix(full, low)
     order = np.argsort(place, kind="stable")
     order = order[np.argsort(bucket[order], kind="stable")]
-    again = np.zeros(len(low), bool)
+    again = np.zeros(len(bucket), bool)
     again[order[1:]] = bucket[order[1:]] == bucket[order[:-1]]
     return again
 

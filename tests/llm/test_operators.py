@@ -291,6 +291,7 @@ def test_repeats(docs, empty, odd, fixture_rows, monkeypatch):
     monkeypatch.setattr(suffix, "FAN_IN", 2)  # several rounds
     monkeypatch.setattr(common, "PACK_BYTES", 3000)
     monkeypatch.setattr(suffix, "PIECE", 1000)
+    monkeypatch.setattr(suffix, "WINDOWS", 150)
     monkeypatch.setattr(common, "SLAB_BYTES", 1000)
     got = by_id(suffix.repeat_digest(docs))
     seen = set()
