@@ -23,8 +23,18 @@ SLAB_ROWS, SLAB_BYTES = 4000, 6 << 20
 TOKEN_ROWS, TOKEN_BYTES = 10_000, 8 << 20
 
 
+def at_workers(spark: SparkSession) -> None:
+    """Lets Python workers that see this file system import the package from where the driver did; on other clusters it is installed
+    or sent with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where the setting is missing and the master is local."""
+    at_workers(spark)
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):

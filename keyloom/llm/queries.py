@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bloomlm, imatch, jaccard, licenses, mixing, packing, quality, sharding, sstable, suffix
+from keyloom.llm import bloomlm, common, imatch, jaccard, licenses, mixing, packing, quality, sharding, sstable, suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.at_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
