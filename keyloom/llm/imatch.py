@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
+from keyloom.llm.sharding import approx_bytes
 
 #: Shares of the documents that hold a term of the lexicon: the band of inverse document frequency. The lexicon has at most
 #: (mean distinct terms of a document) / LEAST terms, which bounds what is broadcast.
@@ -20,8 +21,10 @@ LEAST, MOST = 0.0005, 0.1
 #: A term is in subset k with probability RATES[k % 8]: small ones survive large edits of long texts, large ones tell short texts apart.
 SUBSETS = 32
 RATES = (0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.0075, 0.004)
-#: Distinct terms a Python worker gathers before it passes them on; documents' ranges for finding the next one.
-HELD, RANGES = 1 << 20, 512
+#: Distinct terms a Python worker gathers before it passes them on. Documents are read in ranges of about RANGE_BYTES, of which
+#: there are from LEAST_RANGES to MOST_RANGES.
+HELD = 1 << 20
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 64 << 20, 256, 20_000
 EMPTY = "-" * 8
 
 
@@ -123,7 +126,8 @@ def fingerprint_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lex = spark.sparkContext.broadcast(Lexicon(lexicon(docs, least, most)))
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    cuts = docs.select(F.percentile_approx(place, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 100_000).alias("c")).first()[0] or []
+    n = min(MOST_RANGES, max(LEAST_RANGES, 3 * approx_bytes(docs) // RANGE_BYTES))
+    cuts = docs.select(F.percentile_approx(place, F.lit([k / n for k in range(1, n)]), 100_000).alias("c")).first()[0] or []
     cuts = sorted(set(cuts))
     tie = F.xxhash64("text")
 
@@ -137,8 +141,15 @@ def fingerprint_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST)
             })
 
     schema = "doc_id long, place long, tie long, part long, zipped binary, ghost boolean"
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: place > c))
-    firsts = docs.groupBy(part.cast("long").alias("part")).agg(F.max(F.struct(place.alias("place"), tie.alias("tie"))).alias("first")).orderBy("part").collect()  # RANGES rows at most
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array(cuts, np.int64)
+        for b in batches:
+            ids = b.column("place").to_numpy()
+            yield pa.record_batch({"place": b.column("place"), "tie": b.column("tie"), "part": pa.array(np.searchsorted(bounds, ids, "left").astype(np.int64))})
+
+    parts = docs.select(place.alias("place"), tie.alias("tie")).mapInArrow(ranged, "place long, tie long, part long")
+    firsts = parts.groupBy("part").agg(F.max(F.struct("place", "tie")).alias("first")).orderBy("part").collect()  # MOST_RANGES rows at most
     # the first document of a range also ends the nonempty range of larger identifiers that comes before it
     before = {r["part"]: (firsts[k + 1]["part"] if k + 1 < len(firsts) else firsts[0]["part"]) for k, r in enumerate(firsts)}
     goes_to = [(r["first"]["place"], r["first"]["tie"], before[r["part"]]) for r in firsts]
