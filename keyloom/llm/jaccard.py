@@ -241,13 +241,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     known = shared.join(about, "uid", "left").select("h", "part", "n", "pos", "uid", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
 
     def across(t: pa.Table) -> pa.Table:
-        """Pairs of centres of different groups with members in one list, and in how many: of single sets, those that can link."""
+        """Pairs of centres of different groups with members in one list, and in how many: those of which any members there can link."""
         h, comp, ctr, size, pos, lo, hi = (t.column(c).to_numpy() for c in ("h", "component", "centre", "n", "pos", "lo", "hi"))
         order = np.lexsort((ctr, h))
         h, comp, ctr, size, pos, lo, hi = (x[order] for x in (h, comp, ctr, size, pos, lo, hi))
         f = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctr[1:] != ctr[:-1])))  # a list's members behind one centre count once
-        h, comp, ctr, size, pos, lo, hi = (x[f] for x in (h, comp, ctr, size, pos, lo, hi))
-        alone = lo == hi
+        # what the list's members behind a centre can share at most, before and after it: for a single set, what may_link() takes
+        least, upto, rest = np.minimum.reduceat(size, f), np.maximum.reduceat(pos, f), np.maximum.reduceat(size - pos, f)
+        h, comp, ctr, lo, hi = (x[f] for x in (h, comp, ctr, lo, hi))
         s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         left = np.repeat(np.append(s[1:], len(h)), np.diff(np.append(s, len(h)))) - np.arange(len(h)) - 1  # partners that follow
         ends = np.cumsum(left)
@@ -259,7 +260,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             x = np.repeat(np.arange(at, to), m)
             y = x + 1 + C.ranges(np.zeros(len(m), np.int64), m)
             sizes = np.minimum(hi[x], hi[y]) * den >= num * np.maximum(lo[x], lo[y])
-            ok = (comp[x] != comp[y]) & sizes & (~(alone[x] & alone[y]) | may_link(size[x], size[y], pos[x], pos[y], num, den))
+            ok = (comp[x] != comp[y]) & sizes & (np.minimum(upto[x], upto[y]) + np.minimum(rest[x], rest[y]) >= need(least[x], least[y], num, den))
             x, y = x[ok], y[ok]
             a, b = np.where(ctr[x] < ctr[y], x, y), np.where(ctr[x] < ctr[y], y, x)
             out.append((ctr[a], ctr[b], lo[a], hi[a], lo[b], hi[b]))

@@ -192,6 +192,22 @@ def test_jaccard_groups_at_the_edge(spark):
     assert {d: r.component_id for d, r in got.items()} == union_find(links, sets)
 
 
+def test_jaccard_members_of_one_size_count_each(spark):
+    """A lone set that links to one member of a group whose sets all have one size, but stands too far from the others' positions."""
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(100)]
+        pair, own = [f"g{g}s{k}" for k in range(4)], [f"g{g}o{k}" for k in range(5)]
+        group = [base, *[base[:k] + base[k + 1 :] + [f"stop{k % 3}"] for k in range(90, 100)]]
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate([*group, base[:80] + base[84:] + pair, base[:70] + base[75:80] + base[84:] + pair + own])]
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1, 85, 100))
+    sets = {d: set(t.split()) for d, t in rows}
+    assert {len(s) for s in sets.values()} == {100}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(set(union_find(links, sets).values())) == 6 and all(sum(12 + 13 * g in x for x in links) == 1 for g in range(6))
+    assert {d: r.component_id for d, r in got.items()} == union_find(links, sets)
+
+
 # -- 4 -----------------------------------------------------------------------
 
 
