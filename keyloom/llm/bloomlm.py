@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c is held as q = 1 + floor(log_BASE c): the n-gram is inserted with 1, 2, ... q, and probing stops at the first number
-that is missing. The count read back, BASE ** (q - 1), is c or a little less. The filter's size has a fixed bound, so it is
-broadcast; n-grams rarer than a cut-off, 2 or higher if the filter would overflow, are left to the lower order.
+that is missing. The count read back, BASE ** (q - 1), is c or a little less. It holds every n-gram of the training
+texts, those seen once too, and grows with their number; it is broadcast whole.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from keyloom.llm import common as C
 
 BASE, PROBES, BITS_A_KEY = 1.5, 4, 12
-#: The filter's bytes, at most; regions of it that are built apart; words whose exact counts are broadcast, at most.
-FILTER_BYTES, REGIONS, HEAD_WORDS = 64 << 20, 1024, 1 << 20
-#: Share of the two-word estimate where the first word is known, and the rarest pair that is held.
-LAMBDA, LEAST_COUNT = 0.25, 2
+#: Regions of the filter that are built apart; words whose exact counts are broadcast, at most.
+REGIONS, HEAD_WORDS = 1024, 1 << 20
+#: Share of the two-word estimate where the first word is known.
+LAMBDA = 0.25
 END_WORD = b""
 #: Distinct words or pairs a Python worker gathers before it passes them on.
 HELD = 1 << 19
@@ -123,7 +123,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
                 yield from flush(k)
 
     part = docs.mapInArrow(gather, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = C.materialize(part.withColumn("n", (F.col("h").bitwiseAND(1) + 1).cast("int")).where(f"n = 1 or c >= {LEAST_COUNT}"), "counts")
+    counts = C.materialize(part.withColumn("n", (F.col("h").bitwiseAND(1) + 1).cast("int")), "counts")
     words = counts.where("n = 1")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     width = lambda: F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(BASE)) + 1e-9).cast("int")
@@ -131,11 +131,8 @@ def score_lm(docs: DataFrame) -> DataFrame:
     head_q, room = max((q for n, q in levels if n == 1), default=0) + 1, HEAD_WORDS
     while head_q > 0 and (room := room - levels.get((1, head_q - 1), 0)) >= 0:
         head_q -= 1
-    cut_q = max((q for n, q in levels if n == 2), default=0) + 1
-    keys, top = 0, cut_q
-    while cut_q > 0 and (keys + levels.get((2, cut_q - 1), 0) * cut_q) * BITS_A_KEY <= FILTER_BYTES * 8:
-        keys += levels.get((2, cut_q - 1), 0) * cut_q
-        cut_q -= 1
+    top = max((q for n, q in levels if n == 2), default=0) + 1
+    keys = sum(k * (q + 1) for (n, q), k in levels.items() if n == 2)
     region_bytes = max(8, -(-keys * BITS_A_KEY // (8 * REGIONS)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +153,9 @@ def score_lm(docs: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.record_batch({"region": [now], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    pairs = counts.where((F.col("n") == 2) & (width() >= cut_q)).select(F.shiftrightunsigned("h", 54).alias("region"), "h", "c").repartition("region").sortWithinPartitions("region")
+    pairs = counts.where("n = 2").select(F.shiftrightunsigned("h", 54).alias("region"), "h", "c").repartition("region").sortWithinPartitions("region")
     bits = np.zeros((REGIONS, region_bytes), np.uint8)
-    built = pairs.mapInArrow(build, "region long, bits binary").toArrow()  # FILTER_BYTES at most
+    built = pairs.mapInArrow(build, "region long, bits binary").toArrow()  # about BITS_A_KEY bits an insertion
     for k, x in zip(built.column("region").to_pylist(), built.column("bits").to_pylist(), strict=True):
         bits[k] = np.frombuffer(x, np.uint8)
     head = words.where(width() >= head_q).select("h", "c").toArrow()  # HEAD_WORDS rows at most

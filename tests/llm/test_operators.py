@@ -388,6 +388,23 @@ def test_lm(docs, empty, odd, fixture_rows, monkeypatch, head):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_lm_holds_every_pair(docs, fixture_rows):
+    """Pairs seen once count as well: with exact counts quantised, only the filter's false positives may lift a score."""
+    got = by_id(bloomlm.score_lm(docs))
+    toks = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts_of(fixture_rows).items() if not bloomlm.is_held_out(d)}
+    c, pairs = Counter(w for ws in toks.values() for w in ws), Counter(x for ws in toks.values() for x in itertools.pairwise(ws))
+    assert 1 in pairs.values()
+    base, close = sum(c.values()) + len(c) + 1, 0
+    for d, ws in toks.items():
+        want = math.log10((c[ws[0]] + 1) / base)
+        for v, w in itertools.pairwise(ws):
+            n = bloomlm.BASE ** (int(bloomlm.quantise(np.array([pairs[v, w]]))[0]) - 1)
+            want += math.log10((1 - bloomlm.LAMBDA) * (c[w] + 1) / base + bloomlm.LAMBDA * min(1.0, n / c[v]))
+        assert got[d].score >= want - 1e-6
+        close += math.isclose(got[d].score, want, rel_tol=0.01)
+    assert close > 0.9 * len(toks)
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(4)
     h, c = rng.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1), rng.integers(1, 5000, 3000)
