@@ -83,7 +83,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
 
     Training texts are those whose crc32 of doc_id (null: of nothing) mod 7 is not 2. Counts cover all of them. Exact counts of
     the HEAD_WORDS most frequent words at most, cut at a count, are broadcast; other words, which are rare, meet theirs in a join
-    of their own. The model mixes the pair estimate,
+    of their own, both as the word predicted and as the word before it. The model mixes the pair estimate,
     from the filter, with the add-one estimate of the base score. Equal rows get equal scores; an empty table gives no rows;
     other columns are left out.
     """
@@ -162,7 +162,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
     hh, hc = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hh)
     shared = spark.sparkContext.broadcast((hh[order], hc[order], bits))
-    most = float(np.ceil(BASE**head_q))
+    whole = head_q == 0  # no word is left out of the head
     base_all = float(total + distinct + 1)
     lam = LAMBDA
 
@@ -171,8 +171,8 @@ def score_lm(docs: DataFrame) -> DataFrame:
         return np.where(heads[k] == h, head_counts[k], 0) if len(heads) else np.zeros(len(h), np.int64)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with the sums over frequent words (w null), and one for each place of another word: what the
-        model needs there is the word's count (w), the pair's (pair) and the first word (v, its count or its hash)."""
+        """A row for each document with the sums over places whose counts are at hand (w null), and one for each other place: the
+        word (w) and its count, the word before it (v) and its count (0: none), counts of rare words null, and the pair's."""
         heads, head_counts, bits_ = shared.value
         model = LogFrequencyFilter(bits_, top + 1)
         row = 0
@@ -188,41 +188,44 @@ def score_lm(docs: DataFrame) -> DataFrame:
             seconds = np.flatnonzero(~first)
             pair = np.zeros(len(h))
             pair[seconds] = model.counts(C.mix(h[seconds - 1], h[seconds]) | np.uint64(1))
-            rare = c == 0
-            before = np.append(0, c[:-1])
-            loose = ~first & np.append(False, rare[:-1])  # the first word of the pair is rare: its count is not at hand
-            v = np.where(first, 0, np.where(loose, most, before))  # a rare first word's count is not at hand, but its bound is
+            rare = (c == 0) & (not whole)
+            before = np.where(first, 0, np.append(0, c[:-1]))
+            loose = ~first & np.append(False, rare[:-1])  # the first word of the pair is rare
             p1 = (c + 1) / base_all
-            p2 = np.where(first | (v == 0), p1, (1 - lam) * p1 + lam * np.minimum(1.0, pair / np.maximum(v, 1)))
-            now = ~rare
-            base = np.bincount(owner[now], np.log10(p1[now]), len(ids))
-            full = np.bincount(owner[now], np.log10(p2[now]), len(ids))
-            n, k = np.diff(offsets), np.bincount(owner[now], minlength=len(ids))
+            p2 = np.where(before == 0, p1, (1 - lam) * p1 + lam * np.minimum(1.0, pair / np.maximum(before, 1)))
+            now = ~rare & ~loose
+            base = np.bincount(owner, np.where(now, np.log10(p1), 0.0), len(ids))
+            full = np.bincount(owner, np.where(now, np.log10(p2), 0.0), len(ids))
+            n, k = np.diff(offsets), np.bincount(owner[now & (c > 0)], minlength=len(ids))
             key = part_no + row + np.arange(len(ids))
             row += len(ids)
             yield pa.record_batch({
                 "doc_id": pa.array(ids, pa.int64()), "uid": pa.array(key), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(k.astype(np.int64)), "base": pa.array(base), "full": pa.array(full),
-                "w": pa.nulls(len(ids), pa.int64()), "ratio": pa.nulls(len(ids), pa.float64()), "times": pa.nulls(len(ids), pa.int64()),
+                **{x: pa.nulls(len(ids), pa.int64()) for x in ("w", "c", "v", "before")}, "pair": pa.nulls(len(ids), pa.float64()), "times": pa.nulls(len(ids), pa.int64()),
             })
-            at = np.flatnonzero(rare)
+            at = np.flatnonzero(~now)
             if len(at):
-                ratio = np.where(first[at] | (v[at] == 0), -1.0, np.minimum(1.0, pair[at] / np.maximum(v[at], 1)))
-                order_ = np.lexsort((ratio, w[at], owner[at]))
-                at, ratio = at[order_], ratio[order_]
-                new = np.append(True, (w[at][1:] != w[at][:-1]) | (owner[at][1:] != owner[at][:-1]) | (ratio[1:] != ratio[:-1]))
-                s = np.flatnonzero(new)
+                v = np.where(loose, np.append(np.uint64(0), w[:-1]), np.uint64(0))
+                at = at[np.lexsort((pair[at], before[at], v[at], w[at], owner[at]))]
+                s = np.flatnonzero(np.append(True, np.any([x[at][1:] != x[at][:-1] for x in (pair, before, v, w, owner)], axis=0)))
                 times = np.diff(np.append(s, len(at)))
-                m = len(s)
+                at, m = at[s], len(s)
                 yield pa.record_batch({
-                    "doc_id": pa.nulls(m, pa.int64()), "uid": pa.array(key[owner[at[s]]]), "n_tokens": pa.nulls(m, pa.int64()), "n_known": pa.nulls(m, pa.int64()), "base": pa.nulls(m, pa.float64()), "full": pa.nulls(m, pa.float64()),
-                    "w": pa.array(w[at[s]].view(np.int64)), "ratio": pa.array(ratio[s]), "times": pa.array(times.astype(np.int64)),
+                    "doc_id": pa.nulls(m, pa.int64()), "uid": pa.array(key[owner[at]]), "n_tokens": pa.nulls(m, pa.int64()), "n_known": pa.nulls(m, pa.int64()), "base": pa.nulls(m, pa.float64()), "full": pa.nulls(m, pa.float64()),
+                    "w": pa.array(w[at].view(np.int64)), "c": pa.array(c[at], mask=rare[at]), "v": pa.array(v[at].view(np.int64)), "before": pa.array(before[at], mask=loose[at]), "pair": pa.array(pair[at]), "times": pa.array(times.astype(np.int64)),
                 })
 
-    rows = C.materialize(docs.mapInArrow(score, "doc_id long, uid long, n_tokens long, n_known long, base double, full double, w long, ratio double, times long"), "scores")
-    rare = words.where(width() < head_q).select(F.col("h").alias("w"), "c")
-    tail = rows.where("w is not null").select("uid", "w", "ratio", "times").join(rare, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rows = C.materialize(docs.mapInArrow(score, "doc_id long, uid long, n_tokens long, n_known long, base double, full double, w long, c long, v long, before long, pair double, times long"), "scores")
+    rare = words.where(width() < head_q).select("h", F.col("c").alias("exact"))
+
+    def met(t: DataFrame, word: str, count: str) -> DataFrame:
+        """Rare words' counts; rows that have theirs stay out of the join, as frequent words would crowd it."""
+        joined = t.where(F.col(count).isNull()).join(rare, F.col(word) == F.col("h"), "left").withColumn(count, F.coalesce("exact", F.lit(0))).drop("h", "exact")
+        return t.where(F.col(count).isNotNull()).unionByName(joined)
+
+    tail = met(met(rows.where("w is not null").select("uid", "w", "c", "v", "before", "pair", "times"), "w", "c"), "v", "before")
     p1 = (F.col("c") + 1) / F.lit(base_all)
-    p2 = F.when(F.col("ratio") < 0, p1).otherwise((1 - lam) * p1 + lam * F.col("ratio"))
+    p2 = F.when(F.col("before") == 0, p1).otherwise((1 - lam) * p1 + lam * F.least(F.lit(1.0), F.col("pair") / F.greatest("before", F.lit(1))))
     tail = tail.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.log10(p1) * F.col("times")).alias("more_base"), F.sum(F.log10(p2) * F.col("times")).alias("more_full"))
     out = rows.where("w is null").join(tail, "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))

@@ -388,6 +388,15 @@ def test_lm(docs, empty, odd, fixture_rows, monkeypatch, head):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+def test_lm_scores_do_not_depend_on_the_head(docs, monkeypatch):
+    scores = []
+    for head in (1 << 20, 40, 0):
+        monkeypatch.setattr(bloomlm, "HEAD_WORDS", head)
+        scores.append({d: (r.score, r.base_score, r.n_known) for d, r in by_id(bloomlm.score_lm(docs)).items()})
+    for other in scores[1:]:
+        assert all(math.isclose(x, y, rel_tol=1e-9) for d, r in scores[0].items() for x, y in zip(r, other[d], strict=True))
+
+
 def test_lm_holds_every_pair(docs, fixture_rows):
     """Pairs seen once count as well: with exact counts quantised, only the filter's false positives may lift a score."""
     got = by_id(bloomlm.score_lm(docs))
