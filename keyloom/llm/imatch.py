@@ -16,7 +16,7 @@ from keyloom.llm import common as C
 from keyloom.llm.sharding import approx_bytes
 
 #: Shares of the documents that hold a term of the lexicon: the band of inverse document frequency. The lexicon has at most
-#: (mean distinct terms of a document) / LEAST terms, which bounds what is broadcast.
+#: (mean distinct terms of a document) / LEAST terms, and those of a few groups of copies, which bounds what is broadcast.
 LEAST, MOST = 0.0005, 0.1
 #: A term is in subset k with probability RATES[k % 8]: small ones survive large edits of long texts, large ones tell short texts apart.
 SUBSETS = 32
@@ -24,6 +24,9 @@ RATES = (0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.0075, 0.004)
 #: Distinct terms a Python worker gathers before it passes them on. Documents are read in ranges of about RANGE_BYTES, of which
 #: there are from LEAST_RANGES to MOST_RANGES.
 HELD = 1 << 20
+#: A text's group of near copies is told by any of so many sketches, of so many least hashes each: texts that share a
+#: fraction x of their terms agree in one with x ** LEAST_HASHES.
+SKETCHES, LEAST_HASHES = 4, 4
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 64 << 20, 256, 20_000
 EMPTY = "-" * 8
 
@@ -43,8 +46,8 @@ class Lexicon:
         self.masks = subset_masks(self.terms)
 
     def fingerprints(self, words: C.Words) -> list[str]:
-        """SUBSETS hashes of eight hex digits (dashes where no term is in the subset) and one of all distinct terms of the text,
-        which tells texts apart that have no term of the lexicon."""
+        """SUBSETS hashes of eight hex digits (dashes where no term is in the subset) and one of all distinct terms of the text.
+        The subsets of a text without terms of the lexicon are of all its terms."""
         h = words.hashes()
         if len(self.terms) and len(h):
             k = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
@@ -57,7 +60,7 @@ class Lexicon:
             x, first = np.unique(h[codes], return_index=True)  # distinct terms, sorted
             m = mask[codes[first]]
             live = m > 0
-            y, m = x[live], m[live]
+            y, m = (x[live], m[live]) if live.any() else (x, subset_masks(x))
             digests = []
             for k in range(SUBSETS):
                 own = y[(m >> np.uint64(k)) & np.uint64(1) > 0]
@@ -82,34 +85,70 @@ def likeness(a: str, b: str) -> float:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
-    """Hashes of the terms whose document frequency, counted over all documents, lies in the band."""
+    """Hashes of the terms whose document frequency lies in the band.
+
+    It is counted over all documents but those of groups of copies and near copies with over half of ``most`` of the rows,
+    told by sketches of their terms: a group's own terms, which about half of it hold, are not rare, whatever the others hold,
+    and not frequent for its size.
+    """
+    docs, total = docs.select("text"), docs.count()
+
+    def sketches(w: C.Words) -> np.ndarray:
+        """SKETCHES numbers for each text that has terms."""
+        h, at, out = w.hashes(), w.offsets[:-1][w.counts > 0], []
+        for k in range(SKETCHES):
+            x = np.full(len(at), k, np.uint64)
+            for j in range(LEAST_HASHES):
+                x = C.mix(x, np.minimum.reduceat(C.mix(h, np.full(len(h), SUBSETS + 1 + k * LEAST_HASHES + j, np.uint64))[w.codes], at))
+            out.append(x)
+        return np.stack(out)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slabs(batches):
+            w = C.Words(b.column("text"), lower=True)
+            if len(w.codes):
+                u, n = np.unique(sketches(w), return_counts=True)
+                yield pa.record_batch({"s": pa.array(u.view(np.int64)), "n": pa.array(n)})
+
+    groups = docs.mapInArrow(sketch, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, most / 2 * total)).toArrow()  # SKETCHES * 2 / most rows at most
+    hot, held_by = groups.column("s").to_numpy().view(np.uint64), groups.column("n").to_numpy()
+    of = np.argsort(hot)
+    hot, held_by = hot[of], held_by[of]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, grouped = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            u, inv = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.bincount(inv, np.concatenate([y for _, y in held]), len(u)).astype(np.int64)
+            u, inv = np.unique(np.concatenate([x for x, _, _ in held]), return_inverse=True)
+            n = np.bincount(inv, np.concatenate([y for _, y, _ in held]), len(u)).astype(np.int64)
+            share = np.bincount(inv, np.concatenate([z for _, _, z in held]), len(u))
             for at in range(0, len(u), 1 << 16):
-                yield pa.record_batch({"h": pa.array(u[at : at + (1 << 16)].view(np.int64)), "n": pa.array(n[at : at + (1 << 16)])})
+                yield pa.record_batch({"h": pa.array(u[at : at + (1 << 16)].view(np.int64)), "n": pa.array(n[at : at + (1 << 16)]), "share": pa.array(share[at : at + (1 << 16)])})
 
         for b in C.slabs(batches):
             w = C.Words(b.column("text"), lower=True)
             if not len(w.codes):
                 continue
             owner = np.repeat(np.arange(len(w)), w.counts)
-            once = np.unique(owner * len(w.words) + w.codes) % len(w.words)
-            held.append((w.hashes(), np.bincount(once, minlength=len(w.words))))
+            who, once = np.divmod(np.unique(owner * len(w.words) + w.codes), len(w.words))
+            part = np.zeros(len(w))  # of its group, if that is hot
+            if len(hot):
+                own = sketches(w)
+                k = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+                part[w.counts > 0] = np.where(hot[k] == own, 1 / held_by[k], 0.0).max(axis=0)
+                grouped += int((part > 0).sum())
+            held.append((w.hashes(), np.bincount(once[part[who] == 0], minlength=len(w.words)), np.bincount(once, part[who], len(w.words))))
             size += len(w.words)
             if size > HELD:
                 yield from flush()
                 held, size = [], 0
         if held:
             yield from flush()
+        yield pa.record_batch({"h": pa.nulls(1, pa.int64()), "n": pa.array([grouped]), "share": pa.array([0.0])})  # texts of hot groups
 
-    total = docs.count()
-    df = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    band = df.where((F.col("n") >= max(2, least * total)) & (F.col("n") <= max(2, most * total)))
+    df = C.materialize(docs.mapInArrow(count, "h long, n long, share double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "terms")
+    rest = total - (df.where("h is null").agg(F.sum("n")).first()[0] or 0)
+    band = df.where(F.col("h").isNotNull() & ((F.col("n") >= max(2, least * rest)) | (F.col("share") >= 0.5)) & (F.col("n") <= max(2, most * rest)))
     return band.select("h").toArrow().column("h").to_numpy().view(np.uint64)
 
 

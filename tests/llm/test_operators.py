@@ -351,6 +351,23 @@ def test_lexicon_band(docs, fixture_rows):
     assert set(imatch.lexicon(docs, 0.05, 0.2).tolist()) == want
 
 
+def test_imatch_tells_hot_groups(spark):
+    """A third of the rows are near copies of one text, a third copies of another: their terms stay in the lexicon."""
+    import random
+
+    r = random.Random(5)
+    near, same = [f"n{k}" for k in range(200)], " ".join(f"s{k}" for k in range(200))
+    rows = [" ".join([*near[:k], f"z{k}", *near[k + 1 :]]) for k in range(60)] + [same] * 60 + [" ".join(r.choices([f"v{k}" for k in range(900)], k=60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    terms = set(imatch.lexicon(docs).tolist())
+    hashes = [common.xxhash.xxh64_intdigest(w.encode()) for w in [*near, *same.split()]]
+    assert sum(h in terms for h in hashes) == len(hashes)
+    got = by_id(imatch.fingerprint_pairs(docs))
+    assert all(got[d].near_edited > 0 for d in range(61, 120)) and all(got[d].near_next >= 0.5 for d in range(1, 60))
+    words = common.Words(pa.array(["a b c d e f g h", "a b c d e f g i"]))
+    assert imatch.likeness(*imatch.Lexicon(np.zeros(0, np.uint64)).fingerprints(words)) > 0
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
