@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,11 @@ def wide(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
     return df.repartition(tasks or max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def parts(spark: SparkSession, size: int, each: int) -> int:
+    """How many tasks take size bytes, each some, and no fewer than keep all cores busy."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-int(size) // each))
+
+
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, step: int = 4096) -> DataFrame:
     """Adds out: the sum of value over rows of smaller order (a long, unique, from 0). Two levels, so no task sorts all rows."""
     from pyspark.sql import Window as W
@@ -177,6 +183,34 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
+# -- sorted keys between tasks ------------------------------------------------
+
+
+def cut_ranges(u: np.ndarray, width: float, many: int) -> Iterator[tuple[int, int, int]]:
+    """(range, start, end) of each range of width that sorted hashes fall in; a hash's range depends on its leading 32 bits alone."""
+    part = np.minimum(((u >> np.uint64(32)).astype(np.float64) * (2.0**32 / width)).astype(np.int64), many - 1)
+    s = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(u) else np.zeros(0, np.int64)
+    yield from zip(part[s].tolist(), s.tolist(), np.append(s[1:], len(u)).tolist(), strict=True)
+
+
+def pack_keys(u: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane, so that their leading zeros take no room, and other arrays."""
+    planes = np.diff(u, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") for x in (u, *more)) + planes + b"".join(x.tobytes() for x in more))
+
+
+def unpack_keys(blob: bytes, *types: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, *sizes = (int.from_bytes(raw[8 * k : 8 * k + 8], "little") for k in range(1 + len(types)))
+    at = 8 * (1 + len(types))
+    out = [np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)]
+    at += 8 * n
+    for t, k in zip(types, sizes, strict=True):
+        out.append(np.frombuffer(raw, t, k, at))
+        at += k * np.dtype(t).itemsize
+    return out
+
+
 # -- tokens ------------------------------------------------------------------
 
 END = 2

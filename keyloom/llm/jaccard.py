@@ -1,10 +1,13 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, with skipping by set relations.
 
-Index level: each set's rarest shingles (its prefix) are posted with the set's size and their position; blocks of postings
-of which size or position rules out a link are skipped. Answer level: a set is compared with one highly similar set of its
-lists first. From then on the members of a group stand behind their centre: since 1 - Jaccard is a metric, what the centre's
-computed distance to another centre rules out is ruled out for all members, and only what is left is compared.
-Documents of equal sets are one set throughout.
+Shingles are ordered by the number of distinct sets that hold them, counted over the whole corpus. Those of one set come first and
+are never posted, so a set with more of them than its prefix is long has no postings at all. Index level: each set's rarest
+shingles (its prefix) are posted with the set's size and their position; a list is sorted by size and cut in blocks,
+and a block whose sizes or positions rule out a link is skipped whole; a heavy list is dealt as pairs of its
+parts. Answer level: a set is compared with one highly similar set of its lists first. From then on the members of a
+group stand behind their centre: since 1 - Jaccard is a metric, what the centre's computed distance to another centre rules out is
+ruled out for all members; for the rest, a member's overlap with a set is derived from its centre's overlap with it and the
+few shingles that tell the member from the centre. Documents of equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
-from keyloom.llm.suffix import _arrays, _blob, _by, member
+from keyloom.llm.suffix import member
 
-#: Shingles seen in LOCAL sets of one pack are counted; those of the largest counts, HOT at most, are put last in prefixes.
-LOCAL, HOT = 4, 1 << 23
-#: Bytes of postings in a range of hashes, and pairs of one list enumerated at once.
-RANGE_BYTES, PAIRS = 4 << 20, 1 << 20
+#: Bytes of shingles that a task gathers before it sends them on, and in a range of hashes; both only set the number of tasks.
+CHUNK_BYTES, RANGE_BYTES = 32 << 20, 16 << 20
+#: Sets of a list skipped or enumerated together; sets in a part of a heavy list; pairs enumerated at once.
+BLOCK, HEAVY, PAIRS = 32, 1024, 1 << 20
 
 
 def pack_sets(where: str, pack: str, rows: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,10 +61,10 @@ def need(n1, n2, num: int, den: int):
     return F.ceil(x / (num + den)) if isinstance(x, Column) else -(-x // (num + den))
 
 
-def may_link(n1, n2, p1, p2, num: int, den: int) -> np.ndarray:
+def may_link(n1: Column, n2: Column, p1: Column, p2: Column, num: int, den: int) -> Column:
     """Whether sets of these sizes that share a shingle at these positions can link, if they share all before it that they can: the size
     and position filters."""
-    return (np.minimum(n1, n2) * den >= num * np.maximum(n1, n2)) & (np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2) >= need(n1, n2, num, den))
+    return (F.least(n1, n2) * den >= num * F.greatest(n1, n2)) & (F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= need(n1, n2, num, den))
 
 
 def shared_least(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, num: int, den: int) -> Column:
@@ -79,6 +82,7 @@ def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[order][s] for c in columns], np.diff(np.append(s, len(a)))
 
 
+BLOBS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
 PAIR = "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, c long"
 
 
@@ -100,87 +104,101 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     meta = C.write_packs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), where)
 
     def sign(t: pa.Table) -> pa.Table:
-        """Sizes and 128-bit signatures of a pack's sets (kind 0), and its frequent shingles (kind 1: hash and count)."""
+        """Sizes and 128-bit signatures of a pack's sets."""
         pack, rows = t.column("pack")[0].as_py(), t.column("row").to_numpy()
         sizes, s1, s2 = (np.zeros(int(rows.max()) + 1, np.int64) for _ in range(3))
-        seen, sets = set(), []
         for row, s in pack_sets(where, pack, rows, n):
             d = xxhash.xxh3_128_intdigest(s.tobytes())
             sizes[row], s1[row], s2[row] = len(s), (d >> 64) - (1 << 63), (d & C.MASK) - (1 << 63)
-            if len(s) and d not in seen:
-                seen.add(d)
-                sets.append(s)
-        h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        h, c = h[c >= LOCAL], c[c >= LOCAL]
-        first = pa.table({"kind": pa.array(np.zeros(len(rows), np.int32)), "doc_id": t.column("doc_id"), "uid": t.column("uid"), "pack": t.column("pack"), "row": t.column("row"), "n": pa.array(sizes[rows]), "s1": pa.array(s1[rows]), "s2": pa.array(s2[rows]), "text_hash": t.column("h1")})
-        more = pa.table({"kind": pa.array(np.ones(len(h), np.int32)), "doc_id": pa.nulls(len(h), pa.int64()), "uid": pa.nulls(len(h), pa.int64()), "pack": pa.nulls(len(h), pa.string()), "row": pa.nulls(len(h), pa.int32()), "n": pa.array(c), "s1": pa.array(h.view(np.int64)), "s2": pa.nulls(len(h), pa.int64()), "text_hash": pa.nulls(len(h), pa.int64())})
-        return pa.concat_tables([first, more])
-
-    signed = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(sign, "kind int, doc_id long, uid long, pack string, row int, n long, s1 long, s2 long, text_hash long"), "signed")
-    sets, total = signed.where("kind = 0").drop("kind"), signed.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    least = max(2 * LOCAL, -(-total // HOT))  # at most total / least shingles are as frequent: HOT
-    hot = signed.where("kind = 1").groupBy(F.col("s1").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= least).toArrow()
-    hh, hc = hot.column("h").to_numpy().view(np.uint64), np.log2(np.maximum(1, hot.column("c").to_numpy())).astype(np.int8)
-    by = np.argsort(hh)
-    frequent = spark.sparkContext.broadcast((hh[by], hc[by]))
+        return pa.table({"doc_id": t.column("doc_id"), "uid": t.column("uid"), "pack": t.column("pack"), "row": t.column("row"), "n": pa.array(sizes[rows]), "s1": pa.array(s1[rows]), "s2": pa.array(s2[rows]), "text_hash": t.column("h1")})
 
+    sets = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(sign, "doc_id long, uid long, pack string, row int, n long, s1 long, s2 long, text_hash long"), "signed")
     same = ["s1", "s2", "n"]
-    reps = C.materialize(sets.where("n > 0").groupBy(*same).agg(F.min(F.struct("uid", "pack", "row")).alias("r")).select(*same, "r.uid", "r.pack", "r.row"), "sets")
-    bits = max(3, int(np.ceil(np.log2(max(1.0, total * (1 - num / den) * 16) / RANGE_BYTES + 1))))
-    shift = np.uint64(64 - bits)
-
-    def post(t: pa.Table) -> pa.Table:
-        """A pack's prefixes, by range of hashes: shingle, uid, size, position (from 1)."""
-        pack, uid = t.column("pack")[0].as_py(), dict(zip(t.column("row").to_pylist(), t.column("uid").to_pylist(), strict=True))
-        fh, fc = frequent.value
-        tok, ids, size, pos = [], [], [], []
-        for row, s in pack_sets(where, pack, t.column("row").to_numpy(), n):
-            cls = np.zeros(len(s), np.int8)
-            if len(fh):
-                k = np.minimum(np.searchsorted(fh, s), len(fh) - 1)
-                cls = np.where(fh[k] == s, fc[k], cls)
-            m = int(prefix_length(np.array(len(s)), num, den))
-            order = np.argsort(cls, kind="stable")[:m]
-            tok.append(s[order])
-            ids.append(np.full(m, uid[row]))
-            size.append(np.full(m, len(s)))
-            pos.append(np.arange(1, m + 1))
-        tok, ids, size, pos = (np.concatenate(x) for x in (tok, ids, size, pos))
-        base = int(ids.min())
-        parts, blobs = [], []
-        for p, m in _by((tok >> shift).astype(np.int64)):
-            m = m[np.argsort(tok[m])]
-            parts.append(p)
-            blobs.append(_blob(tok[m], np.array([base], np.int64), (ids[m] - base).astype(np.int32), size[m].astype(np.int32), pos[m].astype(np.int32)))
-        return pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(blobs, pa.binary())})
-
-    posted = C.wide(reps, "pack").groupBy("pack").applyInArrow(post, "part long, blob binary")
-
-    def lists(t: pa.Table) -> pa.Table:
-        """The postings of shingles that several sets have in their prefixes."""
-        got: list[list[np.ndarray]] = [[], [], [], []]
-        for blob in t.column("blob").to_pylist():
-            tok, base, ids, size, pos = _arrays(blob, "<u8", "<i8", "<i4", "<i4", "<i4")
-            for x, y in zip(got, (tok, ids + base[0], size, pos), strict=True):
-                x.append(y)
-        tok, ids, size, pos = (np.concatenate(x) for x in got)
-        u, c = np.unique(tok, return_counts=True)
-        keep = member(tok, u[c > 1])
-        return pa.table({"h": pa.array(tok[keep].view(np.int64)), "uid": pa.array(ids[keep]), "n": pa.array(size[keep].astype(np.int64)), "pos": pa.array(pos[keep].astype(np.int64)), "part": pa.array(np.full(int(keep.sum()), t.column("part")[0].as_py()))})
-
-    shared = C.materialize(C.wide(posted, "part").groupBy("part").applyInArrow(lists, "h long, uid long, n long, pos long, part long"), "lists")
-
-    def stars(t: pa.Table) -> pa.Table:
-        """Each list's sets with the one in whose order the shingle comes first: it has the fewest shingles of its own, as the
-        text from which others were edited has."""
-        h, uid, size, pos = (t.column(c).to_numpy() for c in ("h", "uid", "n", "pos"))
-        order = np.lexsort((uid, pos, h))
-        h, uid, size, pos = h[order], uid[order], size[order], pos[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        c = np.repeat(first, np.diff(np.append(first, len(h))))
-        ok = (np.arange(len(h)) != c) & may_link(size, size[c], pos, pos[c], num, den)
-        n1, n2 = size[c][ok], size[ok]
-        return pair_table(*counted(uid[c][ok], uid[ok], n1, n1, n2, n2))
+    reps = sets.where("n > 0").groupBy(*same).agg(F.min(F.struct("uid", "pack", "row")).alias("r")).select(*same, "r.uid", "r.pack", "r.row")
+    reps = C.materialize(reps, "sets")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    chunks, ranges_ = C.parts(spark, 8 * total, CHUNK_BYTES), C.parts(spark, 8 * total, RANGE_BYTES)
+    reps = reps.withColumn("chunk", F.pmod(F.xxhash64("pack"), F.lit(chunks)))
+    wide_ = 2.0**64 / ranges_
+
+    def of_packs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """(uid, shingles) of the sets of a chunk."""
+        uid = dict(zip(zip(t.column("pack").to_pylist(), t.column("row").to_pylist(), strict=True), t.column("uid").to_pylist(), strict=True))
+        by: dict[str, list[int]] = {}
+        for pack, row in uid:
+            by.setdefault(pack, []).append(row)
+        for pack, rows in sorted(by.items()):
+            for row, s in pack_sets(where, pack, np.array(rows, np.int64), n):
+                yield uid[pack, row], s
+
+    def gather(t: pa.Table) -> pa.Table:
+        """Shingles of a chunk's sets, and of how many, by range of hashes."""
+        held, size, out = [], 0, {"chunk": [], "part": [], "blob": []}
+
+        def flush() -> None:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            for part, a, b in C.cut_ranges(u, wide_, ranges_):
+                more = np.flatnonzero(c[a:b] > 1)
+                for k, v in zip(out, (t.column("chunk")[0].as_py(), part, C.pack_keys(u[a:b], more.astype(np.uint32), c[a:b][more].astype(np.uint32))), strict=True):
+                    out[k].append(v)
+
+        for _, s in of_packs(t):
+            held.append(s)
+            size += s.nbytes
+            if size >= CHUNK_BYTES:
+                flush()
+                held, size = [], 0
+        if held:
+            flush()
+        return pa.table(out, schema=BLOBS)
+
+    gathered = C.wide(reps, "chunk", chunks).groupBy("chunk").applyInArrow(gather, "chunk long, part long, blob binary")
+
+    def frequencies(t: pa.Table) -> pa.Table:
+        """For each chunk, those of its shingles in a range that several sets hold, and how many."""
+        got = [C.unpack_keys(x, "<u4", "<u4") for x in t.column("blob").to_pylist()]
+        every = np.sort(np.concatenate([k for k, _, _ in got]))
+        several = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[m] for k, m, _ in got)]))
+        del every
+        count, own = np.zeros(len(several), np.int64), []
+        for k, m, c in got:
+            at = np.flatnonzero(member(k, several))
+            number = np.ones(len(k), np.int64)
+            number[m] = c
+            i = np.searchsorted(several, k[at])
+            count[i] += number[at]  # a blob's shingles are distinct
+            own.append(i)
+        blobs = [C.pack_keys(several[i], np.minimum(count[i], 1 << 31).astype(np.uint32)) for i in own]
+        return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "blob": pa.array(blobs, pa.binary())}, schema=BLOBS)
+
+    known_to = C.wide(gathered, "part", ranges_).groupBy("part").applyInArrow(frequencies, "chunk long, part long, blob binary")
+
+    def post(key, t: pa.Table, back: pa.Table) -> pa.Table:
+        """The shared part of the prefixes of a chunk's sets: shingle, uid, size, position (from 1)."""
+        got = [C.unpack_keys(x, "<u4") for x in back.column("blob").to_pylist()]
+        several, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in got)]), return_index=True)
+        count = np.concatenate([np.zeros(0, np.uint32), *(c for _, c in got)])[first]
+        del got
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for uid, s in of_packs(t) if len(several) else ():
+            k = np.searchsorted(several, s)
+            k = k[several[np.minimum(k, len(several) - 1)] == s]
+            lone, m = len(s) - len(k), int(prefix_length(np.array(len(s)), num, den))
+            if lone < m:
+                k = k[np.lexsort((k, count[k]))[: m - lone]]
+                for x, y in zip(out, (several[k], np.full(len(k), uid), np.full(len(k), len(s)), lone + 1 + np.arange(len(k))), strict=True):
+                    x.append(y)
+        tok, ids, size, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table({"h": pa.array(tok.view(np.int64)), "uid": pa.array(ids), "n": pa.array(size), "pos": pa.array(pos)})
+
+    posted = C.wide(reps.select("uid", "pack", "row", "chunk"), "chunk", chunks).groupBy("chunk").cogroup(C.wide(known_to, "chunk", chunks).groupBy("chunk")).applyInArrow(post, "h long, uid long, n long, pos long")
+    posted = C.materialize(posted, "postings")
+    # Each list's sets with the one in whose order the shingle comes first: it has the fewest shingles of its own, as the text from
+    # which others were edited has.
+    lists = posted.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("pos", "uid", "n")).alias("c")).where("many > 1").select("h", F.col("c.uid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.pos").alias("pos_a"))
+    shared = C.materialize(posted.join(lists, "h"), "lists")
+    stars = shared.where((F.col("uid") != F.col("a")) & may_link(F.col("n"), F.col("n_a"), F.col("pos"), F.col("pos_a"), num, den))
+    stars = stars.select("a", F.col("uid").alias("b"), F.col("n_a").alias("lo_a"), F.col("n_a").alias("hi_a"), F.col("n").alias("lo_b"), F.col("n").alias("hi_b"), F.lit(1).alias("c"))
 
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs whose prefixes share as many shingles as a link takes, over all lists."""
@@ -230,7 +248,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         union = F.col("n_a") + F.col("n_b") - F.col("inter")
         return C.materialize(done.select("a", "b", (1 - F.col("inter") / union).alias("d"), (den * F.col("inter") >= num * union).alias("linked")), name)
 
-    stars_ = verify(enough(C.wide(shared, "part").groupBy("part").applyInArrow(stars, PAIR)), "stars")
+    stars_ = verify(enough(stars), "stars")
     links = stars_.where("linked").select("a", "b")
     group = C.materialize(C.components(links), "groups")
     centre = stars_.where("linked").groupBy(F.col("b").alias("uid")).agg(F.min(F.struct("d", "a")).alias("c"))
@@ -238,37 +256,55 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     about = C.materialize(about, "members")
     spread = about.groupBy("centre").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     about = C.materialize(about.drop("n").join(spread, "centre"), "centres")
-    known = shared.join(about, "uid", "left").select("h", "part", "n", "pos", "uid", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
+    known = shared.join(about, "uid", "left").select("h", "n", "pos", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
+    # a list's members behind one centre are one entry: what they can share at most, before and after it
+    entries = known.groupBy("h", "centre").agg(*[F.first(c).alias(c) for c in ("component", "lo", "hi")], F.min("n").alias("least"), F.max("pos").alias("upto"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    entries = C.materialize(entries, "entries")
+    several = entries.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h", F.ceil(F.col("many") / HEAVY).alias("cuts"))
+    own = F.pmod(F.xxhash64(F.lit(5), "centre"), F.col("cuts"))
+    dealt = entries.join(several, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    deals = C.parts(spark, 64 * entries.count(), RANGE_BYTES)
+    dealt = dealt.select("h", F.xxhash64("h", "i", "j").alias("list"), (F.col("i") == F.col("j")).alias("whole"), "side", "component", "centre", "lo", "hi", "least", "upto", "rest").withColumn("part", F.pmod(F.col("list"), F.lit(deals)))
 
     def across(t: pa.Table) -> pa.Table:
         """Pairs of centres of different groups with members in one list, and in how many: those of which any members there can link."""
-        h, comp, ctr, size, pos, lo, hi = (t.column(c).to_numpy() for c in ("h", "component", "centre", "n", "pos", "lo", "hi"))
-        order = np.lexsort((ctr, h))
-        h, comp, ctr, size, pos, lo, hi = (x[order] for x in (h, comp, ctr, size, pos, lo, hi))
-        f = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctr[1:] != ctr[:-1])))  # a list's members behind one centre count once
-        # what the list's members behind a centre can share at most, before and after it: for a single set, what may_link() takes
-        least, upto, rest = np.minimum.reduceat(size, f), np.maximum.reduceat(pos, f), np.maximum.reduceat(size - pos, f)
-        h, comp, ctr, lo, hi = (x[f] for x in (h, comp, ctr, lo, hi))
-        s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        left = np.repeat(np.append(s[1:], len(h)), np.diff(np.append(s, len(h)))) - np.arange(len(h)) - 1  # partners that follow
-        ends = np.cumsum(left)
-        out, total = [], int(ends[-1]) if len(ends) else 0
-        at = 0
-        while at < len(h):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            m = left[at:to]
-            x = np.repeat(np.arange(at, to), m)
-            y = x + 1 + C.ranges(np.zeros(len(m), np.int64), m)
-            sizes = np.minimum(hi[x], hi[y]) * den >= num * np.maximum(lo[x], lo[y])
-            ok = (comp[x] != comp[y]) & sizes & (np.minimum(upto[x], upto[y]) + np.minimum(rest[x], rest[y]) >= need(least[x], least[y], num, den))
+        col = lambda c: t.column(c).to_numpy()
+        h, lo = col("list"), col("lo")
+        order = np.lexsort((col("centre"), lo, h))
+        h, lo = h[order], lo[order]
+        comp, ctr, hi, least, upto, rest, side = (col(c)[order] for c in ("component", "centre", "hi", "least", "upto", "rest", "side"))
+        whole = t.column("whole").to_numpy(zero_copy_only=False)[order]
+        lists_ = np.cumsum(np.append(False, h[1:] != h[:-1]))
+        top = np.int64(max(int(lo.max(initial=0)), int(hi.max(initial=0)) * den // num) + 1)
+        # sorted by size, an entry's partners of fitting size are the stretch that follows it
+        end = np.searchsorted(lists_ * top + lo, lists_ * top + hi * den // num, "right")
+        at = np.arange(len(h))
+        blocks = np.arange(0, len(h), BLOCK)
+        u, r, m = (f.reduceat(x, blocks) if len(h) else x for f, x in ((np.maximum, upto), (np.maximum, rest), (np.minimum, least)))
+        fits = lambda a, b, c, x, y, z: np.minimum(a, x) + np.minimum(b, y) >= need(c, z, num, den)
+        k = np.where(end > at + 1, (end - 1) // BLOCK - (at + 1) // BLOCK + 1, 0)
+        total = np.cumsum(k * BLOCK)
+        got: list[list[np.ndarray]] = []
+        a = 0
+        while a < len(h):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            x = np.repeat(at[a:b], k[a:b])
+            block = C.ranges((at[a:b] + 1) // BLOCK, k[a:b])
+            live = fits(upto[x], rest[x], least[x], u[block], r[block], m[block])
+            x, block = x[live], block[live]
+            s, e = np.maximum(x + 1, block * BLOCK), np.minimum(end[x], (block + 1) * BLOCK)
+            y, x = C.ranges(s, e - s), np.repeat(x, e - s)
+            ok = (comp[x] != comp[y]) & (whole[x] | (side[x] != side[y])) & fits(upto[x], rest[x], least[x], upto[y], rest[y], least[y])
             x, y = x[ok], y[ok]
-            a, b = np.where(ctr[x] < ctr[y], x, y), np.where(ctr[x] < ctr[y], y, x)
-            out.append((ctr[a], ctr[b], lo[a], hi[a], lo[b], hi[b]))
-            at = to
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if total else [np.zeros(0, np.int64)] * 6
-        return pair_table(*counted(*columns))
-
-    pairs = enough(C.wide(known, "part").groupBy("part").applyInArrow(across, PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
+            p, q = np.where(ctr[x] < ctr[y], x, y), np.where(ctr[x] < ctr[y], y, x)
+            pairs_, c = counted(ctr[p], ctr[q], lo[p], hi[p], lo[q], hi[q])
+            got.append([*pairs_, c])
+            a = b
+        columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 7
+        return pair_table(columns[:6], columns[6])
+
+    pairs = enough(C.wide(dealt, "part", deals).groupBy("part").applyInArrow(across, PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
     centres_ = verify(pairs, "between")
     group = C.materialize(C.components(links.union(centres_.where("linked").select("a", "b"))), "groups")
     # Members behind centres that don't link: only those that the triangle inequality leaves open, of groups not yet joined. The
@@ -290,11 +326,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         asked = open_.join(behind.select(F.col("centre").alias("small"), F.col("uid").alias("y"), F.col("radius").alias("ry"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a")), "small").where(F.col("d") <= slack + F.col("reach") + F.col("ry"))
         packs = behind.join(open_.select(F.col("big").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("big"), "pack").distinct()
         asked = C.materialize(asked.join(packs, "big").select("y", "pack_a", "row_a", F.col("pack").alias("pack_b"), "big", "small", (F.col("d") - F.col("ry") - slack).alias("least")), "asked")
-        sent = C.wide(asked.select(F.col("y").alias("a"), "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
+        middle = asked.select(F.col("big").alias("uid"), "pack_b").distinct().join(at, "uid").select(F.col("uid").alias("a"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a"), "pack_b")
+        sent = C.wide(asked.select(F.col("y").alias("a"), "pack_a", "row_a", "pack_b").union(middle).distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
         sent = asked.select("pack_b", "y", "big", "small", "least", F.lit(None).cast("binary").alias("set")).union(sent.select("pack_b", F.col("a").alias("y"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), "set"))
 
         def answer(key, t: pa.Table, members: pa.Table) -> pa.Table:
-            """Links (y, x) of the sets y that were sent and members x in this pack: of each group one for a y is enough."""
+            """Links (y, x) of the sets y that were sent and members x in this pack: of each group one for a y is enough. The overlap of x
+            and y follows from that of x's centre and y, less what x lacks of the centre, plus what it has besides."""
             sets_, asks, links_ = {}, {}, []
             for y, big, small, least_, s in zip(*(t.column(c).to_pylist() for c in ("y", "big", "small", "least", "set")), strict=True):
                 if s is not None:
@@ -302,19 +340,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 else:
                     asks.setdefault(big, []).append((y, small, least_))
             found: set[tuple[int, int]] = set()
+            overlap: dict[tuple[int, int], int] = {}
             own: dict[int, list[tuple[int, int, float]]] = {}
             for row, big, uid, radius in zip(*(members.column(c).to_pylist() for c in ("row", "centre", "uid", "radius")), strict=True):
                 if big in asks:
                     own.setdefault(row, []).append((big, uid, radius))
             for row, s in pack_sets(where, key[0].as_py(), np.array(list(own), np.int64), n) if own else ():
                 for big, uid, radius in own[row]:
+                    centre_ = sets_[big]
+                    lacks, extra = centre_[~member(centre_, s)], s[~member(s, centre_)]
                     for y, small, least_ in asks[big]:
                         if radius < least_ or (y == small and uid == big) or (big, y) in found:
                             continue
                         o = sets_[y]
-                        if min(len(o), len(s)) * den < num * max(len(o), len(s)):
+                        if (big, y) not in overlap:
+                            overlap[big, y] = int(member(centre_, o).sum())
+                        most = overlap[big, y] + len(extra)
+                        if den * most < num * (len(o) + len(s) - most):
                             continue
-                        inter = int(member(o, s).sum())
+                        inter = overlap[big, y] - int(member(lacks, o).sum()) + int(member(extra, o).sum())
                         if den * inter >= num * (len(o) + len(s) - inter):
                             found.add((big, y))
                             links_.append((y, uid))

@@ -172,8 +172,12 @@ def test_jaccard(docs, empty, odd, fixture_rows, n, num, den):
         assert len(rows) == 14 and sum(r.is_first for r in rows) == len(set(union_find(links, range(14)).values()))
 
 
-def test_jaccard_groups_at_the_edge(spark):
-    """Groups whose members, not their centres, link: the triangle inequality must leave them open."""
+@pytest.mark.parametrize(("heavy", "block", "chunk"), [(1024, 32, 1 << 25), (3, 2, 1 << 10)])
+def test_jaccard_groups_at_the_edge(spark, monkeypatch, heavy, block, chunk):
+    """Groups whose members, not their centres, link: the triangle inequality must leave them open. Parts of heavy lists, small
+    blocks and chunks give the same."""
+    for name, value in (("HEAVY", heavy), ("BLOCK", block), ("CHUNK_BYTES", chunk)):
+        monkeypatch.setattr(jaccard, name, value)
     import random
 
     r = random.Random(2)
