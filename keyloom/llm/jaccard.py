@@ -4,7 +4,7 @@ Shingles are ordered by the number of distinct sets that hold them, counted over
 are never posted, so a set with more of them than its prefix is long has no postings at all. Index level: each set's rarest
 shingles (its prefix) are posted with the set's size and their position; a list is sorted by size and cut in blocks,
 and a block whose sizes or positions rule out a link is skipped whole; a heavy list is dealt as pairs of its
-parts. Answer level: a set is compared with one highly similar set of its lists first. From then on the members of a
+parts; bit maps of whole sets rule out most pairs that are left. Answer level: a set is compared with one highly similar set of its lists first. From then on the members of a
 group stand behind their centre: since 1 - Jaccard is a metric, what the centre's computed distance to another centre rules out is
 ruled out for all members; for the rest, a member's overlap with a set is derived from its centre's overlap with it and the
 few shingles that tell the member from the centre. Documents of equal sets are one set throughout.
@@ -26,7 +26,9 @@ from keyloom.llm.suffix import member
 #: Bytes of shingles that a task gathers before it sends them on, and in a range of hashes; both only set the number of tasks.
 CHUNK_BYTES, RANGE_BYTES = 32 << 20, 16 << 20
 #: Sets of a list skipped or enumerated together; sets in a part of a heavy list; pairs enumerated at once.
-BLOCK, HEAVY, PAIRS = 32, 1024, 1 << 20
+BLOCK, HEAVY, PAIRS = 32, 1024, 1 << 17
+#: 64-bit words of a set's bit map.
+WORDS = 16
 
 
 def pack_sets(where: str, pack: str, rows: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,6 +76,13 @@ def shared_least(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, num: in
     return F.greatest(need(lo_a, lo_b, num, den) - rest, F.lit(1))
 
 
+def bit_map(s: np.ndarray) -> bytes:
+    """For each bit whether an odd number of a set's shingles falls on it. Bits in which two maps differ are no more than shingles that
+    only one of the sets holds."""
+    at = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS)
+    return np.packbits(at & 1).tobytes()
+
+
 def counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct pairs (the first two columns) with what belongs to them, and how often each came."""
     order = np.lexsort((columns[1], columns[0]))
@@ -174,25 +183,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     known_to = C.wide(gathered, "part", ranges_).groupBy("part").applyInArrow(frequencies, "chunk long, part long, blob binary")
 
     def post(key, t: pa.Table, back: pa.Table) -> pa.Table:
-        """The shared part of the prefixes of a chunk's sets: shingle, uid, size, position (from 1)."""
+        """The shared part of the prefixes of a chunk's sets: shingle, uid, size, position (from 1); and the bit maps of these sets."""
         got = [C.unpack_keys(x, "<u4") for x in back.column("blob").to_pylist()]
         several, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in got)]), return_index=True)
         count = np.concatenate([np.zeros(0, np.uint32), *(c for _, c in got)])[first]
         del got
         out: list[list[np.ndarray]] = [[], [], [], []]
+        maps: dict[int, bytes] = {}
         for uid, s in of_packs(t) if len(several) else ():
             k = np.searchsorted(several, s)
             k = k[several[np.minimum(k, len(several) - 1)] == s]
             lone, m = len(s) - len(k), int(prefix_length(np.array(len(s)), num, den))
             if lone < m:
                 k = k[np.lexsort((k, count[k]))[: m - lone]]
+                maps[uid] = bit_map(s)
                 for x, y in zip(out, (several[k], np.full(len(k), uid), np.full(len(k), len(s)), lone + 1 + np.arange(len(k))), strict=True):
                     x.append(y)
         tok, ids, size, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        return pa.table({"h": pa.array(tok.view(np.int64)), "uid": pa.array(ids), "n": pa.array(size), "pos": pa.array(pos)})
+        first, m = pa.table({"h": pa.array(tok.view(np.int64)), "uid": pa.array(ids), "n": pa.array(size), "pos": pa.array(pos), "bits": pa.nulls(len(tok), pa.binary())}), len(maps)
+        more = pa.table({"h": pa.nulls(m, pa.int64()), "uid": pa.array(list(maps), pa.int64()), "n": pa.nulls(m, pa.int64()), "pos": pa.nulls(m, pa.int64()), "bits": pa.array(list(maps.values()), pa.binary())})
+        return pa.concat_tables([first, more])
 
-    posted = C.wide(reps.select("uid", "pack", "row", "chunk"), "chunk", chunks).groupBy("chunk").cogroup(C.wide(known_to, "chunk", chunks).groupBy("chunk")).applyInArrow(post, "h long, uid long, n long, pos long")
+    posted = C.wide(reps.select("uid", "pack", "row", "chunk"), "chunk", chunks).groupBy("chunk").cogroup(C.wide(known_to, "chunk", chunks).groupBy("chunk")).applyInArrow(post, "h long, uid long, n long, pos long, bits binary")
     posted = C.materialize(posted, "postings")
+    maps, posted = posted.where("bits is not null").select(F.col("uid").alias("centre"), "bits"), posted.where("h is not null").drop("bits")
     # Each list's sets with the one in whose order the shingle comes first: it has the fewest shingles of its own, as the text from
     # which others were edited has.
     lists = posted.groupBy("h").agg(F.count("*").alias("many"), F.min(F.struct("pos", "uid", "n")).alias("c")).where("many > 1").select("h", F.col("c.uid").alias("a"), F.col("c.n").alias("n_a"), F.col("c.pos").alias("pos_a"))
@@ -246,26 +260,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
         done = C.wide(p, "pack_b").groupBy("pack_b").cogroup(C.wide(shipped, "pack_b").groupBy("pack_b")).applyInArrow(compare, "a long, b long, inter long, n_a long, n_b long")
         union = F.col("n_a") + F.col("n_b") - F.col("inter")
-        return C.materialize(done.select("a", "b", (1 - F.col("inter") / union).alias("d"), (den * F.col("inter") >= num * union).alias("linked")), name)
+        return C.materialize(done.select("a", "b", (1 - F.col("inter") / union).alias("d"), (union - F.col("inter")).alias("apart"), (den * F.col("inter") >= num * union).alias("linked")), name)
 
     stars_ = verify(enough(stars), "stars")
     links = stars_.where("linked").select("a", "b")
     group = C.materialize(C.components(links), "groups")
-    centre = stars_.where("linked").groupBy(F.col("b").alias("uid")).agg(F.min(F.struct("d", "a")).alias("c"))
-    about = group.withColumnRenamed("node", "uid").join(centre, "uid", "left").join(reps.select("uid", "n"), "uid").select("uid", "n", "component", F.coalesce("c.a", "uid").alias("centre"), F.coalesce("c.d", F.lit(0.0)).alias("radius"))
+    centre = stars_.where("linked").groupBy(F.col("b").alias("uid")).agg(F.min(F.struct("d", "a", "apart")).alias("c"))
+    about = group.withColumnRenamed("node", "uid").join(centre, "uid", "left").join(reps.select("uid", "n"), "uid").select("uid", "n", "component", F.coalesce("c.a", "uid").alias("centre"), F.coalesce("c.d", F.lit(0.0)).alias("radius"), F.coalesce("c.apart", F.lit(0)).alias("apart"))
     about = C.materialize(about, "members")
-    spread = about.groupBy("centre").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    about = C.materialize(about.drop("n").join(spread, "centre"), "centres")
-    known = shared.join(about, "uid", "left").select("h", "n", "pos", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"))
+    spread = about.groupBy("centre").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("apart").alias("far"))
+    about = C.materialize(about.drop("n", "apart").join(spread, "centre"), "centres")
+    known = shared.join(about, "uid", "left").select("h", "n", "pos", F.coalesce("component", "uid").alias("component"), F.coalesce("centre", "uid").alias("centre"), F.coalesce("lo", "n").alias("lo"), F.coalesce("hi", "n").alias("hi"), F.coalesce("far", F.lit(0)).alias("far"))
     # a list's members behind one centre are one entry: what they can share at most, before and after it
-    entries = known.groupBy("h", "centre").agg(*[F.first(c).alias(c) for c in ("component", "lo", "hi")], F.min("n").alias("least"), F.max("pos").alias("upto"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    entries = known.groupBy("h", "centre").agg(*[F.first(c).alias(c) for c in ("component", "lo", "hi", "far")], F.min("n").alias("least"), F.max("pos").alias("upto"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     entries = C.materialize(entries, "entries")
     several = entries.groupBy("h").agg(F.count("*").alias("many"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h", F.ceil(F.col("many") / HEAVY).alias("cuts"))
     own = F.pmod(F.xxhash64(F.lit(5), "centre"), F.col("cuts"))
     dealt = entries.join(several, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    deals = C.parts(spark, 64 * entries.count(), RANGE_BYTES)
-    dealt = dealt.select("h", F.xxhash64("h", "i", "j").alias("list"), (F.col("i") == F.col("j")).alias("whole"), "side", "component", "centre", "lo", "hi", "least", "upto", "rest").withColumn("part", F.pmod(F.col("list"), F.lit(deals)))
+    dealt = dealt.join(maps, "centre")
+    deals = C.parts(spark, 256 * entries.count(), RANGE_BYTES)
+    dealt = dealt.select("h", F.xxhash64("h", "i", "j").alias("list"), (F.col("i") == F.col("j")).alias("whole"), "side", "component", "centre", "lo", "hi", "far", "least", "upto", "rest", "bits").withColumn("part", F.pmod(F.col("list"), F.lit(deals)))
 
     def across(t: pa.Table) -> pa.Table:
         """Pairs of centres of different groups with members in one list, and in how many: those of which any members there can link."""
@@ -273,7 +288,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         h, lo = col("list"), col("lo")
         order = np.lexsort((col("centre"), lo, h))
         h, lo = h[order], lo[order]
-        comp, ctr, hi, least, upto, rest, side = (col(c)[order] for c in ("component", "centre", "hi", "least", "upto", "rest", "side"))
+        comp, ctr, hi, far, least, upto, rest, side = (col(c)[order] for c in ("component", "centre", "hi", "far", "least", "upto", "rest", "side"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)[order]
         whole = t.column("whole").to_numpy(zero_copy_only=False)[order]
         lists_ = np.cumsum(np.append(False, h[1:] != h[:-1]))
         top = np.int64(max(int(lo.max(initial=0)), int(hi.max(initial=0)) * den // num) + 1)
@@ -297,6 +313,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             y, x = C.ranges(s, e - s), np.repeat(x, e - s)
             ok = (comp[x] != comp[y]) & (whole[x] | (side[x] != side[y])) & fits(upto[x], rest[x], least[x], upto[y], rest[y], least[y])
             x, y = x[ok], y[ok]
+            # members of linked groups differ in so many shingles at most, and their centres in a few more
+            apart = (hi[x] + hi[y]) * (den - num) // (den + num) + far[x] + far[y]
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= apart
+            x, y = x[ok], y[ok]
             p, q = np.where(ctr[x] < ctr[y], x, y), np.where(ctr[x] < ctr[y], y, x)
             pairs_, c = counted(ctr[p], ctr[q], lo[p], hi[p], lo[q], hi[q])
             got.append([*pairs_, c])
