@@ -1,233 +1,245 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-A count c is held as q = 1 + floor(log_BASE c): the n-gram is inserted with 1, 2, ... q, and probing stops at the first number
-that is missing. The count read back, BASE ** (q - 1), is c or a little less. It holds every n-gram of the training
-texts, those seen once too, and grows with their number; it is broadcast whole.
+A count c is held as a level q, the number of entries of TABLE that do not exceed it: the n-gram is inserted with 1, 2, ... q, and
+probing stops at the first number that is missing. The count read back, TABLE[q - 1], is c itself where c is small, or
+a little less. The filter holds every n-gram of up to ORDER words of the training texts, those seen once too, so it grows with
+them and has no size bound. It is therefore not sent whole to every worker: it is cut in regions of the n-grams' hashes, and a batch
+of texts sends each region the distinct n-grams that it asks for, and gets back one byte for each. That is one way at every size.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
 
-BASE, PROBES, BITS_A_KEY = 1.5, 4, 12
-#: Regions of the filter that are built apart; words whose exact counts are broadcast, at most.
-REGIONS, HEAD_WORDS = 1024, 1 << 20
-#: Share of the two-word estimate where the first word is known.
-LAMBDA = 0.25
+ORDER, BASE, PROBES, BITS_A_KEY = 3, 1.2, 4, 12
+#: Weight of the estimate with one word less against the counts of a context, as a number of words.
+PRIOR = 5.0
 END_WORD = b""
-#: Distinct words or pairs a Python worker gathers before it passes them on.
-HELD = 1 << 19
-SLAB_BYTES = 3 << 20
-EVEN = np.uint64(C.MASK - 1)
+#: Words of a batch of texts (one text at least), bytes of text of a task, and bytes of asked n-grams of a region.
+BATCH_WORDS, CHUNK_BYTES, REGION_BYTES = 1_000_000, 24 << 20, 16 << 20
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def quantise(c: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(c) / np.log(BASE) + 1e-9).astype(np.int64)
+def levels() -> np.ndarray:
+    """1, 2, 3, ... as long as BASE times the last is less than one more, then BASE times the last, rounded up."""
+    out = [1]
+    while out[-1] < 1 << 52:
+        out.append(max(out[-1] + 1, int(np.ceil(out[-1] * BASE))))
+    return np.array(out, np.int64)
+
 
+TABLE = levels()
 
-def positions(h: np.ndarray, q: np.ndarray | int, region_bits: int) -> np.ndarray:
-    """Bit positions in its region, PROBES for each n-gram hash and quantised count."""
-    x = C.mix(h, np.asarray(q, np.uint64) + np.zeros(len(h), np.uint64))
-    a, b = x, (x >> np.uint64(33)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(a + np.uint64(k) * b) % np.uint64(region_bits) for k in range(PROBES)]).astype(np.int64)
+
+def quantise(c: np.ndarray) -> np.ndarray:
+    """Level of each count, 0 for 0."""
+    return np.searchsorted(TABLE, c, "right").astype(np.uint8)
 
 
 class LogFrequencyFilter:
-    """The whole filter, one region of bits for each value of an n-gram hash's leading bits."""
-
-    def __init__(self, bits: np.ndarray, levels: int) -> None:
-        self.bits, self.levels = bits, levels
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts read back as numbers, 0 for n-grams that are not held."""
-        out = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        for q in range(1, self.levels + 1):
-            if not len(live):
-                break
+    """One region's bits, sized by its insertions."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, bits_a_key: int = BITS_A_KEY) -> None:
+        q = quantise(c)
+        self.bits = np.zeros(max(64, bits_a_key * int(q.sum(dtype=np.int64))), bool)
+        h = h[q > 0]
+        q = q[q > 0]
+        for level in range(1, int(q.max(initial=0)) + 1):
+            h, q = h[q >= level], q[q >= level]
+            for at in self._positions(h, level):
+                self.bits[at] = True
+
+    def _positions(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        x = C.mix(h, np.full(1, level, np.uint64))
+        step = (x >> np.uint64(33)) | np.uint64(1)
+        for _ in range(PROBES):
+            yield (x % np.uint64(len(self.bits))).astype(np.int64)
+            with np.errstate(over="ignore"):
+                x = x + step
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels read back, 0 for n-grams that are not held."""
+        out = np.zeros(len(h), np.uint8)
+        live, level = np.arange(len(h)), 0
+        while len(live) and level < len(TABLE):
+            level += 1
             x = h[live]
-            region = (x >> np.uint64(54)).astype(np.int64)
-            at = positions(x, q, self.bits.shape[1] * 8)
-            ok = np.arange(len(live))
-            for p in at:
-                ok = ok[(self.bits[region[ok], p[ok] >> 3] >> (p[ok] & 7) & 1).astype(bool)]
+            ok = np.ones(len(live), bool)
+            for at in self._positions(x, level):
+                ok &= self.bits[at]
             live = live[ok]
-            out[live] = q
-        return np.where(out > 0, BASE ** (out - 1.0), 0.0)
-
-
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, C.Words, np.ndarray, np.ndarray]]:
-    """(doc_ids, words, hash of each token with the end after each text, where each text's tokens begin)."""
-    for b in C.slabs(batches, size=SLAB_BYTES):
-        w = C.Words(b.column("text"), lower=True)
-        h = w.hashes()[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
-        end = np.uint64(C.xxhash.xxh64_intdigest(END_WORD))
-        yield b.column("doc_id").to_pylist(), w, np.insert(h, w.offsets[1:], end), w.offsets + np.arange(len(w.offsets))
+            out[live] = level
+        return out
+
+
+@dataclass
+class Batch:
+    """Some whole texts: their rows in the chunk, the hash of each token (the end after each text), and where each begins."""
+
+    rows: list[int]
+    h: np.ndarray
+    offsets: np.ndarray
+
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(place of the last word, key) of the n-grams of each order; the lowest bit is left free, the next two tell the order."""
+        inside = np.arange(len(self.h)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
+        out, x = [], self.h
+        for n in range(1, ORDER + 1):
+            at = np.flatnonzero(inside >= n - 1)
+            out.append((at, x[at] & np.uint64(C.MASK - 7) | np.uint64(2 * n)))
+            x = C.mix(np.concatenate([np.zeros(1, np.uint64), x[:-1]]), self.h)
+        return out
+
+
+def batches(where: str, t: pa.Table, most: int) -> Iterator[Batch]:
+    """The texts of a chunk, always in the same order and the same batches."""
+    end = np.uint64(C.xxhash.xxh64_intdigest(END_WORD))
+    rows, hs, lengths, size = [], [], [], 0
+
+    def out() -> Batch:
+        return Batch(rows, np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]))
+
+    by: dict[str, dict[int, int]] = {}
+    for k, (pack, row) in enumerate(zip(t.column("pack").to_pylist(), t.column("row").to_pylist(), strict=True)):
+        by.setdefault(pack, {})[row] = k
+    for pack, own in sorted(by.items()):
+        place, texts = [], []
+        for first, block in C.read_pack(where, pack, np.array(sorted(own), np.int64)):
+            mine = [k for k in range(len(block)) if first + k in own]
+            place += [own[first + k] for k in mine]
+            texts.append(block.take(pa.array(mine, pa.int64())))
+        for b in C.slabs(iter([pa.record_batch({"text": pa.concat_arrays(texts), "k": pa.array(place, pa.int64())})]), size=4 << 20):
+            w = C.Words(b.column("text"), lower=True)
+            h = w.hashes()[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
+            if size and size + len(h) > most:
+                yield out()
+                rows, hs, lengths, size = [], [], [], 0
+            rows = rows + b.column("k").to_pylist()
+            hs.append(np.insert(h, w.offsets[1:], end))
+            lengths.append(w.counts + 1)
+            size += len(hs[-1])
+    if rows:
+        yield out()
+
+
+BLOBS = pa.schema([("chunk", pa.int64()), ("batch", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
+ANSWERS = pa.schema([*BLOBS, ("total", pa.int64()), ("distinct", pa.int64())])
 
 
 def score_lm(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each text (null: empty, only its end).
 
-    Training texts are those whose crc32 of doc_id (null: of nothing) mod 7 is not 2. Counts cover all of them. Exact counts of
-    the HEAD_WORDS most frequent words at most, cut at a count, are broadcast; other words, which are rare, meet theirs in a join
-    of their own, both as the word predicted and as the word before it. The model mixes the pair estimate,
-    from the filter, with the add-one estimate of the base score. Equal rows get equal scores; an empty table gives no rows;
-    other columns are left out.
+    Training texts are those whose crc32 of doc_id (null: of nothing) mod 7 is not 2; counts cover all of them. Base scores use
+    exact counts. The model is an interpolation of orders 1 to ORDER: for each order the count of the n-gram, read from the filter,
+    and PRIOR times the estimate of the order below, over the count of its context and PRIOR; the order below all is the
+    add-one estimate. So probabilities sum to one but for what quantising leaves out; an unknown context leaves the order below as it is.
+    A text is scored whole, by one task, whatever its length, and its score does not depend on the texts beside it: equal rows and equal
+    texts of one kind of doc_id get equal scores. An empty table gives no rows; columns other than doc_id and text are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial counts of training words (even hashes) and of pairs of them (odd ones, from a text's second token)."""
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        size = [0, 0]
-
-        def flush(k: int) -> Iterator[pa.RecordBatch]:
-            h = np.concatenate([x for x, _ in held[k]])
-            n = np.concatenate([y for _, y in held[k]])
-            held[k], size[k] = [], 0
-            order = np.argsort(h)
-            h = h[order]
-            s = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            u, c = h[s], np.add.reduceat(n[order], s)
-            for at in range(0, len(u), 1 << 16):
-                x = u[at : at + (1 << 16)]
-                yield pa.record_batch({"h": pa.array(x.view(np.int64)), "c": pa.array(c[at : at + (1 << 16)])})
-
-        for ids, _, h, offsets in _docs(batches):
-            train = np.repeat(~np.array([is_held_out(x) for x in ids], bool), np.diff(offsets))
-            inner = np.ones(len(h), bool)
-            inner[offsets[:-1]] = False
-            pairs = np.flatnonzero(train & inner)
-            for k, x in enumerate((h[train] & EVEN, C.mix(h[pairs - 1], h[pairs]) | np.uint64(1))):
-                u, n = np.unique(x, return_counts=True)
-                held[k].append((u, n.astype(np.int64)))
-                size[k] += len(u)
-                if size[k] > HELD:
-                    yield from flush(k)
-        for k in (0, 1):
-            if held[k]:
-                yield from flush(k)
-
-    part = docs.mapInArrow(gather, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = C.materialize(part.withColumn("n", (F.col("h").bitwiseAND(1) + 1).cast("int")), "counts")
-    words = counts.where("n = 1")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    width = lambda: F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(BASE)) + 1e-9).cast("int")
-    levels = {(n, q): k for n, q, k in counts.groupBy("n", width().alias("q")).count().collect()}  # about a hundred rows
-    head_q, room = max((q for n, q in levels if n == 1), default=0) + 1, HEAD_WORDS
-    while head_q > 0 and (room := room - levels.get((1, head_q - 1), 0)) >= 0:
-        head_q -= 1
-    top = max((q for n, q in levels if n == 2), default=0) + 1
-    keys = sum(k * (q + 1) for (n, q), k in levels.items() if n == 2)
-    region_bytes = max(8, -(-keys * BITS_A_KEY // (8 * REGIONS)))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets the bits of one region after another; rows come sorted by region."""
-        now, bits = None, None
-        for b in batches:
-            region, h, c = (b.column(k).to_numpy() for k in ("region", "h", "c"))
-            h = h.view(np.uint64)
-            for r in np.unique(region).tolist():
-                if r != now:
-                    if now is not None:
-                        yield pa.record_batch({"region": [now], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-                    now, bits = r, np.zeros(region_bytes * 8, bool)
-                m = region == r
-                x, q = h[m], quantise(c[m])
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    bits[positions(x[q >= level], level, region_bytes * 8)] = True
-        if now is not None:
-            yield pa.record_batch({"region": [now], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    pairs = counts.where("n = 2").select(F.shiftrightunsigned("h", 54).alias("region"), "h", "c").repartition("region").sortWithinPartitions("region")
-    bits = np.zeros((REGIONS, region_bytes), np.uint8)
-    built = pairs.mapInArrow(build, "region long, bits binary").toArrow()  # about BITS_A_KEY bits an insertion
-    for k, x in zip(built.column("region").to_pylist(), built.column("bits").to_pylist(), strict=True):
-        bits[k] = np.frombuffer(x, np.uint8)
-    head = words.where(width() >= head_q).select("h", "c").toArrow()  # HEAD_WORDS rows at most
-    hh, hc = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    order = np.argsort(hh)
-    shared = spark.sparkContext.broadcast((hh[order], hc[order], bits))
-    whole = head_q == 0  # no word is left out of the head
+    where = C.scratch(spark, "packs")
+    meta = C.write_packs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), where).select("doc_id", "pack", "row", "n_bytes")
+    size = meta.agg(F.sum("n_bytes")).first()[0] or 0
+    chunks, regions = C.parts(spark, size, CHUNK_BYTES), C.parts(spark, 2 * size, REGION_BYTES)  # about two bytes of keys for each of text
+    meta = meta.withColumn("chunk", F.pmod(F.xxhash64("pack"), F.lit(chunks)))
+    width, bits_a_key, most = 2.0**64 / regions, BITS_A_KEY, BATCH_WORDS
+
+    def ask(t: pa.Table) -> pa.Table:
+        """The distinct n-grams of each batch of a chunk, by region, and how often training texts of the batch have them."""
+        learns, out = np.array([not is_held_out(x) for x in t.column("doc_id").to_pylist()], bool), {c: [] for c in BLOBS.names}
+        for no, b in enumerate(batches(where, t, most)):
+            train = np.repeat(learns[b.rows], np.diff(b.offsets)).astype(np.uint64)
+            u, c = np.unique(np.concatenate([key | train[at] for at, key in b.grams()]), return_counts=True)
+            c[(u & np.uint64(1)) == 0] = 0
+            u &= np.uint64(C.MASK - 1)
+            s = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+            u, c = u[s], np.add.reduceat(c, s)
+            for part, x, y in C.cut_ranges(u, width, regions):
+                odd = np.flatnonzero(c[x:y] != 1)
+                for k, v in zip(out, (t.column("chunk")[0].as_py(), no, part, C.pack_keys(u[x:y], odd.astype(np.uint32), c[x:y][odd].astype(np.uint32))), strict=True):
+                    out[k].append(v)
+        return pa.table(out, schema=BLOBS)
+
+    asked = C.wide(meta, "chunk", chunks).groupBy("chunk").applyInArrow(ask, "chunk long, batch long, part long, blob binary")
+
+    def answer(t: pa.Table) -> pa.Table:
+        """Sums a region's counts, builds its filter, and probes it for every n-gram that was asked for. Words get their exact counts besides."""
+        got = [C.unpack_keys(x, "<u4", "<u4") for x in t.column("blob").to_pylist()]
+        n = np.array([len(k) for k, _, _ in got])
+        h, c = np.concatenate([k for k, _, _ in got]), np.ones(int(n.sum()), np.int64)
+        for (_, at, k), first in zip(got, np.cumsum(n) - n, strict=True):
+            c[first + at.astype(np.int64)] = k
+        del got
+        by = np.argsort(h)
+        s = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
+        u, total = h[by][s], np.add.reduceat(c[by], s)
+        del c
+        level = LogFrequencyFilter(u, total, bits_a_key).levels(u)
+        word = (u & np.uint64(6)) == 2
+        to = np.empty(len(h), np.int32)
+        to[by] = np.repeat(np.arange(len(u), dtype=np.int32), np.diff(np.append(s, len(h))))
+        del by, h
+        z, blobs = zstandard.ZstdCompressor(level=1), []
+        for first, many in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            own = to[first : first + many]
+            blobs.append(z.compress(level[own].tobytes() + total[own[word[own]]].tobytes()))
+        rows = t.num_rows - 1
+        sums = {"total": [int(total[word].sum())] + [0] * rows, "distinct": [int((total[word] > 0).sum())] + [0] * rows}
+        return pa.table({**{x: t.column(x) for x in ("chunk", "batch", "part")}, "blob": pa.array(blobs, pa.binary()), **sums}, schema=ANSWERS)
+
+    answers = C.materialize(C.wide(asked, "part", regions).groupBy("part").applyInArrow(answer, "chunk long, batch long, part long, blob binary, total long, distinct long"), "answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base_all = float(total + distinct + 1)
-    lam = LAMBDA
-
-    def known(h: np.ndarray, heads: np.ndarray, head_counts: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(heads, h), max(0, len(heads) - 1))
-        return np.where(heads[k] == h, head_counts[k], 0) if len(heads) else np.zeros(len(h), np.int64)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with the sums over places whose counts are at hand (w null), and one for each other place: the
-        word (w) and its count, the word before it (v) and its count (0: none), counts of rare words null, and the pair's."""
-        heads, head_counts, bits_ = shared.value
-        model = LogFrequencyFilter(bits_, top + 1)
-        row = 0
-        from pyspark import TaskContext
-
-        part_no = TaskContext.get().partitionId() << 40
-        for ids, _, h, offsets in _docs(batches):
-            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            w = h & EVEN
-            c = known(w, heads, head_counts)
-            first = np.zeros(len(h), bool)
-            first[offsets[:-1]] = True
-            seconds = np.flatnonzero(~first)
-            pair = np.zeros(len(h))
-            pair[seconds] = model.counts(C.mix(h[seconds - 1], h[seconds]) | np.uint64(1))
-            rare = (c == 0) & (not whole)
-            before = np.where(first, 0, np.append(0, c[:-1]))
-            loose = ~first & np.append(False, rare[:-1])  # the first word of the pair is rare
-            p1 = (c + 1) / base_all
-            p2 = np.where(before == 0, p1, (1 - lam) * p1 + lam * np.minimum(1.0, pair / np.maximum(before, 1)))
-            now = ~rare & ~loose
-            base = np.bincount(owner, np.where(now, np.log10(p1), 0.0), len(ids))
-            full = np.bincount(owner, np.where(now, np.log10(p2), 0.0), len(ids))
-            n, k = np.diff(offsets), np.bincount(owner[now & (c > 0)], minlength=len(ids))
-            key = part_no + row + np.arange(len(ids))
-            row += len(ids)
-            yield pa.record_batch({
-                "doc_id": pa.array(ids, pa.int64()), "uid": pa.array(key), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(k.astype(np.int64)), "base": pa.array(base), "full": pa.array(full),
-                **{x: pa.nulls(len(ids), pa.int64()) for x in ("w", "c", "v", "before")}, "pair": pa.nulls(len(ids), pa.float64()), "times": pa.nulls(len(ids), pa.int64()),
-            })
-            at = np.flatnonzero(~now)
-            if len(at):
-                v = np.where(loose, np.append(np.uint64(0), w[:-1]), np.uint64(0))
-                at = at[np.lexsort((pair[at], before[at], v[at], w[at], owner[at]))]
-                s = np.flatnonzero(np.append(True, np.any([x[at][1:] != x[at][:-1] for x in (pair, before, v, w, owner)], axis=0)))
-                times = np.diff(np.append(s, len(at)))
-                at, m = at[s], len(s)
-                yield pa.record_batch({
-                    "doc_id": pa.nulls(m, pa.int64()), "uid": pa.array(key[owner[at]]), "n_tokens": pa.nulls(m, pa.int64()), "n_known": pa.nulls(m, pa.int64()), "base": pa.nulls(m, pa.float64()), "full": pa.nulls(m, pa.float64()),
-                    "w": pa.array(w[at].view(np.int64)), "c": pa.array(c[at], mask=rare[at]), "v": pa.array(v[at].view(np.int64)), "before": pa.array(before[at], mask=loose[at]), "pair": pa.array(pair[at]), "times": pa.array(times.astype(np.int64)),
-                })
-
-    rows = C.materialize(docs.mapInArrow(score, "doc_id long, uid long, n_tokens long, n_known long, base double, full double, w long, c long, v long, before long, pair double, times long"), "scores")
-    rare = words.where(width() < head_q).select("h", F.col("c").alias("exact"))
-
-    def met(t: DataFrame, word: str, count: str) -> DataFrame:
-        """Rare words' counts; rows that have theirs stay out of the join, as frequent words would crowd it."""
-        joined = t.where(F.col(count).isNull()).join(rare, F.col(word) == F.col("h"), "left").withColumn(count, F.coalesce("exact", F.lit(0))).drop("h", "exact")
-        return t.where(F.col(count).isNotNull()).unionByName(joined)
-
-    tail = met(met(rows.where("w is not null").select("uid", "w", "c", "v", "before", "pair", "times"), "w", "c"), "v", "before")
-    p1 = (F.col("c") + 1) / F.lit(base_all)
-    p2 = F.when(F.col("before") == 0, p1).otherwise((1 - lam) * p1 + lam * F.least(F.lit(1.0), F.col("pair") / F.greatest("before", F.lit(1))))
-    tail = tail.groupBy("uid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.log10(p1) * F.col("times")).alias("more_base"), F.sum(F.log10(p2) * F.col("times")).alias("more_full"))
-    out = rows.where("w is null").join(tail, "uid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+
+    def score(key, t: pa.Table, back: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        blobs: dict[int, dict[int, bytes]] = {}
+        for no, part, x in zip(*(back.column(c).to_pylist() for c in ("batch", "part", "blob")), strict=True):
+            blobs.setdefault(no, {})[part] = x
+        values = np.append(0, TABLE).astype(np.float64)
+        out = {c: np.zeros(t.num_rows, kind) for c, kind in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", np.float64), ("score", np.float64))}
+        for no, b in enumerate(batches(where, t, most)):
+            grams = b.grams()
+            u, inv = np.unique(np.concatenate([k for _, k in grams]), return_inverse=True)
+            level, exact = np.zeros(len(u), np.uint8), np.zeros(len(u), np.int64)
+            for part, x, y in C.cut_ranges(u, width, regions):
+                raw = z.decompress(blobs[no][part])
+                level[x:y] = np.frombuffer(raw, np.uint8, y - x)
+                exact[x:y][(u[x:y] & np.uint64(6)) == 2] = np.frombuffer(raw, np.int64, -1, y - x)
+            level, inv = level[inv], inv.astype(np.int64)
+            n1 = len(grams[0][0])
+            c1 = exact[inv[:n1]].astype(np.float64)
+            del u, exact, inv
+            base = p = (c1 + 1) / base_all
+            before, first = None, 0  # counts of the n-grams of one order less, by the place of their last word
+            for k, (at, _) in enumerate(grams):
+                count = np.zeros(len(b.h))
+                count[at] = values[level[first : first + len(at)]]
+                first += len(at)
+                if k:
+                    context = before[at - 1]
+                    better = p.copy()
+                    better[at] = np.where(context > 0, (np.minimum(count[at], context) + PRIOR * p[at]) / (context + PRIOR), p[at])
+                    p = better
+                before = count
+            owner = np.repeat(np.arange(len(b.rows)), np.diff(b.offsets))
+            for c, x in (("n_tokens", np.diff(b.offsets)), ("n_known", np.bincount(owner, c1 > 0, len(b.rows))), ("base_score", np.bincount(owner, np.log10(base), len(b.rows))), ("score", np.bincount(owner, np.log10(p), len(b.rows)))):
+                out[c][b.rows] = x
+        return pa.table({"doc_id": t.column("doc_id"), **{c: pa.array(x) for c, x in out.items()}})
+
+    scored = C.wide(meta, "chunk", chunks).groupBy("chunk").cogroup(C.wide(answers, "chunk", chunks).groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(int(total)).alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("full", "more_full").alias("score"))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).alias("train_tokens"), "base_score", "score")

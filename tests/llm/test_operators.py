@@ -393,61 +393,66 @@ def test_shards(docs, empty, odd, fixture_rows, monkeypatch):
 # -- 10 ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("head", [1 << 20, 40])
-def test_lm(docs, empty, odd, fixture_rows, monkeypatch, head):
-    monkeypatch.setattr(bloomlm, "HEAD_WORDS", head)
-    got = by_id(bloomlm.score_lm(docs))
-    toks = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts_of(fixture_rows).items()}
-    out = {d for d in toks if zlib.crc32(str(d).encode()) % 7 == 2}
-    c = Counter(w for d, ws in toks.items() if d not in out for w in ws)
-    n, v = sum(c.values()), len(c)
-    for d, ws in toks.items():
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in out, len(ws), sum(w in c for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9) and r.score <= 0
-    assert bloomlm.score_lm(empty).count() == 0 and bloomlm.score_lm(odd).count() == 14
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-
-
-def test_lm_scores_do_not_depend_on_the_head(docs, monkeypatch):
-    scores = []
-    for head in (1 << 20, 40, 0):
-        monkeypatch.setattr(bloomlm, "HEAD_WORDS", head)
-        scores.append({d: (r.score, r.base_score, r.n_known) for d, r in by_id(bloomlm.score_lm(docs)).items()})
-    for other in scores[1:]:
-        assert all(math.isclose(x, y, rel_tol=1e-9) for d, r in scores[0].items() for x, y in zip(r, other[d], strict=True))
-
-
-def test_lm_holds_every_pair(docs, fixture_rows):
-    """Pairs seen once count as well: with exact counts quantised, only the filter's false positives may lift a score."""
-    got = by_id(bloomlm.score_lm(docs))
-    toks = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts_of(fixture_rows).items() if not bloomlm.is_held_out(d)}
-    c, pairs = Counter(w for ws in toks.values() for w in ws), Counter(x for ws in toks.values() for x in itertools.pairwise(ws))
-    assert 1 in pairs.values()
-    base, close = sum(c.values()) + len(c) + 1, 0
-    for d, ws in toks.items():
-        want = math.log10((c[ws[0]] + 1) / base)
-        for v, w in itertools.pairwise(ws):
-            n = bloomlm.BASE ** (int(bloomlm.quantise(np.array([pairs[v, w]]))[0]) - 1)
-            want += math.log10((1 - bloomlm.LAMBDA) * (c[w] + 1) / base + bloomlm.LAMBDA * min(1.0, n / c[v]))
-        assert got[d].score >= want - 1e-6
-        close += math.isclose(got[d].score, want, rel_tol=0.01)
-    assert close > 0.9 * len(toks)
+def lm_by_hand(rows, counts=lambda c: int(bloomlm.TABLE[int(bloomlm.quantise(np.array([c]))[0]) - 1]) if c else 0):
+    """held_out, n_tokens, n_known, train_tokens, base_score and score of each document, from dictionaries of n-grams."""
+    toks = [(d, [*WORD.findall((t or "").translate(LOWER)), None]) for d, t in rows]
+    out = [zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for d, _ in toks]
+    grams = Counter(tuple(ws[k : k + n]) for (_, ws), o in zip(toks, out, strict=True) if not o for n in (1, 2, 3) for k in range(len(ws) - n + 1))
+    n, v = (f(c for g, c in grams.items() if len(g) == 1) for f in (sum, lambda x: len(list(x))))
+    want = []
+    for (d, ws), o in zip(toks, out, strict=True):
+        base = score = 0.0
+        for k, w in enumerate(ws):
+            p = (grams[w,] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for m in range(1, min(k, bloomlm.ORDER - 1) + 1):
+                context = counts(grams[tuple(ws[k - m : k])])
+                if context:
+                    p = (min(context, counts(grams[tuple(ws[k - m : k + 1])])) + bloomlm.PRIOR * p) / (context + bloomlm.PRIOR)
+            score += math.log10(p)
+        want.append((d, o, len(ws), sum((w,) in grams for w in ws), n, round(base, 6), round(score, 6)))
+    return sorted(want, key=str)
+
+
+def lm_rows(df):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize(("words", "size", "asked"), [(bloomlm.BATCH_WORDS, bloomlm.CHUNK_BYTES, bloomlm.REGION_BYTES), (150, 2000, 700)])
+def test_lm(spark, docs, empty, odd, fixture_rows, monkeypatch, words, size, asked):
+    """Batches, chunks and regions of any size give the scores of plain counts, quantised, where the filter has room enough to err nowhere."""
+    for name, value in (("BATCH_WORDS", words), ("CHUNK_BYTES", size), ("REGION_BYTES", asked), ("BITS_A_KEY", 400)):
+        monkeypatch.setattr(bloomlm, name, value)
+    got, want = lm_rows(bloomlm.score_lm(docs)), lm_by_hand((r[0], r[1]) for r in fixture_rows)
+    assert [r[:6] for r in got] == [r[:6] for r in want] and all(abs(x[6] - y[6]) < 1e-4 for x, y in zip(got, want, strict=True))
+    assert bloomlm.score_lm(empty).count() == 0
+    assert [r[:6] for r in lm_rows(bloomlm.score_lm(odd))] == [r[:6] for r in lm_by_hand((r.doc_id, r.text) for r in odd.collect())]
+
+
+def test_lm_filter_errs_little(spark, docs, fixture_rows):
+    got, want = lm_rows(bloomlm.score_lm(docs)), lm_by_hand((r[0], r[1]) for r in fixture_rows)
+    assert sum(math.isclose(x[6], y[6], rel_tol=0.01) for x, y in zip(got, want, strict=True)) > 0.9 * len(want)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words known and one unknown, after a known context, with exact counts: the interpolation's sums."""
+    texts = [(k, "a b a c a b d a a b c b a d") for k in (0, 1, 3)]
+    c = Counter(w for _, t in texts for w in [*t.split(), None])
+    pairs = Counter(x for _, t in texts for x in itertools.pairwise([*t.split(), None]))
+    n = sum(c.values()) + len(c) + 1
+    for ctx in "abcd":
+        assert math.isclose(sum((pairs[ctx, w] + bloomlm.PRIOR * (c[w] + 1) / n) / (c[ctx] + bloomlm.PRIOR) for w in [*c, "unknown"]), 1)
 
 
 def test_log_frequency_filter():
     rng = np.random.default_rng(4)
-    h, c = rng.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1), rng.integers(1, 5000, 3000)
-    bits = np.zeros((bloomlm.REGIONS, 200), np.uint8)
-    q = bloomlm.quantise(c)
-    for level in range(1, q.max() + 1):
-        x = h[q >= level]
-        for p in bloomlm.positions(x, level, 1600):
-            np.bitwise_or.at(bits, ((x >> np.uint64(54)).astype(int), p >> 3), (1 << (p & 7)).astype(np.uint8))
-    f = bloomlm.LogFrequencyFilter(bits, int(q.max()) + 1)
-    got = f.counts(h)
-    assert (got >= bloomlm.BASE ** (q - 1) - 1e-6).all() and (got > c * 1.0001).mean() < 0.02
-    assert (f.counts(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.02
+    h, c = rng.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1), rng.integers(0, 5000, 3000)
+    f = bloomlm.LogFrequencyFilter(h, c)
+    got, q = f.levels(h), bloomlm.quantise(c)
+    assert (got >= q).all() and (got > q).mean() < 0.02
+    assert (f.levels(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.02
+    assert all(bloomlm.TABLE[q - 1][c > 0] <= c[c > 0]) and (bloomlm.quantise(np.arange(6)) == np.arange(6)).all()
+    assert not bloomlm.LogFrequencyFilter(h[:0], c[:0]).levels(h).any()
 
 
 # -- registered queries against their SQL ------------------------------------
