@@ -26,7 +26,7 @@ ORDER, BASE, PROBES, BITS_A_KEY = 3, 1.2, 4, 12
 PRIOR = 5.0
 END_WORD = b""
 #: Words of a batch of texts (one text at least), bytes of text of a task, and bytes of asked n-grams of a region.
-BATCH_WORDS, CHUNK_BYTES, REGION_BYTES = 1_000_000, 24 << 20, 16 << 20
+BATCH_WORDS, CHUNK_BYTES, REGION_BYTES = 500_000, 24 << 20, 16 << 20
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -173,7 +173,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
                     out[k].append(v)
         return pa.table(out, schema=BLOBS)
 
-    asked = C.wide(meta, "chunk", chunks).groupBy("chunk").applyInArrow(ask, "chunk long, batch long, part long, blob binary")
+    asked = C.wide(meta, "chunk", chunks).groupBy("chunk").applyInArrow(C.tidied(ask), "chunk long, batch long, part long, blob binary")
 
     def answer(t: pa.Table) -> pa.Table:
         """Sums a region's counts, builds its filter, and probes it for every n-gram that was asked for. Words get their exact counts besides."""
@@ -200,7 +200,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
         sums = {"total": [int(total[word].sum())] + [0] * rows, "distinct": [int((total[word] > 0).sum())] + [0] * rows}
         return pa.table({**{x: t.column(x) for x in ("chunk", "batch", "part")}, "blob": pa.array(blobs, pa.binary()), **sums}, schema=ANSWERS)
 
-    answers = C.materialize(C.wide(asked, "part", regions).groupBy("part").applyInArrow(answer, "chunk long, batch long, part long, blob binary, total long, distinct long"), "answers")
+    answers = C.materialize(C.wide(asked, "part", regions).groupBy("part").applyInArrow(C.tidied(answer), "chunk long, batch long, part long, blob binary, total long, distinct long"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     base_all = float(total + distinct + 1)
 
@@ -240,6 +240,6 @@ def score_lm(docs: DataFrame) -> DataFrame:
                 out[c][b.rows] = x
         return pa.table({"doc_id": t.column("doc_id"), **{c: pa.array(x) for c, x in out.items()}})
 
-    scored = C.wide(meta, "chunk", chunks).groupBy("chunk").cogroup(C.wide(answers, "chunk", chunks).groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = C.wide(meta, "chunk", chunks).groupBy("chunk").cogroup(C.wide(answers, "chunk", chunks).groupBy("chunk")).applyInArrow(C.tidied(score), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).alias("train_tokens"), "base_score", "score")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import inspect
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
 
 
+#: Scratch folders that this driver has named.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark).rstrip('/')}/keyloom/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +64,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system, and drops the token caches: a worker that lives on holds little."""
+    for e in _encoders.values():
+        e.cache.clear()
+        e.parts.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f, for mapInArrow, tidying up as a task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            tidy()
+
+    return run
+
+
+def tidied(f: Callable) -> Callable:
+    """f, for applyInArrow, tidying up after each group. Spark tells by the number of arguments what a function takes."""
+    many = len(inspect.signature(f).parameters)
+
+    def after(*args):
+        try:
+            return f(*args)
+        finally:
+            tidy()
+
+    if many == 1:
+        return lambda t: after(t)
+    if many == 2:
+        return lambda a, b: after(a, b)
+    return lambda key, a, b: after(key, a, b)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,10 +114,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def wide(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
-    """Deals df by key over a fixed number of partitions: small rows that stand for much work must not be coalesced."""
+def wide(df: DataFrame, key: str, tasks: int = 0) -> DataFrame:
+    """Deals df by key over partitions that are not coalesced, as small rows may stand for much work: tasks at least."""
     sc = df.sparkSession.sparkContext
-    return df.repartition(tasks or max(4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(max(tasks, 4 * sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def parts(spark: SparkSession, size: int, each: int) -> int:
@@ -76,6 +125,22 @@ def parts(spark: SparkSession, size: int, each: int) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, -(-int(size) // each))
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """The texts' bytes, and eight for each row: what sizes groups and buckets alike however a table is stored."""
+    return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8)).first()[0] or 0
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where columns of df have them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, step: int = 4096) -> DataFrame:
     """Adds out: the sum of value over rows of smaller order (a long, unique, from 0). Two levels, so no task sorts all rows."""
     from pyspark.sql import Window as W
@@ -226,7 +291,7 @@ class Encoder:
     tokenizer's own description; another tokenizer encodes whole texts.
     """
 
-    LIMIT, PARTS = 500_000, 200_000
+    LIMIT, PARTS = 120_000, 100_000
 
     def __init__(self, path: str) -> None:
         import json
@@ -280,13 +345,16 @@ class Encoder:
             rows = [np.array(e.ids + [END], np.uint32) for e in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             return np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64), np.concatenate([*rows, np.zeros(0, np.uint32)])
         words = Words(texts)
-        if len(self.cache) >= self.LIMIT:
-            self.cache.clear()
         got, cache = [], self.cache
-        for w in words.words:
+        often = np.bincount(words.codes, minlength=len(words.words)) > 1  # most strings come once, and seldom again
+        for w, keep in zip(words.words, often.tolist(), strict=True):
             ids = cache.get(w)
             if ids is None:
-                ids = cache[w] = self._ids(w.decode()) if w else b""
+                ids = self._ids(w.decode()) if w else b""
+                if keep:
+                    if len(cache) >= self.LIMIT:
+                        cache.clear()
+                    cache[w] = ids
             got.append(ids)
         got.append(np.array([END], np.uint32).tobytes())
         sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
@@ -360,7 +428,7 @@ def write_packs(docs: DataFrame, where: str) -> DataFrame:
         if held:
             yield flush()
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(write, META), "meta")
+    return materialize(docs.select("doc_id", "text").mapInArrow(lean(write), META), "meta")
 
 
 def read_pack(where: str, name: str, rows: np.ndarray | None = None) -> Iterator[tuple[int, pa.Array]]:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
-from keyloom.llm.sharding import approx_bytes
 
 #: Shares of the documents that hold a term of the lexicon: the band of inverse document frequency. The lexicon has at most
 #: (mean distinct terms of a document) / LEAST terms, and those of a few groups of copies, which bounds what is broadcast.
@@ -110,7 +109,7 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
                 u, n = np.unique(sketches(w), return_counts=True)
                 yield pa.record_batch({"s": pa.array(u.view(np.int64)), "n": pa.array(n)})
 
-    groups = docs.mapInArrow(sketch, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, most / 2 * total)).toArrow()  # SKETCHES * 2 / most rows at most
+    groups = docs.mapInArrow(C.lean(sketch), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(1, most / 2 * total)).toArrow()  # SKETCHES * 2 / most rows at most
     hot, held_by = groups.column("s").to_numpy().view(np.uint64), groups.column("n").to_numpy()
     of = np.argsort(hot)
     hot, held_by = hot[of], held_by[of]
@@ -146,7 +145,7 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
             yield from flush()
         yield pa.record_batch({"h": pa.nulls(1, pa.int64()), "n": pa.array([grouped]), "share": pa.array([0.0])})  # texts of hot groups
 
-    df = C.materialize(docs.mapInArrow(count, "h long, n long, share double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "terms")
+    df = C.materialize(docs.mapInArrow(C.lean(count), "h long, n long, share double").groupBy("h").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "terms")
     rest = total - (df.where("h is null").agg(F.sum("n")).first()[0] or 0)
     band = df.where(F.col("h").isNotNull() & ((F.col("n") >= max(2, least * rest)) | (F.col("share") >= 0.5)) & (F.col("n") <= max(2, most * rest)))
     return band.select("h").toArrow().column("h").to_numpy().view(np.uint64)
@@ -165,7 +164,7 @@ def fingerprint_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lex = spark.sparkContext.broadcast(Lexicon(lexicon(docs, least, most)))
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = min(MOST_RANGES, max(LEAST_RANGES, 3 * approx_bytes(docs) // RANGE_BYTES))
+    n = min(MOST_RANGES, max(LEAST_RANGES, C.text_bytes(docs) // RANGE_BYTES))
     cuts = docs.select(F.percentile_approx(place, F.lit([k / n for k in range(1, n)]), 100_000).alias("c")).first()[0] or []
     cuts = sorted(set(cuts))
     tie = F.xxhash64("text")
@@ -187,13 +186,13 @@ def fingerprint_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST)
             ids = b.column("place").to_numpy()
             yield pa.record_batch({"place": b.column("place"), "tie": b.column("tie"), "part": pa.array(np.searchsorted(bounds, ids, "left").astype(np.int64))})
 
-    parts = docs.select(place.alias("place"), tie.alias("tie")).mapInArrow(ranged, "place long, tie long, part long")
+    parts = docs.select(place.alias("place"), tie.alias("tie")).mapInArrow(C.lean(ranged), "place long, tie long, part long")
     firsts = parts.groupBy("part").agg(F.max(F.struct("place", "tie")).alias("first")).orderBy("part").collect()  # MOST_RANGES rows at most
     # the first document of a range also ends the nonempty range of larger identifiers that comes before it
     before = {r["part"]: (firsts[k + 1]["part"] if k + 1 < len(firsts) else firsts[0]["part"]) for k, r in enumerate(firsts)}
     goes_to = [(r["first"]["place"], r["first"]["tie"], before[r["part"]]) for r in firsts]
     rows = docs.withColumn("place", place).withColumn("tie", tie)
-    whole = rows.mapInArrow(shrink, schema)
+    whole = rows.mapInArrow(C.lean(shrink), schema)
     ghosts = spark.createDataFrame(goes_to or [(0, 0, 0)], "place long, tie long, to long").limit(len(goes_to))
     ghosts = whole.join(F.broadcast(ghosts), ["place", "tie"]).dropDuplicates(["place", "tie"]).select("doc_id", "place", "tie", F.col("to").alias("part"), "zipped", F.lit(True).alias("ghost"))
     tables = whole.union(ghosts)
@@ -225,4 +224,4 @@ def fingerprint_pairs(docs: DataFrame, least: float = LEAST, most: float = MOST)
     order = [F.col("part"), F.col("ghost"), F.col("place").desc(), F.col("tie").desc()]
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return tables.repartition(tasks, "part").sortWithinPartitions(*order).mapInArrow(walk, out)
+    return tables.repartition(tasks, "part").sortWithinPartitions(*order).mapInArrow(C.lean(walk), out)

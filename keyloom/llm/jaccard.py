@@ -121,7 +121,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             sizes[row], s1[row], s2[row] = len(s), (d >> 64) - (1 << 63), (d & C.MASK) - (1 << 63)
         return pa.table({"doc_id": t.column("doc_id"), "uid": t.column("uid"), "pack": t.column("pack"), "row": t.column("row"), "n": pa.array(sizes[rows]), "s1": pa.array(s1[rows]), "s2": pa.array(s2[rows]), "text_hash": t.column("h1")})
 
-    sets = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(sign, "doc_id long, uid long, pack string, row int, n long, s1 long, s2 long, text_hash long"), "signed")
+    sets = C.materialize(C.wide(meta, "pack").groupBy("pack").applyInArrow(C.tidied(sign), "doc_id long, uid long, pack string, row int, n long, s1 long, s2 long, text_hash long"), "signed")
     same = ["s1", "s2", "n"]
     reps = sets.where("n > 0").groupBy(*same).agg(F.min(F.struct("uid", "pack", "row")).alias("r")).select(*same, "r.uid", "r.pack", "r.row")
     reps = C.materialize(reps, "sets")
@@ -161,7 +161,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             flush()
         return pa.table(out, schema=BLOBS)
 
-    gathered = C.wide(reps, "chunk", chunks).groupBy("chunk").applyInArrow(gather, "chunk long, part long, blob binary")
+    gathered = C.wide(reps, "chunk", chunks).groupBy("chunk").applyInArrow(C.tidied(gather), "chunk long, part long, blob binary")
 
     def frequencies(t: pa.Table) -> pa.Table:
         """For each chunk, those of its shingles in a range that several sets hold, and how many."""
@@ -180,7 +180,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         blobs = [C.pack_keys(several[i], np.minimum(count[i], 1 << 31).astype(np.uint32)) for i in own]
         return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "blob": pa.array(blobs, pa.binary())}, schema=BLOBS)
 
-    known_to = C.wide(gathered, "part", ranges_).groupBy("part").applyInArrow(frequencies, "chunk long, part long, blob binary")
+    known_to = C.wide(gathered, "part", ranges_).groupBy("part").applyInArrow(C.tidied(frequencies), "chunk long, part long, blob binary")
 
     def post(key, t: pa.Table, back: pa.Table) -> pa.Table:
         """The shared part of the prefixes of a chunk's sets: shingle, uid, size, position (from 1); and the bit maps of these sets."""
@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         more = pa.table({"h": pa.nulls(m, pa.int64()), "uid": pa.array(list(maps), pa.int64()), "n": pa.nulls(m, pa.int64()), "pos": pa.nulls(m, pa.int64()), "bits": pa.array(list(maps.values()), pa.binary())})
         return pa.concat_tables([first, more])
 
-    posted = C.wide(reps.select("uid", "pack", "row", "chunk"), "chunk", chunks).groupBy("chunk").cogroup(C.wide(known_to, "chunk", chunks).groupBy("chunk")).applyInArrow(post, "h long, uid long, n long, pos long, bits binary")
+    posted = C.wide(reps.select("uid", "pack", "row", "chunk"), "chunk", chunks).groupBy("chunk").cogroup(C.wide(known_to, "chunk", chunks).groupBy("chunk")).applyInArrow(C.tidied(post), "h long, uid long, n long, pos long, bits binary")
     posted = C.materialize(posted, "postings")
     maps, posted = posted.where("bits is not null").select(F.col("uid").alias("centre"), "bits"), posted.where("h is not null").drop("bits")
     # Each list's sets with the one in whose order the shingle comes first: it has the fewest shingles of its own, as the text from
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         p = pairs.join(at.select(F.col("uid").alias("a"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a")), "a").join(at.select(F.col("uid").alias("b"), F.col("pack").alias("pack_b"), F.col("row").alias("row_b")), "b")
         p = C.materialize(p, f"{name}-pairs")
 
-        shipped = C.wide(p.select("a", "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
+        shipped = C.wide(p.select("a", "pack_a", "row_a", "pack_b").distinct(), "pack_a").groupBy("pack_a").applyInArrow(C.tidied(shipper), "a long, pack_b string, set binary")
 
         def compare(key, t: pa.Table, sets_: pa.Table) -> pa.Table:
             index = {a: k for k, a in enumerate(sets_.column("a").to_pylist())}
@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                         out[c].append(v)
             return pa.table(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
-        done = C.wide(p, "pack_b").groupBy("pack_b").cogroup(C.wide(shipped, "pack_b").groupBy("pack_b")).applyInArrow(compare, "a long, b long, inter long, n_a long, n_b long")
+        done = C.wide(p, "pack_b").groupBy("pack_b").cogroup(C.wide(shipped, "pack_b").groupBy("pack_b")).applyInArrow(C.tidied(compare), "a long, b long, inter long, n_a long, n_b long")
         union = F.col("n_a") + F.col("n_b") - F.col("inter")
         return C.materialize(done.select("a", "b", (1 - F.col("inter") / union).alias("d"), (union - F.col("inter")).alias("apart"), (den * F.col("inter") >= num * union).alias("linked")), name)
 
@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         columns = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 7
         return pair_table(columns[:6], columns[6])
 
-    pairs = enough(C.wide(dealt, "part", deals).groupBy("part").applyInArrow(across, PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = enough(C.wide(dealt, "part", deals).groupBy("part").applyInArrow(C.tidied(across), PAIR)).join(stars_.select("a", "b"), ["a", "b"], "left_anti")
     centres_ = verify(pairs, "between")
     group = C.materialize(C.components(links.union(centres_.where("linked").select("a", "b"))), "groups")
     # Members behind centres that don't link: only those that the triangle inequality leaves open, of groups not yet joined. The
@@ -347,7 +347,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         packs = behind.join(open_.select(F.col("big").alias("centre")).distinct(), "centre", "left_semi").select(F.col("centre").alias("big"), "pack").distinct()
         asked = C.materialize(asked.join(packs, "big").select("y", "pack_a", "row_a", F.col("pack").alias("pack_b"), "big", "small", (F.col("d") - F.col("ry") - slack).alias("least")), "asked")
         middle = asked.select(F.col("big").alias("uid"), "pack_b").distinct().join(at, "uid").select(F.col("uid").alias("a"), F.col("pack").alias("pack_a"), F.col("row").alias("row_a"), "pack_b")
-        sent = C.wide(asked.select(F.col("y").alias("a"), "pack_a", "row_a", "pack_b").union(middle).distinct(), "pack_a").groupBy("pack_a").applyInArrow(shipper, "a long, pack_b string, set binary")
+        sent = C.wide(asked.select(F.col("y").alias("a"), "pack_a", "row_a", "pack_b").union(middle).distinct(), "pack_a").groupBy("pack_a").applyInArrow(C.tidied(shipper), "a long, pack_b string, set binary")
         sent = asked.select("pack_b", "y", "big", "small", "least", F.lit(None).cast("binary").alias("set")).union(sent.select("pack_b", F.col("a").alias("y"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), "set"))
 
         def answer(key, t: pa.Table, members: pa.Table) -> pa.Table:
@@ -384,7 +384,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                             links_.append((y, uid))
             return pa.table({"a": pa.array([x for x, _ in links_], pa.int64()), "b": pa.array([x for _, x in links_], pa.int64())})
 
-        inner = C.materialize(C.wide(sent, "pack_b").groupBy("pack_b").cogroup(C.wide(behind, "pack").groupBy("pack")).applyInArrow(answer, "a long, b long"), "inner")
+        inner = C.materialize(C.wide(sent, "pack_b").groupBy("pack_b").cogroup(C.wide(behind, "pack").groupBy("pack")).applyInArrow(C.tidied(answer), "a long, b long"), "inner")
         group = C.components(links.union(centres_.where("linked").select("a", "b")).union(inner))
 
     whole = sets.join(reps.select(*same, F.col("uid").alias("rep")), same, "left")

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import common as C
-from keyloom.llm.sharding import approx_bytes
 from keyloom.llm.sstable import pack_ids, unpack_ids
 
 #: Bytes of text whose pieces are packed together.
@@ -72,9 +72,10 @@ def pack_examples(pieces: DataFrame, limits: Limits = Limits(), groups: int = 1)
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
+    hash_, group = C.free(pieces, "_h", "_group")
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column("_h").to_numpy(), kind="stable")))
+        t = t.take(pa.array(np.argsort(t.column(hash_).to_numpy(), kind="stable")))
         tokens = t.column("tokens").to_numpy().astype(np.int64)
         bins = place(tokens, t.column("loss").to_numpy().astype(np.int64), limits)
         order = np.argsort(bins, kind="stable")
@@ -83,10 +84,10 @@ def pack_examples(pieces: DataFrame, limits: Limits = Limits(), groups: int = 1)
         first = np.append(True, b[1:] != b[:-1])
         offset = ends - n - np.repeat((ends - n)[first], np.diff(np.append(np.flatnonzero(first), len(b))))
         t = t.take(pa.array(order))
-        return t.select(names).append_column("sequence_id", pa.array((t.column("_group")[0].as_py() << 32) + b)).append_column("offset", pa.array(offset))
+        return t.select(names).append_column("sequence_id", pa.array((t.column(group)[0].as_py() << 32) + b)).append_column("offset", pa.array(offset))
 
-    rows = pieces.withColumn("_h", F.xxhash64(F.lit(11), "key")).withColumn("_group", F.pmod("_h", F.lit(groups)))
-    return C.wide(rows, "_group").groupBy("_group").applyInArrow(pack, schema)
+    rows = pieces.withColumn(hash_, F.xxhash64(F.lit(11), "key")).withColumn(group, F.pmod(hash_, F.lit(groups)))
+    return C.wide(rows, group, groups).groupBy(group).applyInArrow(C.tidied(pack), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -> DataFrame:
@@ -98,10 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
     size = min(limits.tokens, limits.loss)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         code, z = C.encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        key = TaskContext.get().partitionId() << 40
         for b in C.slabs(batches, rows=C.TOKEN_ROWS, size=C.TOKEN_BYTES):
             offsets, ids = code.encode(b.column("text"))
             n = np.diff(offsets)
@@ -110,18 +108,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
             start = C.ranges(np.zeros(len(m), np.int64), m) * size
             tokens = np.minimum(size, n[doc] - start)
             at = offsets[doc] + start
+            ids_ = b.column("doc_id")
+            who = C.mix(pc.fill_null(ids_, -1).to_numpy().view(np.uint64), b.column("h").to_numpy().view(np.uint64) ^ ids_.is_null().to_numpy(zero_copy_only=False))
+            key = C.mix(who[doc], start.astype(np.uint64))  # equal pieces are alike, so it does not matter which comes first
             for k in range(0, len(doc), 2000):
                 s = slice(k, k + 2000)
                 blobs = [z.compress(pack_ids(ids[x : x + y])) for x, y in zip(at[s].tolist(), tokens[s].tolist(), strict=True)]
                 yield pa.record_batch({
                     "doc_id": b.column("doc_id").take(pa.array(doc[s])), "start": pa.array(start[s]), "tokens": pa.array(tokens[s]), "loss": pa.array(tokens[s]), "doc_tokens": pa.array(n[doc[s]]),
-                    "ids": pa.array(blobs, pa.binary()), "key": pa.array(key + np.arange(k, k + len(blobs))),
+                    "ids": pa.array(blobs, pa.binary()), "key": pa.array(key[s].view(np.int64)),
                 })
-            key += len(doc)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = max(1, -(-3 * approx_bytes(docs) // GROUP_BYTES))
-    pieces = docs.mapInArrow(cut, "doc_id long, start long, tokens long, loss long, doc_tokens long, ids binary, key long")
+    groups = max(1, -(-C.text_bytes(docs) // GROUP_BYTES))
+    pieces = docs.withColumn("h", C.text_hash()).mapInArrow(C.lean(cut), "doc_id long, start long, tokens long, loss long, doc_tokens long, ids binary, key long")
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits()) -
             cols = {c: b.column(c) for c in b.schema.names if c not in ("ids", "key")}
             yield pa.record_batch(cols | {"ids": pa.array([unpack_ids(z.decompress(x)).tobytes() for x in b.column("ids").to_pylist()], pa.binary())})
 
-    return pack_examples(pieces, limits, groups).mapInArrow(unzip, "doc_id long, start long, tokens long, loss long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return pack_examples(pieces, limits, groups).mapInArrow(C.lean(unzip), "doc_id long, start long, tokens long, loss long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def sequences(packed: DataFrame, limits: Limits = Limits()) -> DataFrame:

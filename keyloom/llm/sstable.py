@@ -203,7 +203,7 @@ def write_sstables(docs: DataFrame, tokenizer: str, where: str | None = None) ->
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = rows.mapInArrow(write, MANIFEST).withColumn("root", F.lit(where))
+    manifest = rows.mapInArrow(C.lean(write), MANIFEST).withColumn("root", F.lit(where))
     return C.materialize(manifest, "manifest")
 
 
@@ -229,7 +229,7 @@ def read_sstables(manifest: DataFrame) -> DataFrame:
                     if docs:
                         yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "start": starts, "ids": values})
 
-    return C.wide(based, "shard").mapInArrow(read, "doc_id long, start long, ids binary")
+    return C.wide(based, "shard").mapInArrow(C.lean(read), "doc_id long, start long, ids binary")
 
 
 def sstable_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

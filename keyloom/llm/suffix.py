@@ -164,7 +164,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         e = np.append(s[1:], len(all_))
         return pa.table({"part": pa.array(k), "pack": [pack] * len(k), "blob": pa.array([_blob(all_[a:b]) for a, b in zip(s, e, strict=True)], pa.binary())})
 
-    seeded = C.materialize(C.wide(texts, "pack").groupBy("pack").applyInArrow(seeds, "part long, pack string, blob binary"), "seeds")
+    seeded = C.materialize(C.wide(texts, "pack").groupBy("pack").applyInArrow(C.tidied(seeds), "part long, pack string, blob binary"), "seeds")
 
     def shared(t: pa.Table) -> pa.Table:
         """Of a range of identifiers, those in several packs, by pack."""
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         some = [k for k, x in enumerate(kept) if len(x)]
         return pa.table({"pack": [packs[k] for k in some], "blob": pa.array([_blob(kept[k]) for k in some], pa.binary())}, schema=pa.schema([("pack", pa.string()), ("blob", pa.binary())]))
 
-    common = C.materialize(C.wide(seeded, "part").groupBy("part").applyInArrow(shared, "pack string, blob binary"), "shared")
+    common = C.materialize(C.wide(seeded, "part").groupBy("part").applyInArrow(C.tidied(shared), "pack string, blob binary"), "shared")
 
     def candidates(key, t: pa.Table, own: pa.Table) -> pa.Table:
         """Windows with a shared identifier: those that also start earlier in the pack (part -1), and for the others' sake
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
             blobs.append(_blob(low[s[m]], r, ident[r, 0], ident[r, 1], a, b, np.frombuffer(text, np.uint8)))
         return pa.table({"part": pa.array(parts, pa.int64()), "pack": packs, "blob": pa.array(blobs, pa.binary())}, schema=OUT)
 
-    cand = C.materialize(C.wide(texts, "pack").groupBy("pack").cogroup(C.wide(common, "pack").groupBy("pack")).applyInArrow(candidates, "part long, pack string, blob binary"), "candidates")
+    cand = C.materialize(C.wide(texts, "pack").groupBy("pack").cogroup(C.wide(common, "pack").groupBy("pack")).applyInArrow(C.tidied(candidates), "part long, pack string, blob binary"), "candidates")
 
     def earlier(t: pa.Table) -> pa.Table:
         """Of the windows of a range of identifiers, those whose bytes also start earlier in another of these packs (part -1);
@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         groups = -(-groups // FAN_IN)
         last = groups <= 1
         salted = left.withColumn("salt", F.pmod(F.xxhash64("pack"), F.lit(max(1, groups)))).withColumn("key", F.concat_ws(":", "part", "salt"))
-        done = C.materialize(C.wide(salted, "key").groupBy("key").applyInArrow(lambda t: earlier(t), "part long, pack string, blob binary"), "spans")
+        done = C.materialize(C.wide(salted, "key").groupBy("key").applyInArrow(C.tidied(lambda t: earlier(t)), "part long, pack string, blob binary"), "spans")
         spans, left = spans.union(done.where("part < 0")), done.where("part >= 0")
         if last:
             return meta, spans.select("pack", "blob")
@@ -363,7 +363,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
 
     schema = "doc_id long, uid long, text_hash long, n_bytes long, kept binary, starts array<long>, ends array<long>"
-    return C.wide(meta, "pack").groupBy("pack").cogroup(C.wide(spans, "pack").groupBy("pack")).applyInArrow(cut, schema)
+    return C.wide(meta, "pack").groupBy("pack").cogroup(C.wide(spans, "pack").groupBy("pack")).applyInArrow(C.tidied(cut), schema)
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:

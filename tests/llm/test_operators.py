@@ -93,12 +93,14 @@ def test_quality(docs, empty, odd, fixture_rows):
     assert quality.score_quality(empty).count() == 0 and quality.score_quality(odd).count() == 14
 
 
-def test_kneser_ney_is_a_distribution():
+def test_kneser_ney_is_a_distribution(tmp_path):
     rng = np.random.default_rng(1)
-    cls = rng.integers(0, 5, 3000)
-    code, _ = quality.grams(cls, np.array([0, len(cls)]))
+    cls = rng.integers(0, 5, 3000).astype(np.uint8)
+    code = np.concatenate([c for c, _ in quality.grams(cls, np.array([0, len(cls)]))])
     u, n = np.unique(code, return_counts=True)
-    model = quality.KneserNey(u, n)
+    quality.save_model(f"file://{tmp_path}", "=en", 1, quality.KneserNey(u, n))
+    model = quality.load_model(f"file://{tmp_path}", "=en", 1)
+    assert quality.load_model(f"file://{tmp_path}", "=en", 0) is None
     for ctx in [*(u[:20] // quality.CLASSES), 39 * quality.CLASSES**2]:  # seen contexts and an unseen one
         p = 2 ** model.log2(ctx * quality.CLASSES + np.arange(quality.CLASSES))
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
@@ -106,6 +108,86 @@ def test_kneser_ney_is_a_distribution():
     assert seen > junk + 1
 
 
+def kneser_ney_by_hand(texts):
+    """The same model from dictionaries: p(c | three classes before it)."""
+    order = quality.ORDER
+    seqs = [classes_by_hand(t) for t in texts]
+    levels = {order: Counter(tuple(s[k : k + order]) for s in seqs for k in range(len(s) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.1) if n[k - 1] else 0.5 for k in (1, 2, 3)]
+
+    d = {n: discounts(c) for n, c in levels.items()}
+    follow = {n: {} for n in levels}
+    for n, c in levels.items():
+        for g, v in c.items():
+            follow[n].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / quality.CLASSES
+        seen = follow[n].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        c, cut = levels[n].get(g, 0), lambda v: d[n][min(v, 3)]
+        return max(c - cut(c), 0) / sum(seen) + sum(map(cut, seen)) / sum(seen) * p(g[1:])
+
+    return p
+
+
+def classes_by_hand(t):
+    def one(c):
+        o = ord(c)
+        if c in " \t\n\v\f\r":
+            return 0
+        if o >= 128:
+            return 32 + o % 32
+        if c.isalpha():
+            return ord(c.lower()) - 96
+        return 27 if c.isdigit() else 28 if c in ".!?" else 29 if c in ",;:-" else 30 if c in "'\"()[]{}" else 31
+
+    out, last = [], 0  # the text follows spaces
+    for c in map(one, t + " "):
+        if c or last:
+            out.append(c)
+        last = c
+    return [0] * (quality.ORDER - 1) + out
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    texts = pa.array(["ab  c", "", " x" * 40, "é\nñ"])
+    whole = [(code.tolist(), owner.tolist()) for code, owner in quality.grams(*quality.units(texts))]
+    monkeypatch.setattr(quality, "PIECE", 5)
+    parts = list(quality.grams(*quality.units(texts)))
+    assert len(parts) > 3 and [(sum((c.tolist() for c, _ in parts), []), sum((o.tolist() for _, o in parts), []))] == whole
+
+
+def test_perplexity_by_hand(spark):
+    """Two halves, each scored by the other's model; a null language and one in one half alone; Cyrillic."""
+    import random
+
+    r = random.Random(8)
+    alphabet = {"en": "abcde. ", "ru": "абвгд, ", None: "xyz 1", "one": "qq "}
+    rows = [(k, "w" + "".join(r.choice(alphabet[lang]) for _ in range(r.randrange(30, 200))), lang) for k, lang in enumerate([*["en", "ru", None] * 8, "one"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    half = {x.doc_id: x.h & 1 for x in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = by_id(quality.score_quality(df))
+    for k, t, lang in rows:
+        others = [u for j, u, x in rows if x == lang and half[j] != half[k]]
+        if not others:
+            assert got[k].log2_perplexity is None and got[k].band_low is None
+            continue
+        p, s = kneser_ney_by_hand(others), classes_by_hand(t)
+        bits = [-math.log2(p(tuple(s[j : j + quality.ORDER]))) for j in range(len(s) - quality.ORDER + 1)]
+        assert math.isclose(got[k].log2_perplexity, sum(bits) / len(bits), rel_tol=1e-9)
+    assert got[24].log2_perplexity is None
+
+
 def test_quality_bands_reject_junk(spark):
     import random
 
