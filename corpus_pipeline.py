@@ -68,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
+        mark = len(common.made)
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        *own, after = common.made[mark:]
+        for path in [*own, *([before] if before else [])]:  # only what the next stage reads is kept
+            common.discard(spark, path)
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)
