@@ -26,7 +26,11 @@ ORDER, BASE, PROBES, BITS_A_KEY = 3, 1.2, 4, 12
 PRIOR = 5.0
 END_WORD = b""
 #: Words of a batch of texts (one text at least), bytes of text of a task, and bytes of asked n-grams of a region.
-BATCH_WORDS, CHUNK_BYTES, REGION_BYTES = 500_000, 24 << 20, 16 << 20
+BATCH_WORDS, CHUNK_BYTES, REGION_BYTES = 800_000, 24 << 20, 16 << 20
+
+
+#: Bits of a key: hash, order of the n-gram (one word: WORD), and whether a training text has it.
+HASH, ORDERS, WORD, LEARNT = np.uint64(C.MASK - 0x7FF), np.uint64(3 << 9), np.uint64(1 << 9), np.uint64(1 << 8)
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -94,12 +98,13 @@ class Batch:
     offsets: np.ndarray
 
     def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(place of the last word, key) of the n-grams of each order; the lowest bit is left free, the next two tell the order."""
+        """(place of the last word, key) of the n-grams of each order. A key has 53 bits of hash, two that tell the order and LEARNT
+        left free; the lowest byte is 0, so it takes no room on its way, and the rare keys that meet err less than the filter does."""
         inside = np.arange(len(self.h)) - np.repeat(self.offsets[:-1], np.diff(self.offsets))
         out, x = [], self.h
         for n in range(1, ORDER + 1):
             at = np.flatnonzero(inside >= n - 1)
-            out.append((at, x[at] & np.uint64(C.MASK - 7) | np.uint64(2 * n)))
+            out.append((at, x[at] & HASH | np.uint64(n << 9)))
             x = C.mix(np.concatenate([np.zeros(1, np.uint64), x[:-1]]), self.h)
         return out
 
@@ -161,10 +166,10 @@ def score_lm(docs: DataFrame) -> DataFrame:
         """The distinct n-grams of each batch of a chunk, by region, and how often training texts of the batch have them."""
         learns, out = np.array([not is_held_out(x) for x in t.column("doc_id").to_pylist()], bool), {c: [] for c in BLOBS.names}
         for no, b in enumerate(batches(where, t, most)):
-            train = np.repeat(learns[b.rows], np.diff(b.offsets)).astype(np.uint64)
+            train = np.repeat(learns[b.rows], np.diff(b.offsets)).astype(np.uint64) * LEARNT
             u, c = np.unique(np.concatenate([key | train[at] for at, key in b.grams()]), return_counts=True)
-            c[(u & np.uint64(1)) == 0] = 0
-            u &= np.uint64(C.MASK - 1)
+            c[(u & LEARNT) == 0] = 0
+            u &= ~LEARNT
             s = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
             u, c = u[s], np.add.reduceat(c, s)
             for part, x, y in C.cut_ranges(u, width, regions):
@@ -188,7 +193,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
         u, total = h[by][s], np.add.reduceat(c[by], s)
         del c
         level = LogFrequencyFilter(u, total, bits_a_key).levels(u)
-        word = (u & np.uint64(6)) == 2
+        word = (u & ORDERS) == WORD
         to = np.empty(len(h), np.int32)
         to[by] = np.repeat(np.arange(len(u), dtype=np.int32), np.diff(np.append(s, len(h))))
         del by, h
@@ -218,7 +223,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
             for part, x, y in C.cut_ranges(u, width, regions):
                 raw = z.decompress(blobs[no][part])
                 level[x:y] = np.frombuffer(raw, np.uint8, y - x)
-                exact[x:y][(u[x:y] & np.uint64(6)) == 2] = np.frombuffer(raw, np.int64, -1, y - x)
+                exact[x:y][(u[x:y] & ORDERS) == WORD] = np.frombuffer(raw, np.int64, -1, y - x)
             level, inv = level[inv], inv.astype(np.int64)
             n1 = len(grams[0][0])
             c1 = exact[inv[:n1]].astype(np.float64)
