@@ -457,8 +457,7 @@ def test_imatch_tells_hot_groups(spark):
 # -- 9 -----------------------------------------------------------------------
 
 
-def test_shards(docs, empty, odd, fixture_rows, monkeypatch):
-    monkeypatch.setattr(sharding, "BUCKET_BYTES", 4000)
+def test_shards(docs, empty, odd, fixture_rows):
     got = by_id(sharding.shard_digest(docs, 5))
     for d, t in texts_of(fixture_rows).items():
         raw = (t or "").encode()
@@ -468,6 +467,15 @@ def test_shards(docs, empty, odd, fixture_rows, monkeypatch):
     assert all(sorted(r.slot for r in got.values() if r.shard == s) == list(range(n)) for s, n in per.items())
     full = sharding.shuffle_to_shards(docs, 5)
     assert {"lang", "size", "pack"} <= set(full.columns) and full.count() == len(fixture_rows)
+    # several buckets, columns named like the operator's own, another layout of the same rows
+    clash = docs.withColumns({"_h": F.lit("mine"), "_bucket": F.lit(1.5)})
+    many = by_id(sharding.shuffle_to_shards(clash, 5, bucket_bytes=2000))
+    assert len(many) == len(fixture_rows) and {(r["_h"], r["_bucket"]) for r in many.values()} == {("mine", 1.5)}
+    per = Counter(r.shard for r in many.values())
+    assert set(per) == set(range(5)) and max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in many.values() if r.shard == s) == list(range(n)) for s, n in per.items())
+    other = by_id(sharding.shuffle_to_shards(clash.repartition(7, "text"), 5, bucket_bytes=2000))
+    assert {d: (r.shard, r.slot) for d, r in other.items()} == {d: (r.shard, r.slot) for d, r in many.items()}
     assert sharding.shard_digest(empty).count() == 0 and sharding.shard_digest(odd, 3).count() == 14
     assert {d: (r.shard, r.slot) for d, r in got.items()} == {d: (r.shard, r.slot) for d, r in by_id(sharding.shard_digest(docs, 5)).items()}
 
