@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -34,8 +35,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFr
     return visited
 
 
-def shortest_path_length(edges: DataFrame, src: object, dst: object, limit: int = 64) -> int | None:
-    """The fewest hops between two nodes, from both ends at once; None if there is no path of up to limit hops."""
+def shortest_path_length(edges: DataFrame, src: object, dst: object, limit: int | None = None) -> int | None:
+    """The fewest hops between two nodes, from both ends at once; None if there is no path, or none of up to limit hops if that is given."""
     if src == dst:
         return 0
     spark = edges.sparkSession
@@ -43,7 +44,7 @@ def shortest_path_length(edges: DataFrame, src: object, dst: object, limit: int
     one = lambda v: spark.range(1).select(F.lit(v).cast(kind).alias("node"))
     ways = [edges.select("src", "dst").distinct(), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()]
     seen, front = [one(src), one(dst)], [one(src), one(dst)]
-    for k in range(1, limit + 1):
+    for k in itertools.count(1) if limit is None else range(1, limit + 1):  # ends when one side has no new node
         s = (k + 1) % 2
         nxt = front[s].join(ways[s], front[s]["node"] == ways[s]["src"]).select(F.col("dst").alias("node")).distinct().join(seen[s], "node", "left_anti")
         front[s] = _cut(nxt)

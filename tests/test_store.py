@@ -94,6 +94,7 @@ def test_graph(spark):
     seeds = spark.createDataFrame([(1,), (4,)], "seed long")
     assert sorted(map(tuple, graph.reach(e, seeds).collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 1), (4, 4, 0)]
     assert graph.shortest_path_length(e, 2, 4) == 3 and graph.shortest_path_length(e, 4, 1) is None and graph.shortest_path_length(e, 1, 1) == 0
+    assert graph.shortest_path_length(e, 2, 4, limit=2) is None
 
 
 def test_sequences(spark):
