@@ -12,7 +12,9 @@ from keyloom import functions as K
 from keyloom.operators import graph, lookup
 from keyloom.operators.catalog import Catalog
 from keyloom.operators.seq import Seq
+from keyloom.sources.json_out import to_json
 from keyloom.streaming import mutlog
+from keyloom.streaming.pov import GLOBAL, Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,10 +74,10 @@ def scan_free_prefix(spark: SparkSession, d: str) -> DataFrame:
     return catalog(spark, d).keys("line", "record", l_linenumber=7).df
 
 
-@query("scan_key_order", "SELECT l_orderkey, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ORDER BY l_orderkey, l_linenumber DESC LIMIT 50")
+@query("scan_key_order", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def scan_key_order(spark: SparkSession, d: str) -> DataFrame:
     keys = catalog(spark, d).keys("line", "record")
-    return Seq(keys.df.distinct(), keys.order).take(50).df
+    return Seq(keys.df.distinct(), keys.order).to_frame()
 
 
 @query("scan_of_each", "SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_acctbal > 5000")
@@ -182,9 +184,9 @@ def exists_semi(spark: SparkSession, d: str) -> DataFrame:
     return lookup.where_exists(table(spark, d, "customer").select("c_custkey"), big, ["c_custkey"])
 
 
-@query("anti_not_in", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_not_in", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_not_in(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.where_missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return lookup.where_missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("product_filtered", "SELECT a.n_name AS a, b.n_name AS b FROM nation a, nation b WHERE a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
@@ -194,9 +196,9 @@ def product_filtered(spark: SparkSession, d: str) -> DataFrame:
     return lookup.product(a, b, (F.col("a_n_regionkey") < F.col("b_n_regionkey")) & (F.col("a_n_nationkey") > F.col("b_n_nationkey"))).select(F.col("a_n_name").alias("a"), F.col("b_n_name").alias("b"))
 
 
-@query("common_members", "SELECT x.s AS a, y.s AS b, count(*) AS n_common FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 45) x JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 45) y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2")
+@query("common_members", "SELECT x.s AS a, y.s AS b, count(*) AS n_common FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) x JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2")
 def common_members(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.common_members(table(spark, d, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_partkey")
+    return lookup.common_members(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query("as_of_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE ts <= TIMESTAMP '2024-01-08 00:00:00' GROUP BY user_id")
@@ -218,11 +220,11 @@ def parent_chain(spark: SparkSession, d: str) -> DataFrame:
     return lookup.parent_chain(p)
 
 
-EDGES = "SELECT DISTINCT l_suppkey AS src, l_suppkey * 7 % 100 + l_partkey % 2 AS dst FROM lineitem WHERE l_quantity > 49"
+EDGES = "SELECT DISTINCT l_suppkey AS src, l_suppkey * 7 % 100 + l_partkey % 2 AS dst FROM lineitem"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") * 7 % 100 + F.col("l_partkey") % 2).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") * 7 % 100 + F.col("l_partkey") % 2).alias("dst")).distinct()
 
 
 @query("reach_k", f"WITH RECURSIVE e AS ({EDGES}), r(seed, node, depth) AS (SELECT s, s, 0 FROM (VALUES (CAST(1 AS BIGINT)), (4)) v(s) UNION SELECT seed, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3) SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2")
@@ -255,9 +257,9 @@ def collected_totals(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).collected_by("event_type", n=F.count("*"), cents=F.sum(cents())).df
 
 
-@query("collected_in_order", "SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS v FROM events WHERE event_id < 1000 GROUP BY user_id")
+@query("collected_in_order", "SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS v FROM events GROUP BY user_id")
 def collected_in_order(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).filter(F.col("event_id") < 1000).collected_in_order("user_id", F.col("event_type"), lambda a, x: F.concat(a, F.lit(">"), x)).df
+    return events(spark, d).collected_in_order("user_id", F.col("event_type"), lambda a, x: F.concat(a, F.lit(">"), x)).df
 
 
 @query("union_map_tags", "SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS v FROM part")
@@ -296,10 +298,11 @@ def distinct_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events")
-    return e.where("event_type = 'purchase' and value > 80").select("user_id"), e.where("event_type = 'error' and value > 80").select("user_id")
+    day = F.col("ts").cast("date").alias("day")
+    return e.where("event_type = 'purchase'").select("user_id", day), e.where("event_type = 'error'").select("user_id", day)
 
 
-_A, _B = ("SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 80", "SELECT user_id FROM events WHERE event_type = 'error' AND value > 80")
+_A, _B = ("SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'", "SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error'")
 
 
 @query("set_ops_union", f"{_A} UNION {_B}")
@@ -392,11 +395,11 @@ def random_in_bounds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(F.bool_and(r().between(10, 20)).alias("within"), F.bool_and(r() == r()).alias("again"))
 
 
-@query("str_replace_match_split", r"SELECT doc_id, regexp_replace(text, '[aeiou]+', '<$&>', 'g') AS replaced, len(regexp_extract_all(text, '[a-z]+ing')) AS n_match, string_split_regex(text, '[.] ')[1] AS first_piece, len(string_split_regex(text, '[.] ')) AS n_split FROM documents WHERE doc_id < 200")
+@query("str_replace_match_split", r"SELECT doc_id, regexp_replace(text, '[aeiou]+', '<$&>', 'g') AS replaced, len(regexp_extract_all(text, '[a-z]+ing')) AS n_match, string_split_regex(text, '[.] ')[1] AS first_piece, len(string_split_regex(text, '[.] ')) AS n_split FROM documents")
 def strings(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     pieces = K.split(t, F.lit("[.] "))
-    return table(spark, d, "documents").where("doc_id < 200").select("doc_id", K.replace(t, F.lit("[aeiou]+"), F.lit("<$&>")).alias("replaced"), F.size(K.match(t, F.lit("[a-z]+ing"))).cast("long").alias("n_match"), pieces[0]["_0"].alias("first_piece"), F.size(pieces).cast("long").alias("n_split"))
+    return table(spark, d, "documents").select("doc_id", K.replace(t, F.lit("[aeiou]+"), F.lit("<$&>")).alias("replaced"), F.size(K.match(t, F.lit("[a-z]+ing"))).cast("long").alias("n_match"), pieces[0]["_0"].alias("first_piece"), F.size(pieces).cast("long").alias("n_split"))
 
 
 @query("slice_index", "SELECT p_partkey, p_name[1] AS head, p_name[2:4] AS mid, p_name[3:] AS rest, [p_size, 5, 6][2] AS second, strlen(p_name) AS n, reverse(p_name) AS back FROM part")
@@ -517,17 +520,35 @@ def resolve_all(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("pov_chain_read", f"SELECT user_id AS k, CAST(sum({CENTS}) AS BIGINT) AS value FROM events WHERE event_id % 3 < 2 GROUP BY 1")
+def stakes(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """One update of a mutation a user: what their events of this kind add."""
+    e = table(spark, d, "events").where(F.col("event_type") == kind)
+    return e.groupBy(F.col("user_id").alias("k")).agg(F.sum(cents()).alias("op")).withColumns({"mutator": F.lit("add"), "tombstone": F.lit(False)})
+
+
+@query("pov_chain_read", f"SELECT user_id AS k, CAST(sum({CENTS}) AS BIGINT) AS value FROM events WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1")
 def pov_chain_read(spark: SparkSession, d: str) -> DataFrame:
-    """A branch sees its own rows and its parent's, not its sibling's."""
-    x = log(spark, d, cents(), "add").withColumn("pov_id", F.element_at(F.array(F.lit("global"), F.lit("mine"), F.lit("other")), (F.col("seq") % 3 + 1).cast("int")))
-    return mutlog.fold(x.where(F.col("pov_id").isin("global", "mine")), ["k"])
+    """A branch of a branch sees its own rows and its ancestors', not their other children's."""
+    s = Store(spark, [("k", "long")], "long")
+    child = s.new_pov()
+    mine, other, uncle = s.new_pov(child), s.new_pov(child), s.new_pov()
+    for kind, pov in (("view", GLOBAL), ("click", child), ("signup", mine), ("purchase", other), ("error", uncle)):
+        s.append(stakes(spark, d, kind), pov)
+    return s.read(mine)
 
 
-@query("promote_batch", f"SELECT user_id AS k, CAST(sum({CENTS}) AS BIGINT) AS value FROM events GROUP BY 1")
+@query("promote_batch", f"SELECT k, CAST(sum(v) AS BIGINT) AS value FROM (SELECT user_id AS k, {CENTS} AS v FROM events WHERE event_type = 'view' UNION ALL SELECT * FROM (VALUES (1, 100), (2, 100), (-1, 7), (-1, 1)) u(k, v)) GROUP BY 1")
 def promote_batch(spark: SparkSession, d: str) -> DataFrame:
-    x = log(spark, d, cents(), "add").withColumn("pov_id", F.when(F.col("seq") % 2 == 0, "global").otherwise("mine"))
-    return mutlog.fold(x.withColumn("pov_id", F.lit("global")), ["k"])
+    """Updates of a branch, one of them behind a condition that its parent meets too, moved into the parent; what another branch did stays there."""
+    s = Store(spark, [("k", "long")], "long")
+    s.append(stakes(spark, d, "view"))
+    mine, other = s.new_pov(), s.new_pov()
+    s.call(mine, lambda c: [c.mutate((k,), "add", 100) for k in (1, 2)])
+    s.call(mine, lambda c: c.mutate((-1,), "add", 7 if c.check(c.get(-1) is None) else 1000))
+    s.call(other, lambda c: c.mutate((2,), "add", 5000))
+    s.promote(mine)
+    s.call(GLOBAL, lambda c: c.mutate((-1,), "add", 1))
+    return s.read()
 
 
 @query("compact_whole_and_part", f"SELECT user_id AS k, CAST(sum({CENTS}) AS BIGINT) AS value FROM events GROUP BY 1")
@@ -548,9 +569,13 @@ def kgrams_top(spark: SparkSession, d: str) -> DataFrame:
     return Seq(g, [("gram", True)]).collected_by("gram", n=F.count("*")).sorted_by(("n", False), ("gram", True)).take(20).df
 
 
-@query("market_price_as_of", f"SELECT user_id AS market, event_type AS outcome, CAST(sum({CENTS}) AS BIGINT) * 10000 // (CAST(sum(sum({CENTS})) OVER (PARTITION BY user_id) AS BIGINT)) AS price_bp FROM events WHERE event_id < 5000 GROUP BY 1, 2")
-def market_price_as_of(spark: SparkSession, d: str) -> DataFrame:
-    stake = events(spark, d).filter(F.col("event_id") < 5000).df.groupBy(F.col("user_id").alias("market"), F.col("event_type").alias("outcome")).agg(F.sum(cents()).alias("s"))
+AS_OF = "2024-01-15 12:00:00"
+
+
+@query("market_price_as_of", f"SELECT user_id AS market, event_type AS outcome, CAST(sum({CENTS}) AS BIGINT) * 10000 // (CAST(sum(sum({CENTS})) OVER (PARTITION BY user_id) AS BIGINT)) AS price_bp FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY 1, 2")
+def market_price_as_of(spark: SparkSession, d: str, as_of: str = AS_OF) -> DataFrame:
+    """Shares of the stakes that were placed up to a time, in basis points."""
+    stake = events(spark, d).filter(F.col("ts").cast("timestamp_ntz") <= F.lit(as_of).cast("timestamp_ntz")).df.groupBy(F.col("user_id").alias("market"), F.col("event_type").alias("outcome")).agg(F.sum(cents()).alias("s"))
     total = stake.groupBy("market").agg(F.sum("s").alias("t"))
     return lookup.lookup(stake, total, ["market"], ["t"]).select("market", "outcome", K.divide(F.col("s") * 10000, F.col("t"), True).alias("price_bp"))
 
@@ -579,6 +604,7 @@ def hourly_views(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("page"), hour.alias("hour")).agg(F.sum(cents()).alias("v"))
 
 
-@query("result_json", "SELECT r_regionkey, '{\"key\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS json FROM region")
+@query("result_json", "SELECT r_regionkey, '{\"key\":' || r_regionkey || '.0,\"name\":\"' || r_name || '\"}' AS json FROM region")
 def result_json(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").select("r_regionkey", F.to_json(F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))).alias("json"))
+    records = table(spark, d, "region").select("r_regionkey", F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).alias("json"))
+    return to_json(records, "json")
