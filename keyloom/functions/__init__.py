@@ -2,7 +2,7 @@
 
 from keyloom.functions.casts import as_bool_text, as_int, as_list, as_pairs, as_real, as_set, as_str
 from keyloom.functions.containers import (
-    dict_equal, dict_get, dict_merge, dict_without, has, index_at, is_empty, length_of, list_concat, make_dict, make_set, proper_subset, reverse_of, set_difference, set_intersection,
+    dict_equal, dict_get, dict_merge, dict_put, dict_without, has, index_at, is_empty, length_of, list_concat, list_put, make_dict, make_set, proper_subset, reverse_of, set_difference, set_intersection,
     set_symmetric_difference, set_union, slice_of, subset,
 )
 from keyloom.functions.logic import and_then, is_known, is_known_as, is_unknown, kleene_and, kleene_not, kleene_or, kleene_xor, known, or_else

@@ -64,6 +64,20 @@ def dict_get(d: Column, key: Column) -> Column:
     return index_at(d, key, "dict")
 
 
+def list_put(x: Column, i: Column, value: Column) -> Column:
+    """x with value at place i, from 0; a place outside raises. No lambda, so that all three may hold subqueries."""
+    at = F.when((i < 0) | (i >= F.size(x)), F.raise_error(F.lit("index out of bounds")).cast("int")).otherwise(i.cast("int"))
+    return F.concat(F.slice(x, F.lit(1), at), F.array(value), F.slice(x, at + 2, F.size(x)))
+
+
+def dict_put(d: Column, key: Column, value: Column) -> Column:
+    """d with value at key, new or not. No lambda, as in list_put."""
+    keys, at = F.map_keys(d), F.array_position(F.map_keys(d), key).cast("int")
+    return F.when(at == 0, F.map_from_arrays(F.concat(keys, F.array(key)), F.concat(F.map_values(d), F.array(value)))).otherwise(
+        F.map_from_arrays(keys, list_put(F.map_values(d), F.greatest(at - 1, F.lit(0)), value))
+    )
+
+
 def has(container: Column, x: Column, kind: str) -> Column:
     """x in container, for kind str, list, set or dict. An empty container holds nothing, not even an unknown; otherwise an
     unknown x, or no match beside an unknown element, is unknown."""

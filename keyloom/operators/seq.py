@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,8 +172,13 @@ class Seq:
 
     def to_dict(self, key: Column, value: Column, name: str = "v") -> DataFrame:
         """Of a repeated key the last value stays."""
-        place = F.struct(*[(F.col(c) if asc else -F.col(c).cast("double")) for c, asc in self.order])
-        d = self.df.select(key.alias("k"), value.alias("v"), place.alias("o")).groupBy("k").agg(F.max_by("v", "o").alias("v"))
+        rows = self.df.select(key.alias("k"), value.alias("v"), *[F.col(c).alias(f"o{j}") for j, (c, _) in enumerate(self.order)])
+        place, ways = F.struct(*[f"o{j}" for j in range(len(self.order))]), {asc for _, asc in self.order}
+        if len(ways) == 1:  # the last is a greatest or a least one: no sort
+            d = rows.groupBy("k").agg((F.max_by if ways == {True} else F.min_by)("v", place).alias("v"))
+        else:
+            back = [F.col(f"o{j}").desc_nulls_last() if asc else F.col(f"o{j}").asc_nulls_first() for j, (_, asc) in enumerate(self.order)]
+            d = rows.withColumn("_r", F.row_number().over(W.partitionBy("k").orderBy(*back))).where("_r = 1").select("k", "v")
         return d.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(name))
 
 

@@ -843,8 +843,7 @@ class Lowering:
             if wt.kind in ("obj", "addr"):
                 new = whole.col.withField(p if wt.kind == "obj" else f"_{p}", new)
             else:
-                k, given = self.scalar(p, scope).col, new
-                new = F.transform(whole.col, lambda x, i, k=k, given=given: F.when(i == k, given).otherwise(x)) if wt.kind == "list" else K.dict_merge(whole.col, F.create_map(k, given))
+                new = (K.list_put if wt.kind == "list" else K.dict_put)(whole.col, self.scalar(p, scope).col, new)
         self.effects.append((key.type, t, self.key_of(key), "assign", self.fetch(Val(t, new))))
 
     def key_of(self, key: Val) -> tuple:

@@ -57,10 +57,11 @@ def parse_ddl(source: str) -> dict[str, TableDef]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, table: TableDef, delimiter: str = ",", quote: str = '"', escape: str = "\\", null: str = "", header: bool = False, true: str = "true", false: str = "false") -> DataFrame:
-    """Rows with the table's types; a row that does not fit, or a null where there may be none, raises."""
+def read_csv(spark: SparkSession, path: str, table: TableDef, delimiter: str = ",", quote: str = '"', escape: str = "\\", null: str = "", header: bool = False, true: str = "true", false: str = "false", multi_line: bool = False) -> DataFrame:
+    """Rows with the table's types; a row that does not fit, or a null where there may be none, raises. Quoted fields may hold line
+    ends if multi_line is set; a file is then read by one task."""
     as_text = T.StructType([T.StructField(n, T.StringType() if t == "bool" else TYPES[t], True) for n, t, _ in table.columns])
-    df = spark.read.csv(path, schema=as_text, sep=delimiter, quote=quote, escape=escape, nullValue=null, header=header, mode="FAILFAST", multiLine=False)
+    df = spark.read.csv(path, schema=as_text, sep=delimiter, quote=quote, escape=escape, nullValue=null, header=header, mode="FAILFAST", multiLine=multi_line)
     for n, t, nullable in table.columns:
         c = F.col(n)
         if t == "bool":

@@ -80,6 +80,34 @@ def test_run_time_errors(spark, bad):
         Program(spark, "").value(bad)
 
 
+def test_partial_mutations(spark):
+    source = """
+list_at = ((true) where { n = given::(int); }) effecting { *<['l']>::([int])[n] <- 5; };
+list_add = (true) effecting { *<['l']>::([int])[0] += 10; };
+dict_at = ((true) where { k = given::(str); }) effecting { *<['d']>::({str: int})[k] <- 7; };
+with { <['l']> <- [1, 2, 3]; <['d']> <- {'a': 1}; }
+test {
+  l: list_at(.n: 1) { then: *<['l']>::([int]) == [1, 5, 3]; };
+  add: list_add { then: *<['l']>::([int]) == [11, 2, 3]; };
+  old: dict_at(.k: 'a') { then: *<['d']>::({str: int}) == {'a': 7}; };
+  new: dict_at(.k: 'b') { then: *<['d']>::({str: int}) == {'a': 1, 'b': 7}; };
+};
+"""
+    results = Program(spark, source).run_tests()
+    assert len(results) == 8 and [n for n, ok in results if not ok] == []
+    outside = Program(spark, source.replace("list_at(.n: 1)", "list_at(.n: 9)")).run_tests()
+    assert [n.split(":")[0] for n, ok in outside if not ok] == ["l"]
+
+
+def test_final_mutations_of_one_key(spark):
+    s = Server(spark).new_session()
+    s.execute("install p \"put = ((true) where { n = given::(int); }) effecting { *<['c']>::(int) <- n; }; peek = *<['c']>::(int?);\"")
+    a = s.new_pov()
+    with pytest.raises(ValueError, match="don't combine"):
+        s.call(a, "p", "put", {"n": 1}, {"n": 2})
+    assert s.call(a, "p", "peek") == [None]
+
+
 def test_packages(spark):
     p = Packages(spark)
     p.install("a/b", "package #2; f = 1;")

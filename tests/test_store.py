@@ -110,10 +110,20 @@ def test_sequences(spark):
         Seq.range(spark, 3, 0, 4)
     with pytest.raises(ValueError):
         Seq.range(spark, 3).to_frame()
+    pairs = spark.createDataFrame([("x", "a", 1, 1), ("x", "b", 1, 2), ("x", "b", 2, 3), ("y", "a", 9, 4)], "k string, t string, i int, v int")
+    for order, want in (([("t", True), ("i", True)], 3), ([("t", False), ("i", False)], 1), ([("t", False), ("i", True)], 1), ([("t", True), ("i", False)], 2)):
+        assert Seq(pairs, order).to_dict(F.col("k"), F.col("v")).first()[0] == {"x": want, "y": 4}
     run = with_running_sum(e, [("i", False)], F.lit(1), "n")
     assert sorted((r["i"], r["n"]) for r in run.collect()) == [(k, 6 - k) for k in range(6)]
 
 
+def test_parent_chain_of_a_cycle(spark):
+    rows = [(1, 2), (2, 3), (3, 4), (4, 2)]
+    assert lookup.parent_chain(spark.createDataFrame(rows[:3], "child long, parent long")).count() == 6
+    with pytest.raises(ValueError, match="cycle"):
+        lookup.parent_chain(spark.createDataFrame(rows, "child long, parent long"))
+
+
 def test_as_of_and_missing(spark):
     with pytest.raises(Exception, match="no value at key"):
         lookup.lookup(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], ["v"]).collect()
@@ -128,6 +138,8 @@ def test_tables(spark, tmp_path):
     (tmp_path / "d.csv").write_text(",a,true,x\n")
     with pytest.raises(Exception, match="id is null"):
         read_csv(spark, str(tmp_path / "d.csv"), t).collect()
+    (tmp_path / "e.csv").write_text('1,"a\nb",true,x\n')
+    assert read_csv(spark, str(tmp_path / "e.csv"), t, multi_line=True).first()["name"] == "a\nb"
     c = Catalog()
     register_table(c, t, df)
     assert [r[0] for r in c.keys("city", "record").to_frame().collect()] == [2, 1]
