@@ -3,7 +3,8 @@
 Every position of every text is a suffix. Its first bucket is its leading 8 bytes (a q-gram); the bucket of twice as many bytes
 follows from the bucket identifiers of positions p and p + q, again and again, each round reusing what the last one updated
 (8, 16, 32, 64 bytes, and from two overlapping 64s the full length). Identifiers are 64-bit names instead of ranks, so buckets
-of different machines compare; sorting by them splits a bucket.
+of different machines compare; sorting by them splits a bucket. Two windows count as one string only if their bytes agree; a
+last bucket that holds several strings is split by sorting those.
 
 A position goes on to the next refinement only if its bucket is shared: the bucket of the smallest 32-byte identifier within
 its window is compared over all packs first, and only positions whose window has a shared one are refined to full length.
@@ -26,6 +27,8 @@ LENGTH, SEED = 100, 32
 PIECE, RANGE_BYTES = 1 << 19, 1 << 19
 #: Windows sorted at once; a range of identifiers that has more is gone through in passes, each for some of the full-length buckets.
 WINDOWS = 1 << 20
+#: Windows whose bytes are compared at once.
+AT_ONCE = 1 << 14
 #: Packs whose shared windows one task compares; more are compared in rounds.
 FAN_IN = 256
 
@@ -191,20 +194,25 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         found = [minima(buf, row, length) for buf, row, _ in pieces(where, pack, rows, length)]
         u, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         near = np.union1d(over, u[n > 1])  # those in several places of this pack alone are shared too
-        got: list[list[np.ndarray]] = [[], [], []]
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        held, size = [np.zeros(0, np.uint8)], 0
         by_rank = rows[order]
         for buf, row, at in pieces(where, pack, rows, length):
             low, full = windows(buf, length)
             new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
             ok = np.flatnonzero(np.repeat(member(low[new], near), np.diff(np.append(new, len(low)))) & (row >= 0))
-            for x, y in zip(got, (low[ok], full[ok], rank[row[ok]] << 36 | at[ok]), strict=True):
+            if not len(ok):
+                continue
+            for x, y in zip(got, (low[ok], full[ok], rank[row[ok]] << 36 | at[ok], size + ok), strict=True):
                 x.append(y)
+            held.append(buf)
+            size += len(buf)
         if not sum(map(len, got[0])):
             return OUT.empty_table()
-        low, full, place = (np.concatenate(x) for x in got)
+        low, full, place, start = (np.concatenate(x) for x in got)
         got.clear()
-        again = _again(C.mix(full, low), place)
-        del full
+        again = _again(C.mix(full, low), place, start, np.concatenate(held), length)
+        del full, start, held
         row, at = by_rank[place >> 36].astype(np.int64), place & ((1 << 36) - 1)
         del place
         parts, packs, blobs = [-1], [pack], [_spans(row[again], at[again])]
@@ -228,27 +236,30 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
         the others go on to the next round."""
         part, packs = t.column("part")[0].as_py(), t.column("pack").to_pylist()
         blobs = [_arrays(x, "<u8", "<i8", "<i8", "<i8", "<i8", "<i8", "u1") for x in t.column("blob").to_pylist()]
+        texts, text_at = np.concatenate([x[6] for x in blobs]), np.cumsum([0, *(len(x[6]) for x in blobs)])
+        blobs = [[*(a.copy() for a in x[:6]), texts[p:q]] for x, p, q in zip(blobs, text_at[:-1].tolist(), text_at[1:].tolist(), strict=True)]
         rank = _rank(*(np.concatenate([x[c] for x in blobs]) for c in (2, 3)))
         counts = [x[5] - x[4] - length + 1 for x in blobs]
         contexts, starts = (np.concatenate([[0], np.cumsum(x)]) for x in ([len(m) for m in counts], [int(m.sum()) for m in counts]))
         again = np.zeros(int(starts[-1]), bool)
         passes = -(-len(again) // WINDOWS)
         for q in range(passes):
-            got: list[list[np.ndarray]] = [[], [], []]
+            got: list[list[np.ndarray]] = [[], [], [], []]
             for no, (low, _, _, _, a, b, text) in enumerate(blobs):
                 ends, done = np.cumsum(b - a), int(starts[no])
                 for k in _slices(b - a):
                     n, m = (b - a)[k], counts[no][k]
-                    full = windows(text[int(ends[k.start] - n[0]) : ends[k.stop - 1]], length)[1]
-                    bucket = C.mix(full[C.ranges(np.cumsum(n) - n, m)], np.repeat(low[k], m))
+                    first = int(ends[k.start] - n[0])
+                    start = C.ranges(np.cumsum(n) - n, m)
+                    bucket = C.mix(windows(text[first : ends[k.stop - 1]], length)[1][start], np.repeat(low[k], m))
                     own = np.flatnonzero(bucket % np.uint64(passes) == q) if passes > 1 else np.arange(len(bucket))
                     place = (np.repeat(rank[contexts[no] + k.start : contexts[no] + k.stop], m) << 36 | C.ranges(a[k], m))[own]
-                    for x, y in zip(got, (bucket[own], place, done + own), strict=True):
+                    for x, y in zip(got, (bucket[own], place, done + own, int(text_at[no]) + first + start[own]), strict=True):
                         x.append(y)
                     done += len(bucket)
-            bucket, place, index = (np.concatenate(x) for x in got)
+            bucket, place, index, start = (np.concatenate(x) for x in got)
             got.clear()
-            again[index[_again(bucket, place)]] = True
+            again[index[_again(bucket, place, start, texts, length)]] = True
         parts, out_packs, out = [], [], []
         for no, (low, r, doc, uid, a, b, text) in enumerate(blobs):
             m, flag = counts[no], again[starts[no] : starts[no + 1]]
@@ -279,12 +290,28 @@ def repeated_spans(docs: DataFrame, where: str, length: int = LENGTH) -> tuple[D
             return meta, spans.select("pack", "blob")
 
 
-def _again(bucket: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which windows have the bucket of an earlier one: sorting by place, then, stable, by the bucket."""
+def _again(bucket: np.ndarray, place: np.ndarray, start: np.ndarray, buf: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which windows have the bytes of an earlier one: sorting by place, then, stable, by the bucket. Each window of a bucket is
+    compared with the one before it, byte by byte (they start at start in buf); a bucket of several strings is split by them."""
     order = np.argsort(place, kind="stable")
     order = order[np.argsort(bucket[order], kind="stable")]
     again = np.zeros(len(bucket), bool)
-    again[order[1:]] = bucket[order[1:]] == bucket[order[:-1]]
+    view = np.lib.stride_tricks.sliding_window_view(buf, length)
+    behind = np.flatnonzero(bucket[order[1:]] == bucket[order[:-1]])
+    mixed = []
+    for k in range(0, len(behind), AT_ONCE):
+        some = behind[k : k + AT_ONCE]
+        x, y = order[some], order[some + 1]
+        same = (view[start[x]] == view[start[y]]).all(axis=1)
+        again[y[same]] = True
+        mixed.append(bucket[y[~same]])
+    if not mixed or not sum(map(len, mixed)):
+        return again
+    of = order[member(bucket[order], np.unique(np.concatenate(mixed)))]
+    _, own = np.unique(view[start[of]].view(f"V{length}").ravel(), return_inverse=True)
+    by = np.lexsort((place[of], own))
+    again[of] = False
+    again[of[by[1:]]] = own[by[1:]] == own[by[:-1]]
     return again
 
 

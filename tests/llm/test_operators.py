@@ -411,6 +411,40 @@ def test_repeats(docs, empty, odd, fixture_rows, monkeypatch):
     assert suffix.repeat_digest(empty).count() == 0 and suffix.repeat_digest(odd).count() == 14
 
 
+@pytest.mark.parametrize("bits", [0, 2, 16, 64])
+def test_repeats_with_hashes_that_collide(bits, monkeypatch):
+    monkeypatch.setattr(suffix, "AT_ONCE", 64)
+    rng = np.random.default_rng(bits)
+    buf = np.concatenate([rng.integers(0, 2, 400, np.uint8)] * 3 + [np.zeros(300, np.uint8), rng.integers(0, 256, 400, np.uint8)])
+    full = suffix.windows(buf)[1]
+    place, start = rng.permutation(len(full)), np.arange(len(full))
+    bucket = full & np.uint64((1 << bits) - 1)
+    seen, want = set(), np.zeros(len(full), bool)
+    for k in np.argsort(place):
+        want[k] = buf[k : k + 100].tobytes() in seen
+        seen.add(buf[k : k + 100].tobytes())
+    assert (suffix._again(bucket, place, start, buf) == want).all() and 900 < want.sum() < len(full)
+
+
+def test_repeats_in_long_texts(spark):
+    """Texts of several stretches; the passages repeat within a text, over texts and across the ends of stretches."""
+    rng = np.random.default_rng(7)
+    long = bytes(rng.integers(97, 123, 3 * suffix.PIECE, np.uint8)).decode()
+    edge = suffix.PIECE
+    rows = [(1, long), (2, long[edge - 300 : edge + 300] + "é" * 40 + long[:50]), (3, "x" * 120 + long[2 * edge - 99 : 2 * edge + 99] + long[5:1000]), (4, long + long[:99]), (5, "y" + long[100 : edge + 500])]
+    got = by_id(suffix.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    seen = set()
+    for d, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw) + 2, bool)
+        for k in range(len(raw) - 99):
+            h = hash(raw[k : k + 100])
+            if h in seen:
+                gone[k + 1 : k + 101] = True
+            seen.add(h)
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans) == (len(raw), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum()))
+
+
 # -- 8 -----------------------------------------------------------------------
 
 
