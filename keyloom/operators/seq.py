@@ -84,6 +84,10 @@ class Seq:
     def with_columns(self, **columns: Column) -> Seq:
         return self._with(self.df.withColumns(columns))
 
+    def beside(self, **columns: Column) -> Seq:
+        """As with_columns, for new names; it leaves a frame that refers to an outer one unanalyzed."""
+        return self._with(self.df.select("*", *[c.alias(n) for n, c in columns.items()]))
+
     def filter(self, pred: Column) -> Seq:
         """Elements for which pred is true. An unknown is no truth value: test it with is_known_as."""
         return self._with(self.df.filter(pred))
@@ -123,8 +127,11 @@ class Seq:
 
     def fold(self, value: Column, start: Column, merge: Callable[[Column, Column], Column], name: str = "v") -> DataFrame:
         """Any other left fold, in order: one row. The elements are gathered in one list, so this is for short sequences."""
-        items = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, (c, _) in enumerate(self.order)], value.alias("v"))), self._comparator)
-        return self.df.agg(F.aggregate(items, start, lambda acc, x: merge(acc, x["v"])).alias(name))
+        return self.df.agg(F.aggregate(self.gathered(value), start, lambda acc, x: merge(acc, x["v"])).alias(name))
+
+    def gathered(self, value: Column) -> Column:
+        """An aggregate: the values in order, as field v of structs."""
+        return F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, (c, _) in enumerate(self.order)], value.alias("v"))), self._comparator)
 
     def _comparator(self, a: Column, b: Column) -> Column:
         out = F.lit(0)
@@ -147,7 +154,7 @@ class Seq:
 
     def collected_in_order(self, key: str, value: Column, merge: Callable[[Column, Column], Column], name: str = "v") -> Seq:
         """As collected_by for a merge that does not commute: the first value of a key seeds, the others follow in order."""
-        items = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, (c, _) in enumerate(self.order)], value.alias("v"))), self._comparator)
+        items = self.gathered(value)
         df = self.df.groupBy(key).agg(F.transform(items, lambda x: x["v"]).alias("_l"))
         return Seq(df.select(key, F.aggregate(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.get("_l", F.lit(0)), merge).alias(name)), [(key, True)])
 
@@ -162,7 +169,7 @@ class Seq:
         return self.df.orderBy(*self._sort())
 
     def to_list(self, value: Column, name: str = "v") -> DataFrame:
-        items = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, (c, _) in enumerate(self.order)], value.alias("v"))), self._comparator)
+        items = self.gathered(value)
         return self.df.agg(F.transform(items, lambda x: x["v"]).alias(name))
 
     def to_set(self, value: Column, name: str = "v") -> DataFrame:

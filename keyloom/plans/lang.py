@@ -1,7 +1,8 @@
 """Programs to plans: scalar expressions become Columns, sequences become array columns or, from the store, ordered DataFrames.
 
 Functions are expanded where they are called. A condition on constants is decided while a call is expanded, so recursion
-over constants ends; reads become scalar subqueries, which the optimizer turns into joins.
+over constants ends; reads become scalar subqueries, which the optimizer turns into joins. A sequence whose map, condition or
+fold reads the store becomes a DataFrame of its elements, as no subquery can stand in a lambda.
 """
 
 from __future__ import annotations
@@ -22,24 +23,38 @@ from keyloom.streaming.mutlog import fold
 from keyloom.types import ANY, BOOL, DIFF, INT, PNT, REAL, STR, Type, TypeMismatch, bare
 
 _NONE = object()
+_fresh = itertools.count()
 
 
 @dataclass
 class Val:
-    """A scalar: its type, its Column, and its Python value if that is known already."""
+    """A scalar: its type, its Column, its Python value if that is known already, and an address's members."""
 
     type: Type
     col: Column
     const: object = _NONE
+    members: tuple[Val, ...] = ()
 
 
 @dataclass(eq=False)
 class Base:
-    """Where a sequence's elements come from: an array column, or a Seq whose elements are in column v."""
+    """Where a sequence's elements come from: an array column, or a Seq whose elements are in column name. That is a name of its
+    own, so that no inner sequence's elements are taken for them. A Seq that stands in a read of an outer element can't be
+    analyzed by itself; where and select alone leave it as it is."""
 
     type: Type
     array: Column | None = None
     frame: Seq | None = None
+    name: str = field(default_factory=lambda: f"_v{next(_fresh)}")
+
+    @staticmethod
+    def of(t: Type, s: Seq) -> Base:
+        """Elements in column v of s."""
+        name = f"_v{next(_fresh)}"
+        return Base(t, None, Seq(s.df.withColumnRenamed("v", name), [(name if c == "v" else c, up) for c, up in s.order], s.source), name)
+
+    def element(self) -> Val:
+        return Val(self.type, F.col(self.name))
 
 
 @dataclass(eq=False)
@@ -49,10 +64,11 @@ class SeqVal:
     base: Base
     map: Callable[[Val], Val]
     endless: tuple[int, int] | None = None
+    scan: bool = False
 
     @property
     def type(self) -> Type:
-        return self.map(Val(self.base.type, F.col("v"))).type
+        return self.map(self.base.element()).type
 
     def array(self) -> Column:
         if self.endless:
@@ -63,14 +79,18 @@ class SeqVal:
 
     def _gathered(self) -> Column:
         """All elements in one list, as an uncorrelated scalar subquery; for results that a caller asked for as one value."""
-        return self.base.frame.to_list(self.map(Val(self.base.type, F.col("v"))).col, "v").scalar()
+        return self.settled().to_list(F.col("v"), "v").scalar()
+
+    def over(self, frame: Seq) -> SeqVal:
+        """Of a sequence without a map, the elements that frame has left."""
+        return SeqVal(Base(self.type, frame=frame, name=self.base.name), lambda x: x)
 
-    def settled(self) -> Seq:
-        """The mapped elements in column v of an ordered DataFrame."""
-        v = self.map(Val(self.base.type, F.col("v"))).col
+    def settled(self, name: str = "v") -> Seq:
+        """The mapped elements in one column of an ordered DataFrame."""
+        v = self.map(self.base.element()).col
         s = self.base.frame
         hidden = [(f"_o{k}", up) for k, (_, up) in enumerate(s.order)]
-        return Seq(s.df.select(v.alias("v"), *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)]), hidden, s.source)
+        return Seq(s.df.select(v.alias(name), *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)]), hidden, s.source)
 
 
 @dataclass
@@ -80,6 +100,7 @@ class Func:
     params: dict[str, Type]
     body: tuple
     scope: Scope
+    made: SeqVal | None = None
 
 
 @dataclass
@@ -181,10 +202,40 @@ class Lowering:
             raise TypeMismatch("a single value is needed here")
         return v
 
-    def sequence(self, node: tuple, scope: Scope) -> SeqVal:
+    @staticmethod
+    def reads(v: Val) -> bool:
+        """Whether its Column reads the store."""
+        nodes = [v.col._jc.node()]
+        while nodes:
+            at = nodes.pop()
+            if at.getClass().getSimpleName() == "SubqueryExpression":
+                return True
+            inner = at.children()
+            nodes += [inner.apply(i) for i in range(inner.size())]
+        return False
+
+    def framed(self, q: SeqVal, *bodies: Callable[[Val], Val], always: bool = False) -> SeqVal:
+        """q over an ordered DataFrame if its map, or one of bodies over its elements, reads the store."""
+        if q.base.frame is not None or q.endless:
+            return q
+        e = q.map(q.base.element())
+        if not always and not self.reads(e) and not any(self.reads(body(Val(e.type, F.col(q.base.name)))) for body in bodies):
+            return q
+        return SeqVal(Base.of(q.base.type, Seq.of_list(self.spark.range(1), q.base.array)), q.map)
+
+    def let(self, v: Val, f: Callable[[Column], Column]) -> Column:
+        """f of v; if v reads the store, by a column, as no subquery can stand in a higher-order function."""
+        if not self.reads(v):
+            return f(v.col)
+        return self.spark.range(1).select(v.col.alias("_x")).select(f(F.col("_x")).alias("v")).scalar()
+
+    def sequence(self, node: tuple, scope: Scope, *bodies: Callable[[Val], Val]) -> SeqVal:
+        """One that reads the store comes without a map, over a DataFrame."""
         v = self.eval(node, scope)
         if isinstance(v, SeqVal):
-            return v
+            q = self.framed(v, *bodies)
+            name = f"_v{next(_fresh)}"
+            return q if q.base.frame is None else SeqVal(Base(q.type, None, q.settled(name), name), lambda x: x)
         raise TypeMismatch(f"a sequence is needed here, not {v.type}")
 
     # -- leaves ------------------------------------------------------------
@@ -211,7 +262,12 @@ class Lowering:
         if isinstance(found, Func):
             if found.params:
                 return found
-            return self.call(found, {})
+            if found.made is None:
+                out = self.call(found, {})
+                if not isinstance(out, SeqVal):
+                    return out
+                found.made = out  # wherever its name stands, it is one sequence
+            return found.made
         if isinstance(found, Type):
             return found
         return found
@@ -268,7 +324,7 @@ class Lowering:
         def f(*vals):
             t = T.addr(*[(v.type, up) for (up, _), v in zip(made, vals, strict=True)])
             const = tuple(v.const for v in vals)
-            return Val(t, F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vals)]), _NONE if _NONE in const else const)
+            return Val(t, F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vals)]), _NONE if _NONE in const else const, vals)
 
         return self.lift(f, *[v for _, v in made])
 
@@ -476,7 +532,7 @@ class Lowering:
 
         a, b = self.eval(yes, scope), self.eval(no, scope)
         if isinstance(p, Val) and isinstance(a, SeqVal) and isinstance(b, SeqVal) and a.base is not b.base:
-            return SeqVal(Base(a.type, F.when(p.col, a.array()).otherwise(b.array())), lambda x: x)
+            return SeqVal(Base(a.type, F.when(p.col, self.framed(a).array()).otherwise(self.framed(b).array())), lambda x: x)
         return self.lift(f, p, a, b)
 
     def _when(self, scope, e, arms):
@@ -511,7 +567,11 @@ class Lowering:
         t = self.type_of(t, scope)
         v = self.eval(e, scope)
         if isinstance(v, SeqVal):
-            a, elem = v.array(), v.type
+            v, elem = self.framed(v), v.type
+            if v.base.frame is not None and t.kind in ("set", "dict"):
+                x, rows = F.col("v"), v.settled()
+                return Val(T.set_of(elem), rows.to_set(x).scalar()) if t.kind == "set" else Val(T.dict_of(elem.args[0][0], elem.args[1][0]), rows.to_dict(x["_0"], x["_1"]).scalar())
+            a = v.array()
             if t.kind == "list":
                 return Val(T.list_of(elem), a)
             if t.kind == "set":
@@ -532,10 +592,13 @@ class Lowering:
             return Val(t, F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         if {a.kind, b.kind} <= {"int", "real", "str", "id", "time_pnt"}:
             return Val(t, v.col.cast(T.to_spark(b)))
+        if b.kind == "dict" and a.kind == "addr" and len(a.args) == 2:
+            k, x = (self.cast(Val(m, v.col[f"_{i}"]), want).col for i, ((m, _), want) in enumerate(zip(a.args, b.args, strict=True)))
+            return Val(t, F.create_map(k, x))
         if b.kind in ("list", "set") and a == b.args[0]:
             return Val(t, F.array(v.col))
         if b.kind in ("list", "set") and a.kind in ("list", "set"):
-            inner = F.transform(v.col, lambda x: self.cast(Val(a.args[0], x), b.args[0]).col)
+            inner = self.let(v, lambda c: F.transform(c, lambda x: self.cast(Val(a.args[0], x), b.args[0]).col))
             return Val(t, K.make_set(inner) if b.kind == "set" else inner)
         if a.kind == "variant" == b.kind:
             return Val(t, self._variant(a).widen(v.col, self._variant(b)))
@@ -546,11 +609,13 @@ class Lowering:
     def _sequence(self, scope, e):
         v = self.scalar(e, scope)
         t = bare(v.type)
-        if t.kind == "dict":
-            return SeqVal(Base(T.addr((t.args[0], True), (t.args[1], True)), K.as_pairs(v.col)), lambda x: x)
-        if t.kind not in ("list", "set"):
+        if t.kind not in ("list", "set", "dict"):
             raise TypeMismatch(f"**{t}")
-        return SeqVal(Base(t.args[0], v.col), lambda x: x)
+        elem = T.addr((t.args[0], True), (t.args[1], True)) if t.kind == "dict" else t.args[0]
+        if self.reads(v):  # a stored container
+            rows, pairs = self.spark.range(1).select(v.col.alias("_all")), t.kind == "dict"
+            return SeqVal(Base.of(elem, Seq.of_list(rows, K.as_pairs(F.col("_all")) if pairs else F.col("_all"))), lambda x: x)
+        return SeqVal(Base(elem, K.as_pairs(v.col) if t.kind == "dict" else v.col), lambda x: x)
 
     def _match(self, scope, a, b):
         return SeqVal(Base(STR, K.match(self.scalar(a, scope).col, self.scalar(b, scope).col)), lambda x: x)
@@ -565,16 +630,17 @@ class Lowering:
         return p.col
 
     def _filter(self, scope, s, pred):
-        q = self.sequence(s, scope)
+        q = self.sequence(s, scope, lambda v: Val(BOOL, self._pred(pred, scope, v)))
         if q.base.frame is not None:
-            f = q.settled()
-            return SeqVal(Base(q.type, frame=f.filter(self._pred(pred, scope, Val(q.type, F.col("v"))))), lambda x: x)
+            f = q.base.frame.beside(_ok=self._pred(pred, scope, q.base.element()))
+            return q.over(f.filter(F.col("_ok")))
         return SeqVal(Base(q.type, F.filter(q.array(), lambda x: self._pred(pred, scope, Val(q.type, x)))), lambda x: x)
 
     def _while(self, scope, s, pred):
-        q = self.sequence(s, scope)
+        q = self.sequence(s, scope, lambda v: Val(BOOL, self._pred(pred, scope, v)))
         if q.base.frame is not None:
-            return SeqVal(Base(q.type, frame=q.settled().take_while(self._pred(pred, scope, Val(q.type, F.col("v"))))), lambda x: x)
+            f = q.base.frame.beside(_ok=self._pred(pred, scope, q.base.element()))
+            return q.over(f.take_while(F.col("_ok")))
         a = q.array()
         bad = F.array_position(F.transform(a, lambda x: ~self._pred(pred, scope, Val(q.type, x))), F.lit(True))
         return SeqVal(Base(q.type, F.when(bad == 0, a).otherwise(F.slice(a, 1, (bad - 1).cast("int")))), lambda x: x)
@@ -587,7 +653,7 @@ class Lowering:
         if q.base.frame is not None:
             if k.const is _NONE:
                 raise TypeMismatch("take from the store needs a constant")
-            return SeqVal(Base(q.type, frame=q.settled().take(k.const)), lambda x: x)
+            return q.over(q.base.frame.take(k.const))
         return SeqVal(Base(q.type, F.slice(q.array(), F.lit(1), F.greatest(k.col, F.lit(0)).cast("int"))), lambda x: x)
 
     def _skip(self, scope, s, n):
@@ -595,7 +661,7 @@ class Lowering:
         if q.endless and k.const is not _NONE:
             return SeqVal(q.base, q.map, (q.endless[0] + max(0, k.const) * q.endless[1], q.endless[1]))
         if q.base.frame is not None:
-            return SeqVal(Base(q.type, frame=q.settled().skip(k.const)), lambda x: x)
+            return q.over(q.base.frame.skip(k.const))
         a = q.array()
         return SeqVal(Base(q.type, F.slice(a, (F.greatest(k.col, F.lit(0)) + 1).cast("int"), F.size(a))), lambda x: x)
 
@@ -613,27 +679,57 @@ class Lowering:
         start = Val(start.type, start.col)
         return start, lambda acc, x: self.scalar(node, Scope({"that": x, "start": acc}, scope))
 
+    def _body(self, node, scope) -> Callable[[Val], Val]:
+        """A body over an element, tried to see whether it reads."""
+
+        def f(v):
+            start = {"start": Val((x := self.scalar(self._starts(node)[0][1], scope)).type, x.col)} if self._starts(node) else {}
+            return self.scalar(node, Scope({"that": v} | start, scope))
+
+        return f
+
+    def _folding(self, s: Seq, e: Val, body: tuple, scope: Scope) -> tuple[Seq, Val]:
+        """A fold over the elements e of s: s with the columns that it takes, and the fold as an aggregate.
+
+        start OP g(that), or g(that) OP start where OP commutes, is an aggregate with partial results; g may read the store. Any
+        other fold gathers its elements in one list.
+        """
+        start, f = self._folder(body, scope)
+        sides = (body[2], body[3]) if body[0] == "binary" else ()
+        own = [k for k, x in enumerate(sides) if x[0] == "start" and not self._starts(x[1])]
+        if len(own) == 1 and body[1] in ("+", "|", "and", "or") and not self._starts(sides[1 - own[0]]):
+            g = self.scalar(sides[1 - own[0]], Scope({"that": e}, scope))
+            x, kind, total = F.col("_g"), g.type.kind, None
+            if body[1] == "+" and kind in ("int", "real"):
+                total = F.coalesce(F.sum(x), F.lit(0)).cast(T.to_spark(g.type))
+            elif body[1] == "|" and kind == "set":
+                total = F.array_distinct(F.flatten(F.collect_set(x)))
+            elif body[1] in ("and", "or") and kind == "bool":
+                total = F.coalesce(F.bool_and(x), F.lit(True)) if body[1] == "and" else F.coalesce(F.bool_or(x), F.lit(False))
+            if total is not None:
+                return s.beside(_g=g.col), self.operate(body[1], start, Val(g.type, total))
+        kind = T.to_spark(start.type)
+        return s, Val(start.type, F.aggregate(s.gathered(e.col), start.col.cast(kind), lambda acc, x: f(Val(start.type, acc), Val(e.type, x["v"])).col.cast(kind)))
+
     def _reduce(self, scope, s, body):
-        q = self.sequence(s, scope)
         start, f = self._folder(body, scope)
-        if q.base.frame is not None and body[0] == "binary" and body[2][0] == "start" and not self._starts(body[3]) and body[1] in ("+", "|"):
-            # start OP g(that): the aggregate of g, with partial sums
-            g = self.scalar(body[3], Scope({"that": Val(q.type, F.col("v"))}, scope))
-            t = T.binary(body[1], start.type, g.type)
-            if body[1] == "+" and bare(g.type).kind in ("int", "real"):
-                total = q.settled().df.agg(F.coalesce(F.sum(g.col), F.lit(0)).cast(T.to_spark(t)).alias("v")).scalar()
-                return self.operate("+", start, Val(g.type, total))
-            if body[1] == "|":
-                total = q.settled().df.agg(F.array_distinct(F.flatten(F.collect_set(g.col))).alias("v")).scalar()
-                return self.operate("|", start, Val(g.type, total))
+        q = self.sequence(s, scope, self._body(body, scope))
+        if q.base.frame is not None:
+            rows, fold = self._folding(q.base.frame, q.base.element(), body, scope)
+            return Val(fold.type, rows.df.select(fold.col.alias("v")).scalar())
         kind = T.to_spark(start.type)
         return Val(start.type, F.aggregate(q.array(), start.col.cast(kind), lambda acc, x: f(Val(start.type, acc), Val(q.type, x)).col.cast(kind)))
 
     def _collated_by(self, scope, s, body, having):
-        q = self.sequence(s, scope)
+        q = self.sequence(s, scope, self._body(body, scope), self._body(having, scope))
         start, f = self._folder(body, scope)
         key = lambda x: self.scalar(having, Scope({"that": Val(q.type, x)}, scope))
         kt = key(F.col("v")).type
+        if q.base.frame is not None:
+            rows, fold = self._folding(q.base.frame.beside(_k=key(F.col(q.base.name)).col), q.base.element(), body, scope)
+            runs = rows.collated_by("_k", _fold=fold.col)
+            pairs = F.struct(F.col("_k").alias("_0"), F.col("_fold").alias("_1"))
+            return SeqVal(Base.of(T.addr((kt, True), (fold.type, True)), runs.with_columns(v=pairs)), lambda x: x)
         t = T.addr((kt, True), (start.type, True))
         pair = lambda k, v: F.struct(k.alias("_0"), v.cast(T.to_spark(start.type)).alias("_1"))
 
@@ -651,8 +747,17 @@ class Lowering:
         if q.type.kind != "addr" or len(q.type.args) != 2:
             raise TypeMismatch("collected_by takes pairs")
         (kt, _), (vt, _) = q.type.args
-        a, kind = q.array(), T.to_spark(vt)
+        kind = T.to_spark(vt)
         merge = lambda x, y: self.scalar(body, Scope({"lhs": Val(vt, x), "rhs": Val(vt, y)}, scope)).col.cast(kind)
+        if q.base.frame is not None:
+            v = F.col(q.base.name)
+            rows = q.base.frame.beside(_k=v["_0"], _x=v["_1"])
+            if body[0] == "binary" and body[1] == "+" and {body[2][0], body[3][0]} == {"lhs", "rhs"} and vt.kind in ("int", "real"):
+                folded = rows.collected_by("_k", _x=F.sum("_x"))
+            else:
+                folded = rows.collected_in_order("_k", F.col("_x"), merge, "_x")
+            return Val(T.dict_of(kt, vt), folded.to_dict(F.col("_k"), F.col("_x")).scalar())
+        a = q.array()
         keys = K.make_set(F.transform(a, lambda x: x["_0"]))
 
         def one(k):
@@ -662,10 +767,13 @@ class Lowering:
         return Val(T.dict_of(kt, vt), F.map_from_entries(F.transform(keys, one)))
 
     def _union_map(self, scope, s, body):
-        q = self.sequence(s, scope)
-        t = self.scalar(body, Scope({"that": Val(q.type, F.col("v"))}, scope)).type
+        q = self.sequence(s, scope, self._body(body, scope))
+        of = self.scalar(body, Scope({"that": Val(q.type, F.col(q.base.name))}, scope))
+        t = of.type
         if t.kind != "set":
             raise TypeMismatch("union_map takes sets")
+        if q.base.frame is not None:
+            return Val(t, q.base.frame.beside(_e=of.col).union_map(F.col("_e")).to_set(F.col("v")).scalar())
         return Val(t, K.make_set(F.flatten(F.transform(q.array(), lambda x: self.scalar(body, Scope({"that": Val(q.type, x)}, scope)).col))))
 
     def _sorted_by(self, scope, e, body):
@@ -674,54 +782,69 @@ class Lowering:
         if t.kind != "list":
             raise TypeMismatch(f"{t} can't be sorted")
         less = lambda x, y: self.scalar(body, Scope({"lhs": Val(t.args[0], x), "rhs": Val(t.args[0], y)}, scope)).col
-        return Val(v.type, F.array_sort(v.col, lambda x, y: F.when(less(x, y), -1).when(less(y, x), 1).otherwise(0)))
+        return Val(v.type, self.let(v, lambda c: F.array_sort(c, lambda x, y: F.when(less(x, y), -1).when(less(y, x), 1).otherwise(0))))
 
     # -- store -------------------------------------------------------------
 
     def _members(self, key: Val) -> list[Column]:
-        return [F.lit(c).cast(T.to_spark(m)) if key.const is not _NONE else key.col[f"_{i}"].outer() for i, (c, (m, _)) in enumerate(zip(key.const if key.const is not _NONE else key.type.args, key.type.args, strict=True))]
+        """Values that an index's columns are held against; those of an outer sequence's element are outer references."""
+        known = key.const is not _NONE
+        each = key.members or [Val(m, F.lit(key.const[i]).cast(T.to_spark(m)) if known else key.col[f"_{i}"], key.const[i] if known else _NONE) for i, (m, _) in enumerate(key.type.args)]
+        return [v.col if v.const is not _NONE else v.col.outer() for v in each]
+
+    def _entries(self, key_type: Type, value_type: Type) -> tuple[DataFrame, list[str], str]:
+        """An index under names of its own: of the key's columns and the value's."""
+        n = next(_fresh)
+        ks, v = [f"_k{n}_{i}" for i in range(len(key_type.args))], f"_value{n}"
+        return self.db.index(key_type, bare(value_type)).toDF(*ks, v), ks, v
 
     def _at(self, key: Val, value_type: Type) -> DataFrame:
-        df = self.db.index(key.type, bare(value_type))
-        for i, c in enumerate(self._members(key)):
-            df = df.where(F.col(f"k{i}") == c)
-        return df
+        df, ks, v = self._entries(key.type, value_type)
+        for k, c in zip(ks, self._members(key), strict=True):
+            df = df.where(F.col(k) == c)
+        return df.select(F.col(v).alias("v"))
 
     def _read(self, scope, key, t):
         t = self.type_of(t, scope)
         scanned = self.eval(key, scope)
-        if isinstance(scanned, SeqVal) and getattr(scanned.base, "values", None) is not None and scanned.base.values[0] == bare(t):
+        if isinstance(scanned, SeqVal) and scanned.scan and scanned.base.values[0] == bare(t):
             return SeqVal(scanned.base, lambda e: Val(t, scanned.base.values[1]))  # the scan holds the values
 
         def f(k):
             kind = T.to_spark(t)
             df = self._at(k, t)
-            if t.kind == "opt":
-                return Val(t, df.agg(F.first("v").alias("v")).scalar())
-            missing = F.raise_error(F.lit("no value at key")).cast(kind)
-            return Val(t, df.agg(F.when(F.count("*") == 0, missing).otherwise(F.first("v")).alias("v")).scalar())
+            found = df.select(F.first("v").alias("v")).scalar()  # no stored value is unknown
+            return Val(t, found if t.kind == "opt" else F.coalesce(found, F.raise_error(F.lit("no value at key")).cast(kind)))
 
         return self.lift(f, scanned)
 
     def _exists(self, scope, t, key):
         t = self.type_of(t, scope)
-        return self.lift(lambda k: Val(BOOL, self._at(k, t).agg((F.count("*") > 0).alias("v")).scalar()), self.eval(key, scope))
+        return self.lift(lambda k: Val(BOOL, self._at(k, t).select((F.count(F.lit(1)) > 0).alias("v")).scalar()), self.eval(key, scope))
 
     def _keys(self, scope, t, key):
         t = self.type_of(t, scope)
         if key[0] != "addr":
             raise TypeMismatch("keys takes an address")
-        fixed = [(up, None if e[0] == "free" else self.scalar(e, scope), self.type_of(e[1], scope) if e[0] == "free" else None) for up, e in key[1]]
+        fixed = [(up, None if e[0] == "free" else self.eval(e, scope), self.type_of(e[1], scope) if e[0] == "free" else None) for up, e in key[1]]
+        lifted = [(i, v) for i, (_, v, _) in enumerate(fixed) if isinstance(v, SeqVal)]
+        if len(lifted) > 1:
+            raise UncorrelatedError("one member of a scanned address may be a sequence")
         kt = T.addr(*[(v.type if v else free, up) for up, v, free in fixed])
-        df = self.db.index(kt, t)
-        for i, (_, v, _) in enumerate(fixed):
-            if v is not None:
-                df = df.where(F.col(f"k{i}") == v.col)
-        order = [(f"k{i}", up) for i, (up, _, _) in enumerate(fixed)]
-        df = df.select(F.struct(*[F.col(f"k{i}").alias(f"_{i}") for i in range(len(fixed))]).alias("v"), F.col("v").alias("_value"), *[c for c, _ in order])
-        base = Base(kt, frame=Seq(df, order))
-        base.values = (t, F.col("_value"))
-        return SeqVal(base, lambda x: x)
+        df, ks, value = self._entries(kt, t)
+        order = [(k, up) for k, (up, _, _) in zip(ks, fixed, strict=True)]
+        for i, v in lifted:  # a scan for each element, in their order
+            s = self.framed(v, always=True).settled()
+            each = s.df.select(F.col("v").alias("_each"), *[F.col(c).alias(f"_s{j}") for j, (c, _) in enumerate(s.order)])
+            df = each.join(df, F.col("_each") == F.col(ks[i]))
+            order = [*[(f"_s{j}", up) for j, (_, up) in enumerate(s.order)], *order]
+        df = df.select(F.struct(*[F.col(k).alias(f"_{i}") for i, k in enumerate(ks)]).alias("v"), value, *[c for c, _ in order])
+        base = Base.of(kt, Seq(df, order))
+        base.values = (t, F.col(value))
+        for k, (_, v, _) in zip(ks, fixed, strict=True):
+            if isinstance(v, Val):
+                base.frame = Seq(base.frame.df.where(F.col(k) == (v.col if v.const is not _NONE else v.col.outer())), base.frame.order)
+        return SeqVal(base, lambda x: x, scan=True)
 
     # -- functions ---------------------------------------------------------
 
@@ -910,6 +1033,7 @@ class Program:
         """The plan of an expression: a row for each element of a sequence, in column v, else one row."""
         v, low = self.lower(expr, **args)
         if isinstance(v, SeqVal):
+            v = low.framed(v)
             if v.base.frame is not None:
                 return v.settled().to_frame().select("v")
             return self.spark.range(1).select(F.explode(v.array()).alias("v"))
@@ -917,6 +1041,7 @@ class Program:
 
     def result(self, v: object, low: Lowering) -> object:
         if isinstance(v, SeqVal):
+            v = low.framed(v)
             if v.base.frame is not None:
                 return [r[0] for r in v.settled().to_frame().select("v").collect()]
             v = Val(T.list_of(v.type if v.type != ANY else INT), v.array())

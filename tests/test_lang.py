@@ -57,6 +57,65 @@ def test_inline_tests(spark):
     assert [n for n, ok in results if not ok] == []
 
 
+STORED = """
+amount = ((*<['v', t]>::(int) if *<['v', t]>::(int?) is known else 0)) where { t = given::(int); };
+nb = ((keys (bool) @ <['edge', n, free::(int)]>) reduce start (empty {int}) | {that.2}) where { n = given::(int); };
+scan = *(keys (int) @ <['v', free::(int)]>)::(int);
+pairs = (keys (int) @ <['p', free::(str), free::(int)]>);
+with {
+  <['v', 1]> <- 10; <['v', 3]> <- 30; <['v', 4]> <- -4;
+  <['edge', 1, 2]> <- true; <['edge', 2, 3]> <- true; <['edge', 3, 1]> <- true; <['edge', 1, 4]> <- true;
+  <['p', 'a', 1]> <- 5; <['p', 'a', 2]> <- 6; <['p', 'b', 1]> <- 7;
+  <[0, 1]> <- 1; <[0, 3]> <- 3; <[1, 2]> <- 2; <['l']> <- [3, 1, 2]; <['m']> <- 2;
+  <['name', 5]> <- 'x'; <['w', 10]> <- 100; <['w', 30]> <- 300;
+}
+test {
+  sum_reads: ([0..3] reduce start 0 + amount(.t: that)) == 40;
+  right: ([0..3] reduce amount(.t: that) + start 0) == 40;
+  lookup: (*<['v', **[3, 1, 3]]>::(int) as [int]) == [30, 10, 30];
+  optional: (*<['v', **[3, 2]]>::(int?) is known as [bool]) == [true, false];
+  call: (amount(.t: **[1, 2, 3]) as [int]) == [10, 0, 30];
+  neighbors: nb(.n: 1) == {2, 4};
+  step: (**({1, 2}) union_map nb(.n: that)) == {2, 3, 4};
+  union_scan: (scan union_map {that, that + 1}) == {10, 11, 30, 31, -4, -3};
+  times: (scan reduce start 1 * that) == -1200;
+  cond: (scan reduce (start 0 if that < 0 else that)) == 30;
+  all_of: (scan reduce start true and that > -5);
+  collated: (pairs collated_by start 0 + that.2 having that.1) as [<[str, int]>] == [<['a', 3]>, <['b', 1]>];
+  collated_any: (pairs collated_by start 1 * that.2 having that.1) as [<[str, int]>] == [<['a', 2]>, <['b', 1]>];
+  collected: (<[pairs.1, *pairs::(int)]> collected_by lhs + rhs) == {'a': 11, 'b': 7};
+  collected_any: (<[pairs.1, *pairs::(int)]> collected_by lhs * rhs) == {'a': 30, 'b': 7};
+  keys_lifted: (keys (int) @ <[**[1, 0], free::(int)]> as [<[int, int]>]) == [<[1, 2]>, <[0, 1]>, <[0, 3]>];
+  read_lifted: (*(keys (int) @ <[**[1, 0], free::(int)]>)::(int) as [int]) == [2, 1, 3];
+  stored_list: ((**(*<['l']>::([int])) if that > 1) as [int]) == [3, 2];
+  scaled: ((**[1, 2] * *<['m']>::(int)) as [int]) == [2, 4];
+  filtered: ((**[1, 2, 3] if *<['v', that]>::(int?) is known) as [int]) == [1, 3];
+  prefix: ((**[1, 3, 2, 4] while *<['v', that]>::(int?) is known) as [int]) == [1, 3];
+  through: (*<['w', scan]>::(int?) as [int?]) == [100, 300, unknown int];
+  whole: (scan as {int}) == {10, 30, -4};
+  mapped: ((scan * 2) as [int]) == [20, 60, -8];
+  tuple: (<['a', 3]> as {str: int}) == {'a': 3};
+  there: (exists (int) @ <['v', **[1, 2]]> as [bool]) == [true, false];
+  sorted: ((scan as [int]) sorted_by lhs < rhs) == [-4, 10, 30];
+  cells: (scan reduce start 0 + that) == 36;
+  none: (nb(.n: **[9, 4]) as [{int}]) == [empty {int}, empty {int}];
+  missing: (nb(.n: 4) | {1}) == {1};
+};
+"""
+
+
+def test_sequences_over_the_store(spark):
+    results = Program(spark, STORED).run_tests()
+    assert len(results) == 30 and [n for n, ok in results if not ok] == []
+
+
+def test_required_reads_in_maps(spark):
+    p = Program(spark, "put = (true) effecting { *<['v', 1]>::(int) <- 10; };")
+    assert p.value("put") and p.value("*<['v', **[1, 2]]>::(int?) as [int?]") == [10, None]
+    with pytest.raises(Exception, match="no value at key"):
+        p.value("*<['v', **[1, 2]]>::(int) as [int]")
+
+
 @pytest.mark.parametrize("bad", ["1 +", "[1, 2", "{1: }", "(x if", "'open"])
 def test_syntax(bad):
     with pytest.raises(SyntaxProblem):
