@@ -24,16 +24,31 @@ from keyloom.types import ANY, BOOL, DIFF, INT, PNT, REAL, STR, Type, TypeMismat
 
 _NONE = object()
 _fresh = itertools.count()
+_wanted: list[list[tuple[str, Column]]] = []
+
+
+def _over(s: Seq, f: Callable[[], Val]) -> tuple[Seq, Val]:
+    """f's value over the elements of s, and s beside the columns that it takes: what keys of its reads have read themselves."""
+    _wanted.append([])
+    try:
+        v = f()
+    finally:
+        wanted = _wanted.pop()
+    for name, col in wanted:  # a column that is not deterministic stays where it is: a condition pushed below it would nest the reads
+        s = s.beside(**{name: F.when(F.monotonically_increasing_id() >= 0, col)})
+    return s, v
 
 
 @dataclass
 class Val:
-    """A scalar: its type, its Column, its Python value if that is known already, and an address's members."""
+    """A scalar: its type, its Column, its Python value if that is known already, an address's members, and for a read that must
+    find its key a Column that is unknown where it doesn't."""
 
     type: Type
     col: Column
     const: object = _NONE
     members: tuple[Val, ...] = ()
+    soft: Column | None = None
 
 
 @dataclass(eq=False)
@@ -87,10 +102,9 @@ class SeqVal:
 
     def settled(self, name: str = "v") -> Seq:
         """The mapped elements in one column of an ordered DataFrame."""
-        v = self.map(self.base.element()).col
-        s = self.base.frame
+        s, v = _over(self.base.frame, lambda: self.map(self.base.element()))
         hidden = [(f"_o{k}", up) for k, (_, up) in enumerate(s.order)]
-        return Seq(s.df.select(v.alias(name), *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)]), hidden, s.source)
+        return Seq(s.df.select(v.col.alias(name), *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)]), hidden, s.source)
 
 
 @dataclass
@@ -632,15 +646,15 @@ class Lowering:
     def _filter(self, scope, s, pred):
         q = self.sequence(s, scope, lambda v: Val(BOOL, self._pred(pred, scope, v)))
         if q.base.frame is not None:
-            f = q.base.frame.beside(_ok=self._pred(pred, scope, q.base.element()))
-            return q.over(f.filter(F.col("_ok")))
+            f, ok = _over(q.base.frame, lambda: Val(BOOL, self._pred(pred, scope, q.base.element())))
+            return q.over(f.beside(_ok=ok.col).filter(F.col("_ok")))
         return SeqVal(Base(q.type, F.filter(q.array(), lambda x: self._pred(pred, scope, Val(q.type, x)))), lambda x: x)
 
     def _while(self, scope, s, pred):
         q = self.sequence(s, scope, lambda v: Val(BOOL, self._pred(pred, scope, v)))
         if q.base.frame is not None:
-            f = q.base.frame.beside(_ok=self._pred(pred, scope, q.base.element()))
-            return q.over(f.take_while(F.col("_ok")))
+            f, ok = _over(q.base.frame, lambda: Val(BOOL, self._pred(pred, scope, q.base.element())))
+            return q.over(f.beside(_ok=ok.col).take_while(F.col("_ok")))
         a = q.array()
         bad = F.array_position(F.transform(a, lambda x: ~self._pred(pred, scope, Val(q.type, x))), F.lit(True))
         return SeqVal(Base(q.type, F.when(bad == 0, a).otherwise(F.slice(a, 1, (bad - 1).cast("int")))), lambda x: x)
@@ -698,7 +712,7 @@ class Lowering:
         sides = (body[2], body[3]) if body[0] == "binary" else ()
         own = [k for k, x in enumerate(sides) if x[0] == "start" and not self._starts(x[1])]
         if len(own) == 1 and body[1] in ("+", "|", "and", "or") and not self._starts(sides[1 - own[0]]):
-            g = self.scalar(sides[1 - own[0]], Scope({"that": e}, scope))
+            s, g = _over(s, lambda: self.scalar(sides[1 - own[0]], Scope({"that": e}, scope)))
             x, kind, total = F.col("_g"), g.type.kind, None
             if body[1] == "+" and kind in ("int", "real"):
                 total = F.coalesce(F.sum(x), F.lit(0)).cast(T.to_spark(g.type))
@@ -726,7 +740,8 @@ class Lowering:
         key = lambda x: self.scalar(having, Scope({"that": Val(q.type, x)}, scope))
         kt = key(F.col("v")).type
         if q.base.frame is not None:
-            rows, fold = self._folding(q.base.frame.beside(_k=key(F.col(q.base.name)).col), q.base.element(), body, scope)
+            rows, k = _over(q.base.frame, lambda: key(F.col(q.base.name)))
+            rows, fold = self._folding(rows.beside(_k=k.col), q.base.element(), body, scope)
             runs = rows.collated_by("_k", _fold=fold.col)
             pairs = F.struct(F.col("_k").alias("_0"), F.col("_fold").alias("_1"))
             return SeqVal(Base.of(T.addr((kt, True), (fold.type, True)), runs.with_columns(v=pairs)), lambda x: x)
@@ -768,12 +783,12 @@ class Lowering:
 
     def _union_map(self, scope, s, body):
         q = self.sequence(s, scope, self._body(body, scope))
-        of = self.scalar(body, Scope({"that": Val(q.type, F.col(q.base.name))}, scope))
+        rows, of = _over(q.base.frame, lambda: self.scalar(body, Scope({"that": Val(q.type, F.col(q.base.name))}, scope)))
         t = of.type
         if t.kind != "set":
             raise TypeMismatch("union_map takes sets")
         if q.base.frame is not None:
-            return Val(t, q.base.frame.beside(_e=of.col).union_map(F.col("_e")).to_set(F.col("v")).scalar())
+            return Val(t, rows.beside(_e=of.col).union_map(F.col("_e")).to_set(F.col("v")).scalar())
         return Val(t, K.make_set(F.flatten(F.transform(q.array(), lambda x: self.scalar(body, Scope({"that": Val(q.type, x)}, scope)).col))))
 
     def _sorted_by(self, scope, e, body):
@@ -786,11 +801,22 @@ class Lowering:
 
     # -- store -------------------------------------------------------------
 
-    def _members(self, key: Val) -> list[Column]:
-        """Values that an index's columns are held against; those of an outer sequence's element are outer references."""
+    def _outer(self, v: Val, gone: list[Column]) -> Column:
+        """v as an index's column is held against it. An outer sequence's element is an outer reference; what was read for it
+        comes in a column of its own first, and gone has the condition that the read found nothing."""
+        if v.const is not _NONE:
+            return v.col
+        if not _wanted or not self.reads(v):
+            return v.col.outer()
+        name = f"_read{next(_fresh)}"
+        _wanted[-1].append((name, v.col if v.soft is None else v.soft))
+        if v.soft is not None:
+            gone.append(F.col(name).isNull())
+        return F.col(name).outer()
+
+    def _members(self, key: Val) -> list[Val]:
         known = key.const is not _NONE
-        each = key.members or [Val(m, F.lit(key.const[i]).cast(T.to_spark(m)) if known else key.col[f"_{i}"], key.const[i] if known else _NONE) for i, (m, _) in enumerate(key.type.args)]
-        return [v.col if v.const is not _NONE else v.col.outer() for v in each]
+        return list(key.members) or [Val(m, F.lit(key.const[i]).cast(T.to_spark(m)) if known else key.col[f"_{i}"], key.const[i] if known else _NONE) for i, (m, _) in enumerate(key.type.args)]
 
     def _entries(self, key_type: Type, value_type: Type) -> tuple[DataFrame, list[str], str]:
         """An index under names of its own: of the key's columns and the value's."""
@@ -798,11 +824,16 @@ class Lowering:
         ks, v = [f"_k{n}_{i}" for i in range(len(key_type.args))], f"_value{n}"
         return self.db.index(key_type, bare(value_type)).toDF(*ks, v), ks, v
 
-    def _at(self, key: Val, value_type: Type) -> DataFrame:
+    def _at(self, key: Val, value_type: Type, of: Callable[[Column], Column]) -> Column:
+        """An aggregate of the values at a key; it raises if a read that the key takes has found nothing."""
         df, ks, v = self._entries(key.type, value_type)
-        for k, c in zip(ks, self._members(key), strict=True):
-            df = df.where(F.col(k) == c)
-        return df.select(F.col(v).alias("v"))
+        gone: list[Column] = []
+        for k, m in zip(ks, self._members(key), strict=True):
+            df = df.where(F.col(k) == self._outer(m, gone))
+        found = df.select(of(F.col(v)).alias("v")).scalar()
+        for missing in gone:
+            found = F.when(missing, F.raise_error(F.lit("no value at key"))).otherwise(found)
+        return found
 
     def _read(self, scope, key, t):
         t = self.type_of(t, scope)
@@ -812,15 +843,14 @@ class Lowering:
 
         def f(k):
             kind = T.to_spark(t)
-            df = self._at(k, t)
-            found = df.select(F.first("v").alias("v")).scalar()  # no stored value is unknown
-            return Val(t, found if t.kind == "opt" else F.coalesce(found, F.raise_error(F.lit("no value at key")).cast(kind)))
+            found = self._at(k, t, F.first)  # no stored value is unknown
+            return Val(t, found) if t.kind == "opt" else Val(t, F.coalesce(found, F.raise_error(F.lit("no value at key")).cast(kind)), soft=found)
 
         return self.lift(f, scanned)
 
     def _exists(self, scope, t, key):
         t = self.type_of(t, scope)
-        return self.lift(lambda k: Val(BOOL, self._at(k, t).select((F.count(F.lit(1)) > 0).alias("v")).scalar()), self.eval(key, scope))
+        return self.lift(lambda k: Val(BOOL, self._at(k, t, lambda v: F.count(F.lit(1)) > 0)), self.eval(key, scope))
 
     def _keys(self, scope, t, key):
         t = self.type_of(t, scope)
@@ -843,7 +873,7 @@ class Lowering:
         base.values = (t, F.col(value))
         for k, (_, v, _) in zip(ks, fixed, strict=True):
             if isinstance(v, Val):
-                base.frame = Seq(base.frame.df.where(F.col(k) == (v.col if v.const is not _NONE else v.col.outer())), base.frame.order)
+                base.frame = Seq(base.frame.df.where(F.col(k) == self._outer(v, [])), base.frame.order)
         return SeqVal(base, lambda x: x, scan=True)
 
     # -- functions ---------------------------------------------------------

@@ -12,9 +12,11 @@ from keyloom import functions as K
 from keyloom.operators import graph, lookup
 from keyloom.operators.catalog import Catalog
 from keyloom.operators.seq import Seq
+from keyloom.plans.lang import Database, Program
 from keyloom.sources.json_out import to_json
 from keyloom.streaming import mutlog
 from keyloom.streaming.pov import GLOBAL, Store
+from keyloom.types import BOOL, INT, STR, addr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,3 +610,52 @@ def hourly_views(spark: SparkSession, d: str) -> DataFrame:
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "region").select("r_regionkey", F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).alias("json"))
     return to_json(records, "json")
+
+
+# -- programs of the language over stored tables ------------------------------
+
+PROGRAM = """
+customers = keys (int) @ <['nation', free::(int)]>;
+lines = keys (int) @ <[free::(int), free::(int)]>;
+visits = keys (str) @ <[free::(int), free::(int)]>;
+region_of = (*<['region', *<['nation', c]>::(int)]>::(int)) where { c = given::(int); };
+nation_or = ((*<['nation', c]>::(int) if *<['nation', c]>::(int?) is known else -1)) where { c = given::(int); };
+bought = ((keys (bool) @ <['order', c, free::(int)]>) reduce start (empty {int}) | {that.2}) where { c = given::(int); };
+"""
+
+
+def program(spark: SparkSession, d: str) -> Program:
+    """Tables as indexes: each key type and value type has one, in which a name in front tells kinds of entries apart."""
+    db = Database(spark)
+    entry = lambda name, t, k, v: table(spark, d, t).select(F.lit(name).alias("k0"), F.col(k).cast("long").alias("k1"), F.col(v).cast("long").alias("v"))
+    db.attach(addr((STR, True), (INT, True)), INT, entry("nation", "customer", "c_custkey", "c_nationkey").union(entry("region", "nation", "n_nationkey", "n_regionkey")))
+    db.attach(addr((STR, True), (INT, True), (INT, True)), BOOL, table(spark, d, "orders").select(F.lit("order").alias("k0"), F.col("o_custkey").cast("long").alias("k1"), F.col("o_orderkey").cast("long").alias("k2"), F.lit(True).alias("v")))
+    db.attach(addr((INT, True), (INT, True)), INT, table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("k0"), F.col("l_linenumber").cast("long").alias("k1")).agg(F.max("l_quantity").cast("long").alias("v")))
+    db.attach(addr((INT, True), (INT, True)), STR, table(spark, d, "events").select(F.col("user_id").cast("long").alias("k0"), F.col("event_id").cast("long").alias("k1"), F.col("event_type").alias("v")))
+    return Program(spark, PROGRAM, db)
+
+
+def lang(name: str, expr: str, sql: str, *columns: str) -> None:
+    """Registers an expression over program(): of each element the members by these names, or all of it by one."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = program(spark, d).frame(expr)
+        return out.select(*[F.col(f"v._{k}").alias(c) for k, c in enumerate(columns)]) if len(columns) > 1 else out.withColumnRenamed("v", columns[0])
+
+    query(name, sql)(run)
+
+
+LINES = "(SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)"
+lang("lang_read_in_map", "<[customers.1, region_of(.c: customers.1)]>", "SELECT c_custkey AS custkey, n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey", "custkey", "region")
+lang("lang_read_in_fold", "customers reduce start 0 + region_of(.c: that.1)", "SELECT CAST(sum(n_regionkey) AS BIGINT) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey", "total")
+lang("lang_read_guarded", "<[customers.1, nation_or(.c: customers.1 * 2)]>", "SELECT c.c_custkey AS custkey, coalesce(x.c_nationkey, -1) AS nation FROM customer c LEFT JOIN customer x ON x.c_custkey = c.c_custkey * 2", "custkey", "nation")
+lang("lang_read_in_filter", "((customers if region_of(.c: that.1) == 2).1)", "SELECT c_custkey AS custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2", "custkey")
+lang("lang_exists_in_map", "<[customers.1, exists (int) @ <['nation', customers.1 + 1]>]>", "SELECT c_custkey AS custkey, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS found FROM customer", "custkey", "found")
+lang("lang_range_reads", "[0..24] reduce start 0 + *<['region', that]>::(int)", "SELECT CAST(sum(n_regionkey) AS BIGINT) AS total FROM nation", "total")
+lang("lang_collated", "visits collated_by start 0 + 1 having that.0", "SELECT user_id, count(*) AS n FROM events GROUP BY 1", "user_id", "n")
+lang("lang_collected", "**(<[*lines::(int), 1]> collected_by lhs + rhs)", f"SELECT q AS quantity, count(*) AS n FROM {LINES} GROUP BY 1", "quantity", "n")
+lang("lang_union_map", "**(lines union_map {*<[that.0, that.1]>::(int), -1})", f"SELECT DISTINCT q FROM {LINES} UNION SELECT -1", "q")
+lang("lang_frontier", "**(customers union_map bought(.c: that.1))", "SELECT DISTINCT o_orderkey AS orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)", "orderkey")
+lang("lang_scan_of_each", "keys (int) @ <[(keys (bool) @ <['order', free::(int), free::(int)]>).2, free::(int)]>", f"SELECT l_orderkey AS orderkey, l_linenumber AS line FROM {LINES} JOIN orders ON o_orderkey = l_orderkey", "orderkey", "line")
+lang("lang_all_of", "lines reduce start true and *<[that.0, that.1]>::(int) > 0", f"SELECT bool_and(q > 0) AS ok FROM {LINES}", "ok")
+lang("lang_while", "((customers while region_of(.c: that.1) < 4).1)", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey < coalesce((SELECT min(c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey >= 4), 9223372036854775807)", "custkey")

@@ -114,6 +114,13 @@ def test_required_reads_in_maps(spark):
     assert p.value("put") and p.value("*<['v', **[1, 2]]>::(int?) as [int?]") == [10, None]
     with pytest.raises(Exception, match="no value at key"):
         p.value("*<['v', **[1, 2]]>::(int) as [int]")
+    chain = "*<['v', *<['v', *<['v', **[{}]]>::(int)]>::(int)]>::(int?) as [int?]"
+    p = Program(spark, "put = (true) effecting { *<['v', 1]>::(int) <- 10; *<['v', 10]>::(int) <- 11; *<['v', 11]>::(int) <- 12; *<['v', 2]>::(int) <- 3; };")
+    assert p.value("put") and p.value(chain.format("1")) == [12]
+    with pytest.raises(Exception, match="no value at key"):
+        p.value(chain.format("1, 2"))
+    guarded = "(*<['v', *<['v', n]>::(int)]>::(int) if *<['v', n]>::(int?) is known else 0) where { n = given::(int); }"
+    assert Program(spark, f"f = {guarded};", p.db).value("f(.n: **[1, 5]) as [int]") == [11, 0]
 
 
 @pytest.mark.parametrize("bad", ["1 +", "[1, 2", "{1: }", "(x if", "'open"])
