@@ -199,6 +199,82 @@ def test_quality_bands_reject_junk(spark):
     assert all(got[k] for k, _, _ in clean) and not any(got[k] for k, _, _ in junk)
 
 
+def units_by_hand(t):
+    """Lower-case code points, white space folded; those from DIRECT on are pairs."""
+    out, last = [], " "  # the text follows spaces
+    for c in t + " ":
+        c = " " if c in " \t\n\v\f\r" else c.lower() if len(c.lower()) == 1 else c
+        if c != " " or last != " ":
+            out += [ord(c)] if ord(c) < quality.DIRECT else [("lead", (ord(c) - quality.DIRECT) // quality.SIDE), ("trail", (ord(c) - quality.DIRECT) % quality.SIDE)]
+        last = c
+    return [ord(" ")] * (quality.ORDER - 1) + out
+
+
+@pytest.mark.parametrize("part_grams", [1 << 21, 60])
+def test_perplexity_of_characters_by_hand(spark, monkeypatch, part_grams):
+    """Characters whose code points agree modulo 32, of one place, two and three bytes and pairs of units; models in one part and in several; models that a worker can't hold."""
+    import random
+
+    monkeypatch.setattr(quality, "PART_GRAMS", part_grams)
+    monkeypatch.setitem(globals(), "classes_by_hand", units_by_hand)
+    r = random.Random(9)
+    alphabet = {"zh": "\u4e00\u4e20\u4e40\u4e60\u9fa0 \uff0c", "mixed": "aA?!;,#$%09\u00c9\u00e9\u0391\u03b1\u0130 \n", "ko": "\ud7a3\ud783 \U0001f600\U0001f620\U0010ffff"}
+    rows = [(k, "".join(r.choice(alphabet[lang]) for _ in range(r.randrange(30, 300))), lang) for k, lang in enumerate(["zh", "mixed", "ko"] * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    half = {x.doc_id: x.h & 1 for x in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = by_id(quality.score_quality(df))
+    for k, t, lang in rows:
+        p, s = kneser_ney_by_hand([u for j, u, x in rows if x == lang and half[j] != half[k]]), units_by_hand(t)
+        bits = [-math.log2(p(tuple(s[j : j + quality.ORDER]))) for j in range(len(s) - quality.ORDER + 1)]
+        assert math.isclose(got[k].log2_perplexity, sum(bits) / len(bits), rel_tol=1e-9)
+
+
+def test_units_lose_no_character():
+    """Each code point alone, but for case and white space, has units of its own."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cls, bounds = quality.units(pa.array(chars))
+    assert int(cls.max()) < quality.CLASSES and quality.CLASSES**quality.ORDER < 1 << 63
+    seen = {}
+    for c, a, b in zip(chars, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        seen.setdefault(cls[a:b].tobytes(), set()).add(" " if c in " \t\n\v\f\r" else c.lower() if len(c.lower()) == 1 else c)
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_models_are_held_in_few_bytes(tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    cls = rng.integers(33, 300, 4000).astype(np.uint16)
+    code = np.concatenate([c for c, _ in quality.grams(cls, np.array([0, len(cls)]))])
+    u, n = np.unique(code, return_counts=True)
+    want = quality.KneserNey(u, n).log2(code)
+    levels = {4: (u, n)}
+    for k in (3, 2):
+        levels[k] = np.unique(levels[k + 1][0] % quality.CLASSES**k, return_counts=True)
+    of_counts = np.array([[(levels[k][1] == m).sum() for m in range(1, 5)] for k in (4, 3)], float)
+    where, many = f"file://{tmp_path}", 7
+    quality.save_model(where, "=x", 0, quality.KneserNey(*levels[2], 2, None, of_counts, many))
+    part = quality.parts_of(u, many)
+    for k in range(many):
+        whole = quality.load_model(where, "=x", 0)
+        quality.save_model(where, "=x", 0, quality.KneserNey(u[part == k], n[part == k], 4, whole, of_counts), k)
+    quality._models.clear()
+    monkeypatch.setattr(quality, "HELD_BYTES", 1)
+    assert np.allclose(quality.log2_by(where, "=x", 0, code), want, rtol=1e-12) and len(quality._models) == 1
+    assert len(set(part.tolist())) == many and quality.log2_by(where, "=x", 1, code) is None
+
+
+def test_quality_bands_reject_junk_of_like_code_points(spark):
+    """Junk in which each Han character is replaced by one whose code point is some times 32 further."""
+    import random
+
+    r = random.Random(6)
+    good = ["".join(chr(0x4E00 + r.randrange(32)) for _ in range(r.randrange(1, 4))) for _ in range(80)]
+    text = lambda: " ".join(r.choice(good) for _ in range(150))
+    clean = [(k, text(), "zh") for k in range(60)]
+    junk = [(100 + k, "".join(c if c == " " else chr(ord(c) + 32 * (k + 1)) for c in text()), "zh") for k in range(3)]
+    got = {x["doc_id"]: x["kept"] for x in quality.score_quality(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k] for k, _, _ in clean) and not any(got[k] for k, _, _ in junk)
+
+
 # -- 2 -----------------------------------------------------------------------
 
 
