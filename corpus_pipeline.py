@@ -31,8 +31,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the bytes that an earlier text, or an earlier place of the text, has within 100 bytes; a character of which a
     byte goes, goes; texts of which nothing but white space stays go. Rows that agree in identifier and text keep what the first of
     them keeps."""
-    cut = suffix.drop_repeats(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("text_hash").alias("_h"), "n_bytes", "kept")
-    cut = cut.groupBy("_k", "_h").agg(F.max_by("kept", F.octet_length("kept")).alias("kept"), F.max("n_bytes").alias("n_bytes")).where(F.octet_length("kept") < F.col("n_bytes"))
+    cut = suffix.drop_repeats(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("text_hash").alias("_h"), F.octet_length("kept").alias("_n"), F.when(F.octet_length("kept") < F.col("n_bytes"), F.col("kept")).alias("kept"))
+    cut = cut.groupBy("_k", "_h").agg(F.max_by("kept", "_n").alias("kept")).where("kept is not null")  # whole texts are null here and not shuffled
     rest = _keyed(docs).join(cut.select("_k", "_h", "kept").mapInArrow(_decode, "_k long, _h long, _kept string"), ["_k", "_h"], "left")
     n = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long")
     rest = rest.withColumns({"n_chars": n, "text": F.coalesce("_kept", "text")})
