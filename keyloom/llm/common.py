@@ -1,4 +1,4 @@
-"""What the operators share: shared scratch tables, word batches, text packs and token caches."""
+"""What the operators share: shared scratch tables, word batches, text packs and tokens."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ MASK = (1 << 64) - 1
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Documents handled at once in a Python worker; bounds its memory together with SLAB_BYTES.
 SLAB_ROWS, SLAB_BYTES = 4000, 6 << 20
-#: For token caches, which gain from large slabs.
+#: For tokens, which gain from large slabs: a string is encoded once in each.
 TOKEN_ROWS, TOKEN_BYTES = 10_000, 8 << 20
 
 
@@ -65,10 +65,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy() -> None:
-    """Gives memory that a task has freed back to the system, and drops the token caches: a worker that lives on holds little."""
-    for e in _encoders.values():
-        e.cache.clear()
-        e.parts.clear()
+    """Gives memory that a task has freed back to the system: a worker that lives on holds little."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -282,31 +279,43 @@ END = 2
 #: Byte-level BPE names a byte by a printable character: itself where it is one, else the next from U+0100.
 _OTHER = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_LEVEL = {b: 0x100 + k for k, b in enumerate(_OTHER)}
+_POINTS = np.array([BYTE_LEVEL.get(b, b) if b != 0x20 else b for b in range(256)], "<u4")  # for strings that blanks separate
 
 
 class Encoder:
-    """Encodes texts as Tokenizer.encode(text, add_special_tokens=False) does, by way of a cache of white-space-separated strings.
+    """Encodes texts as Tokenizer.encode(text, add_special_tokens=False) does, each distinct white-space-separated string of them once.
 
-    Exact where the tokenizer's normalizer and pre-tokenizer never look across white space, which ``local`` checks on the
-    tokenizer's own description; another tokenizer encodes whole texts.
+    Exact where the tokenizer's normalizer and pre-tokenizer never look across white space and the last token of a run of letters
+    can be told, which ``local`` checks on the tokenizer's own description; another tokenizer encodes whole texts.
     """
 
-    LIMIT, PARTS = 120_000, 100_000
+    #: Strings that one call encodes: few calls, and little memory held by the tokenizer's own results.
+    JOINED = 1000
+    #: Letters up to U+00FF and at most a mark after them; normalization only lowers them, splitting only parts the mark.
+    PLAIN, MARKS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[.,;:!?]?$", ".,;:!?"
 
     def __init__(self, path: str) -> None:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.local = self._local(json.loads(self.tokenizer.to_str()))
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        d = json.loads(self.tokenizer.to_str())
+        self.local = self._local(d)
+        if self.local:
+            vocab, end = d["model"]["vocab"], d["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(end)]] = True
+            self.marks = np.zeros(128, np.uint32)
+            self.marks[[ord(c) for c in self.MARKS]] = [vocab[c + end] for c in self.MARKS]
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = CharDelimiterSplit(" ")
 
     @staticmethod
     def _local(d: dict) -> bool:
-        """NFC, folded white space and lower case; white space removed before a byte-level BPE."""
+        """NFC, folded white space and lower case; white space removed before a byte-level BPE that knows all bytes and marks a word's last token."""
         norm = d.get("normalizer") or {}
         kinds = [x["type"] for x in norm.get("normalizers", [norm] if norm else [])]
         pre = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -318,50 +327,64 @@ class Encoder:
             and "^\\s" in pre[0]["pattern"].get("Regex", "")
             and not pre[1]["add_prefix_space"]
             and d["model"]["type"] == "BPE"
+            and "<" in (d["model"].get("end_of_word_suffix") or "")  # no letter's token holds it but the last
+            and all(c + e in d["model"]["vocab"] for c in (chr(BYTE_LEVEL.get(b, b)) for b in range(256)) for e in ("", d["model"]["end_of_word_suffix"]))
             and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in d["added_tokens"])
         )
 
-    def _plain(self, w: str) -> bytes:
-        """Ids of one run of lower-case letters up to U+00FF, which normalization and splitting leave as it is."""
-        ids = self.parts.get(w)
-        if ids is None:
-            if len(self.parts) >= self.PARTS:
-                self.parts.clear()
-            ids = self.parts[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LEVEL))], np.uint32).tobytes()
-        return ids
-
-    def _ids(self, w: str) -> bytes:
-        if max(w) < "\u0100":
-            low = w.lower()
-            if low.isalpha():
-                return self._plain(low)
-            if low[:-1].isalpha() and low[-1] in ".,;:!?":
-                return self._plain(low[:-1]) + self._plain(low[-1])
-        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of runs of lower-case letters up to U+00FF, which normalization and splitting leave as they are."""
+        got = [np.zeros(0, np.uint32)]
+        at = pa.array(np.append(np.arange(0, len(runs), self.JOINED, np.int32), np.int32(len(runs))))
+        for joined in pc.binary_join(pa.ListArray.from_arrays(at, runs), " ").cast(pa.binary()):
+            points = _POINTS[np.frombuffer(joined.as_py(), np.uint8)].tobytes().decode("utf-32-le")
+            got += [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast([points], add_special_tokens=False)]
+        ids = np.concatenate(got)
+        sizes = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+        if len(sizes) != len(runs):
+            raise ValueError("the tokenizer's last tokens don't tell runs of letters apart")
+        return sizes, ids
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.zeros(0, np.uint32)]
+        for k in range(0, len(words), self.JOINED):
+            rows += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words[k : k + self.JOINED], add_special_tokens=False)]
+        return np.fromiter(map(len, rows[1:]), np.int64, len(words)), np.concatenate(rows)
+
+    def _strings(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, sizes, ids): the ids of string i are ids[starts[i]:starts[i] + sizes[i]]."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        low = pc.utf8_lower(words.filter(plain))
+        runs = pc.utf8_rtrim(low, self.MARKS)
+        marked = pc.not_equal(pc.binary_length(low), pc.binary_length(runs)).to_numpy(zero_copy_only=False)
+        kinds = runs.dictionary_encode()
+        n, ids = self._runs(kinds.dictionary)
+        kind = kinds.indices.to_numpy(zero_copy_only=False)
+        own = n[kind]
+        mark = np.frombuffer("".join(pc.utf8_slice_codeunits(low.filter(pa.array(marked)), -1).to_pylist()).encode(), np.uint8)
+        ids = np.insert(ids[ranges((np.cumsum(n) - n)[kind], own)], np.cumsum(own)[marked], self.marks[mark])
+        m, more = self._others(words.filter(pc.invert(plain)).to_pylist())
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        n = np.concatenate([own + marked, m])
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[order], sizes[order] = np.cumsum(n) - n, n
+        return starts, sizes, np.concatenate([ids, more])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i, with the end id after them, are ids[offsets[i]:offsets[i + 1]]."""
         if not self.local:
             rows = [np.array(e.ids + [END], np.uint32) for e in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
             return np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64), np.concatenate([*rows, np.zeros(0, np.uint32)])
-        words = Words(texts)
-        got, cache = [], self.cache
-        often = np.bincount(words.codes, minlength=len(words.words)) > 1  # most strings come once, and seldom again
-        for w, keep in zip(words.words, often.tolist(), strict=True):
-            ids = cache.get(w)
-            if ids is None:
-                ids = self._ids(w.decode()) if w else b""
-                if keep:
-                    if len(cache) >= self.LIMIT:
-                        cache.clear()
-                    cache[w] = ids
-            got.append(ids)
-        got.append(np.array([END], np.uint32).tobytes())
-        sizes = np.fromiter(map(len, got), np.int32, len(got)) // 4
-        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        codes = np.insert(words.codes.astype(np.int32), words.offsets[1:], len(got) - 1)  # the end id after each text
-        bounds = words.offsets + np.arange(len(words.offsets))
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()  # white space at either end makes empty strings, which have no ids
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        starts, sizes, flat = self._strings(coded.dictionary)
+        flat = np.append(flat, np.uint32(END))
+        starts, sizes = np.append(starts, len(flat) - 1).astype(np.int32), np.append(sizes, 1).astype(np.int32)
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), at[1:], len(starts) - 1)  # the end id after each text
+        bounds = at + np.arange(len(at))
         n = sizes[codes]
         ends = np.cumsum(n, dtype=np.int64)
         shift = (starts[codes] - (ends - n)).astype(np.int32)
@@ -373,7 +396,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, so its cache outlives a task."""
+    """One for each Python worker, as reading a tokenizer takes a while."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -56,6 +56,29 @@ def test_token_cache_is_exact(tokenizer, texts):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == [*code.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_tokens_take_few_calls(tokenizer):
+    class Counted:
+        calls = 0
+
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            Counted.calls += 1
+            return getattr(self.of, name)
+
+    code = common.Encoder(tokenizer)
+    whole, letters = code.tokenizer, "abcdefghijklmnopqrstuvwxyzéß"
+    words = ["".join(w) + mark for w in itertools.product(letters, "aeiou", "lnrst", "aé") for mark in ("", ".", "$$$")]
+    for name in ("tokenizer", "plain"):
+        if hasattr(code, name):
+            setattr(code, name, Counted(getattr(code, name)))
+    offsets, ids = code.encode(pa.array([" ".join(words), None, " " + words[7].upper() + "\t"]))
+    assert Counted.calls < len(words) / 50
+    for k, t in enumerate([" ".join(words), "", words[7]]):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("aB \t\n\x0b\x1c\x85é")), max_size=12)), min_size=1, max_size=5))
 def test_words(texts):
