@@ -101,6 +101,13 @@ def tidied(f: Callable) -> Callable:
     return lambda key, a, b: after(key, a, b)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets executors collect their garbage and so give heap and buffers back that earlier steps have left: else a heap stays as
+    large as the largest step made it, beside the workers of a step that needs its memory in Python."""
+    n = spark.sparkContext.defaultParallelism  # idle executors get as many tasks as they have cores
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

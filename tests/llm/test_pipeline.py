@@ -26,3 +26,13 @@ def test_stages(spark, docs, fixture_rows):
 def test_small_tables(spark, tmp_path, empty):
     empty.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_begin_with_freed_memory(spark, docs):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    plain = docs.select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, plain, "")
+        assert full() > before, name
