@@ -124,6 +124,19 @@ def test_parent_chain_of_a_cycle(spark):
         lookup.parent_chain(spark.createDataFrame(rows, "child long, parent long"))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_members_is_dealt_by_bytes(spark):
+    """The pairs of a partition were counted in the join's own task, however many they were."""
+    rows = [(s, p) for p in range(40) for s in range(p % 7 + 1)] * 2 + [(None, 1), (3, None)]
+    got = lookup.common_members(spark.createDataFrame(rows, "s int, p int"), "s", "p")
+    assert "Join" not in plan(got) and "REBALANCE_PARTITIONS_BY_COL" in plan(got)
+    own = {s: {p for t, p in rows if t == s and p is not None} for s in range(7)}
+    assert {(r["a"], r["b"]): r["n_common"] for r in got.collect()} == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
+
+
 def test_as_of_and_missing(spark):
     with pytest.raises(Exception, match="no value at key"):
         lookup.lookup(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], ["v"]).collect()
