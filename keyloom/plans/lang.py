@@ -42,25 +42,29 @@ def _over(s: Seq, f: Callable[[], Val]) -> tuple[Seq, Val]:
 @dataclass
 class Val:
     """A scalar: its type, its Column, its Python value if that is known already, an address's members, and for a read that must
-    find its key a Column that is unknown where it doesn't."""
+    find its key a Column that is unknown where it doesn't. Of a scanned key held has its type, its value's type and its value's
+    Column; part is what such a key's member has of it: the key's held, and the member's place."""
 
     type: Type
     col: Column
     const: object = _NONE
     members: tuple[Val, ...] = ()
     soft: Column | None = None
+    held: tuple | None = None
+    part: tuple | None = None
 
 
 @dataclass(eq=False)
 class Base:
     """Where a sequence's elements come from: an array column, or a Seq whose elements are in column name. That is a name of its
     own, so that no inner sequence's elements are taken for them. A Seq that stands in a read of an outer element can't be
-    analyzed by itself; where and select alone leave it as it is."""
+    analyzed by itself; where and select alone leave it as it is. Where the elements are scanned keys, held is as a Val's."""
 
     type: Type
     array: Column | None = None
     frame: Seq | None = None
     name: str = field(default_factory=lambda: f"_v{next(_fresh)}")
+    held: tuple | None = None
 
     @staticmethod
     def of(t: Type, s: Seq) -> Base:
@@ -69,7 +73,7 @@ class Base:
         return Base(t, None, Seq(s.df.withColumnRenamed("v", name), [(name if c == "v" else c, up) for c, up in s.order], s.source), name)
 
     def element(self) -> Val:
-        return Val(self.type, F.col(self.name))
+        return Val(self.type, F.col(self.name), held=self.held)
 
 
 @dataclass(eq=False)
@@ -79,7 +83,6 @@ class SeqVal:
     base: Base
     map: Callable[[Val], Val]
     endless: tuple[int, int] | None = None
-    scan: bool = False
 
     @property
     def type(self) -> Type:
@@ -98,13 +101,20 @@ class SeqVal:
 
     def over(self, frame: Seq) -> SeqVal:
         """Of a sequence without a map, the elements that frame has left."""
-        return SeqVal(Base(self.type, frame=frame, name=self.base.name), lambda x: x)
+        return SeqVal(Base(self.type, frame=frame, name=self.base.name, held=self.base.held), lambda x: x)
 
     def settled(self, name: str = "v") -> Seq:
         """The mapped elements in one column of an ordered DataFrame."""
+        return self.anew(name).frame
+
+    def anew(self, name: str) -> Base:
+        """The mapped elements as a base of their own."""
         s, v = _over(self.base.frame, lambda: self.map(self.base.element()))
         hidden = [(f"_o{k}", up) for k, (_, up) in enumerate(s.order)]
-        return Seq(s.df.select(v.col.alias(name), *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)]), hidden, s.source)
+        kept = [] if v.held is None else [v.held[-1].alias(f"{name}_held")]
+        held = None if v.held is None else (*v.held[:-1], F.col(f"{name}_held"))
+        df = s.df.select(v.col.alias(name), *kept, *[F.col(c).alias(h) for (c, _), (h, _) in zip(s.order, hidden, strict=True)])
+        return Base(v.type, None, Seq(df, hidden, s.source), name, held)
 
 
 @dataclass
@@ -248,8 +258,7 @@ class Lowering:
         v = self.eval(node, scope)
         if isinstance(v, SeqVal):
             q = self.framed(v, *bodies)
-            name = f"_v{next(_fresh)}"
-            return q if q.base.frame is None else SeqVal(Base(q.type, None, q.settled(name), name), lambda x: x)
+            return q if q.base.frame is None else SeqVal(q.anew(f"_v{next(_fresh)}"), lambda x: x)
         raise TypeMismatch(f"a sequence is needed here, not {v.type}")
 
     # -- leaves ------------------------------------------------------------
@@ -338,7 +347,9 @@ class Lowering:
         def f(*vals):
             t = T.addr(*[(v.type, up) for (up, _), v in zip(made, vals, strict=True)])
             const = tuple(v.const for v in vals)
-            return Val(t, F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vals)]), _NONE if _NONE in const else const, vals)
+            held = vals[0].part[0] if vals and vals[0].part else None
+            own = held is not None and held[0] == t and all(v.part and v.part[0] is held and v.part[1] == k for k, v in enumerate(vals))
+            return Val(t, F.struct(*[v.col.alias(f"_{k}") for k, v in enumerate(vals)]), _NONE if _NONE in const else const, vals, held=held if own else None)
 
         return self.lift(f, *[v for _, v in made])
 
@@ -506,7 +517,7 @@ class Lowering:
         def f(v):
             t = bare(v.type)
             if t.kind == "addr":
-                return Val(t.args[name][0], v.col[f"_{name}"], v.const[name] if v.const is not _NONE else _NONE)
+                return Val(t.args[name][0], v.col[f"_{name}"], v.const[name] if v.const is not _NONE else _NONE, part=v.held and (v.held, name))
             found = dict(t.args).get(name, _NONE)
             if found is _NONE:
                 raise TypeMismatch(f"{t} has no member {name}")
@@ -740,7 +751,7 @@ class Lowering:
         key = lambda x: self.scalar(having, Scope({"that": Val(q.type, x)}, scope))
         kt = key(F.col("v")).type
         if q.base.frame is not None:
-            rows, k = _over(q.base.frame, lambda: key(F.col(q.base.name)))
+            rows, k = _over(q.base.frame, lambda: self.scalar(having, Scope({"that": q.base.element()}, scope)))
             rows, fold = self._folding(rows.beside(_k=k.col), q.base.element(), body, scope)
             runs = rows.collated_by("_k", _fold=fold.col)
             pairs = F.struct(F.col("_k").alias("_0"), F.col("_fold").alias("_1"))
@@ -837,16 +848,15 @@ class Lowering:
 
     def _read(self, scope, key, t):
         t = self.type_of(t, scope)
-        scanned = self.eval(key, scope)
-        if isinstance(scanned, SeqVal) and scanned.scan and scanned.base.values[0] == bare(t):
-            return SeqVal(scanned.base, lambda e: Val(t, scanned.base.values[1]))  # the scan holds the values
 
         def f(k):
             kind = T.to_spark(t)
+            if k.held and k.held[:2] == (k.type, bare(t)):
+                return Val(t, k.held[2])  # the scan holds the values
             found = self._at(k, t, F.first)  # no stored value is unknown
             return Val(t, found) if t.kind == "opt" else Val(t, F.coalesce(found, F.raise_error(F.lit("no value at key")).cast(kind)), soft=found)
 
-        return self.lift(f, scanned)
+        return self.lift(f, self.eval(key, scope))
 
     def _exists(self, scope, t, key):
         t = self.type_of(t, scope)
@@ -870,11 +880,11 @@ class Lowering:
             order = [*[(f"_s{j}", up) for j, (_, up) in enumerate(s.order)], *order]
         df = df.select(F.struct(*[F.col(k).alias(f"_{i}") for i, k in enumerate(ks)]).alias("v"), value, *[c for c, _ in order])
         base = Base.of(kt, Seq(df, order))
-        base.values = (t, F.col(value))
+        base.held = (kt, bare(t), F.col(value))
         for k, (_, v, _) in zip(ks, fixed, strict=True):
             if isinstance(v, Val):
                 base.frame = Seq(base.frame.df.where(F.col(k) == self._outer(v, [])), base.frame.order)
-        return SeqVal(base, lambda x: x, scan=True)
+        return SeqVal(base, lambda x: x)
 
     # -- functions ---------------------------------------------------------
 

@@ -1,10 +1,10 @@
 import pytest
 
 from keyloom.operators.seq import UncorrelatedError
-from keyloom.plans.lang import Packages, Program
+from keyloom.plans.lang import Database, Packages, Program
 from keyloom.plans.syntax import SyntaxProblem, parse_expr
 from keyloom.streaming.session import Server
-from keyloom.types import TypeMismatch
+from keyloom.types import INT, TypeMismatch, addr
 
 SOURCE = """
 package #2;
@@ -221,3 +221,21 @@ def test_session(spark):
     s.execute("exit")
     with pytest.raises(RuntimeError):
         s.execute("echo 1")
+
+
+def test_reads_of_scanned_keys_need_no_join(spark):
+    """A read by all members of a scanned key was joined with the whole index, and both sides were aggregated and sorted in one task."""
+    db = Database(spark)
+    db.attach(addr((INT, True), (INT, True)), INT, spark.createDataFrame([(1, 1, 5), (1, 2, 7), (2, 1, -3)], "k0 long, k1 long, v long"))
+    db.attach(addr((INT, True), (INT, False)), INT, spark.createDataFrame([(1, 1, 50)], "k0 long, k1 long, v long"))
+    p = Program(spark, "lines = keys (int) @ <[free::(int), free::(int)]>;", db)
+    own = {
+        "lines reduce start 0 + *<[that.0, that.1]>::(int)": [9], "lines reduce start true and *that::(int) > 0": [False],
+        "((lines if *<[that.0, that.1]>::(int) > 0).1)": [1, 2], "*(lines while *<[that.0, that.1]>::(int) > 0)::(int)": [5, 7], "*<[lines.0, lines.1]>::(int) * 2": [10, 14, -6],
+    }
+    for expr, want in own.items():
+        df = p.frame(expr)
+        assert " while " in expr or "Join" not in df._jdf.queryExecution().optimizedPlan().toString(), expr
+        assert [r["v"] for r in df.collect()] == want, expr
+    other = p.frame("*<[lines.0, desc lines.1]>::(int?)")  # of another index
+    assert "Join" in other._jdf.queryExecution().optimizedPlan().toString() and [r["v"] for r in other.collect()] == [50, None, None]
