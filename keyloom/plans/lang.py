@@ -794,7 +794,7 @@ class Lowering:
 
     def _union_map(self, scope, s, body):
         q = self.sequence(s, scope, self._body(body, scope))
-        rows, of = _over(q.base.frame, lambda: self.scalar(body, Scope({"that": Val(q.type, F.col(q.base.name))}, scope)))
+        rows, of = _over(q.base.frame, lambda: self.scalar(body, Scope({"that": Val(q.type, F.col(q.base.name), held=q.base.held)}, scope)))
         t = of.type
         if t.kind != "set":
             raise TypeMismatch("union_map takes sets")

@@ -230,7 +230,7 @@ def test_reads_of_scanned_keys_need_no_join(spark):
     db.attach(addr((INT, True), (INT, False)), INT, spark.createDataFrame([(1, 1, 50)], "k0 long, k1 long, v long"))
     p = Program(spark, "lines = keys (int) @ <[free::(int), free::(int)]>;", db)
     own = {
-        "lines reduce start 0 + *<[that.0, that.1]>::(int)": [9], "lines reduce start true and *that::(int) > 0": [False],
+        "lines reduce start 0 + *<[that.0, that.1]>::(int)": [9], "lines reduce start true and *that::(int) > 0": [False], "**(lines union_map {*<[that.0, that.1]>::(int?), -1})": [-3, -1, 5, 7],
         "((lines if *<[that.0, that.1]>::(int) > 0).1)": [1, 2], "*(lines while *<[that.0, that.1]>::(int) > 0)::(int)": [5, 7], "*<[lines.0, lines.1]>::(int) * 2": [10, 14, -6],
     }
     for expr, want in own.items():
