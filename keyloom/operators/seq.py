@@ -101,8 +101,10 @@ class Seq:
             edge = bad.agg((F.min(key()) if ways == {True} else F.max(key())).alias("_edge"))
             ok = key() < F.col("_edge") if ways == {True} else key() > F.col("_edge")
             return self._with(self.df.crossJoin(F.broadcast(edge)).where(F.col("_edge").isNull() | ok).drop("_edge"))  # one row
-        fails = F.when(F.coalesce(pred, F.lit(False)), 0).otherwise(1)
-        return self._with(with_running_sum(self.df, self.order, fails, "_fails").where("_fails = 0").drop("_fails"))
+        place = F.struct(*[F.col(c).alias(f"o{k}") for k, (c, _) in enumerate(self.order)])
+        edge = bad.orderBy(*self._sort()).limit(1).agg(F.first(place).alias("_edge"))  # each task keeps one row, and sorts none
+        ahead = self.df.crossJoin(F.broadcast(edge)).where(F.col("_edge").isNull() | (self._comparator(place, F.col("_edge")) < 0))  # one row
+        return self._with(ahead.drop("_edge"))
 
     def take(self, n: int) -> Seq:
         return self._with(self.df.orderBy(*self._sort()).limit(max(0, n)))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from keyloom.operators import graph, lookup
@@ -137,6 +138,23 @@ def test_common_members_is_dealt_by_bytes(spark):
     assert {(r["a"], r["b"]): r["n_common"] for r in got.collect()} == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
 
 
+def test_take_while_of_mixed_order_sorts_nothing(spark):
+    """Of an order that a text leads, one task sorted all rows."""
+    rows = [("b", 1, 9), ("b", 2, 1), ("b", 2, 1), ("b", 3, 1), ("a", None, 1), ("a", 5, 1), (None, 7, 1), ("b", None, 1), ("c", 8, 1)]
+    e = spark.createDataFrame(rows, "t string, i int, v int")
+
+    def left(df, up=True):
+        return sorted(map(str, Seq(df, [("t", up), ("i", not up)]).take_while(F.col("v") == 1).df.select("t", "i").collect()))
+
+    got = Seq(e, [("t", True), ("i", False)]).take_while(F.col("v") == 1).df
+    assert "Window" not in plan(got) and "Sort [" not in plan(got) and "TakeOrderedAndProject" in plan(got)
+    want = lambda *r: sorted(str(Row(t=t, i=i)) for t, i in r)
+    assert left(e) == want((None, 7), ("a", 5), ("a", None), ("b", 3), ("b", 2), ("b", 2))
+    assert left(e, False) == want(("c", 8), ("b", None))
+    assert left(e.where("i != 2").union(spark.createDataFrame([("b", 2, 1), ("b", 2, 9)], e.schema))) == want((None, 7), ("a", 5), ("b", 3))  # of one place, neither stays
+    assert len(left(e.where("v = 1"))) == 8 and left(e.where("v = 9")) == []
+
+
 def test_as_of_and_missing(spark):
     with pytest.raises(Exception, match="no value at key"):
         lookup.lookup(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], ["v"]).collect()
